@@ -50,6 +50,14 @@ def parcel_weights(df: DataFrame, parcel: str = "parcel_id", keys: Sequence[str]
     ).drop("_rows", "_parcels")
 
 
+def weighted_means(df: DataFrame, keys: Sequence[str], *, actual: str = "sale_price",
+                   prediction: str = "prediction", parcel: str = "parcel_id") -> DataFrame:
+    """Parcel-weighted mean absolute error alone, without the ordered statistics."""
+    error = F.abs(F.col(prediction) - F.col(actual))
+    by_parcel = df.groupBy(*keys, parcel).agg(F.avg(error).alias("_ae"))
+    return by_parcel.groupBy(*keys).agg(F.avg("_ae").alias("mean_absolute_error"))
+
+
 def weighted_valuation_metrics(df: DataFrame, keys: Sequence[str] = (), *,
                                actual: str = "sale_price", prediction: str = "prediction",
                                parcel: str = "parcel_id", lower: str | None = "lower",

@@ -106,9 +106,9 @@ def compress_distribution(df: DataFrame, keys: Sequence[str], max_points: int,
     bins = F.when(small, F.array(F.col("_rank") - 1)).otherwise(
         F.sequence(first, F.greatest(first, last))
     )
-    placed = ranked.withColumns({"_upto": upto, "_start": start, "_small": small}).withColumn(
-        "bin", F.explode(bins)
-    )
+    placed = ranked.withColumns(
+        {"_upto": upto, "_start": start, "_small": small, "_bins": bins}
+    ).withColumn("bin", F.explode("_bins"))
     share = F.when(F.col("_small"), F.col("p") / scale).otherwise(
         F.least(F.col("_upto"), (F.col("bin") + 1) / max_points)
         - F.greatest(F.col("_start"), F.col("bin") / max_points)

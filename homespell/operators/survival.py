@@ -37,7 +37,7 @@ def horizon_grid(df: DataFrame, horizon: int) -> DataFrame:
     return df.withColumn("period", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
 
 
-def admin_censor(df: DataFrame, cutoff, *, strict: bool = True) -> DataFrame:
+def admin_censor(df: DataFrame, cutoff, *, strict: bool = True, keep_all: bool = False) -> DataFrame:
     """End follow-up at a cutoff; adds ``truncated`` and drops spells without a full week."""
     days = F.datediff(F.lit(cutoff).cast("date"), F.col("acquisition_date"))
     if strict and df.filter(F.coalesce(days, F.lit(0)) <= 0).take(1):
@@ -45,7 +45,7 @@ def admin_censor(df: DataFrame, cutoff, *, strict: bool = True) -> DataFrame:
     cut = F.col("hold_days") >= days
     outcomes = [c for c in ("resale_date", "resale_price", "gross_spread", "gross_return")
                 if c in df.columns]
-    return (
+    censored = (
         df.withColumn("truncated", cut)
         .withColumns({
             "duration_weeks": F.when(cut, F.floor(days / 7).cast("int")).otherwise(
@@ -54,7 +54,20 @@ def admin_censor(df: DataFrame, cutoff, *, strict: bool = True) -> DataFrame:
             "hold_days": F.when(cut, days).otherwise(F.col("hold_days")),
             **{name: F.when(~cut, F.col(name)) for name in outcomes},
         })
-        .filter(F.col("event_observed") | (F.col("duration_weeks") >= 1))
+    )
+    if keep_all:
+        return censored
+    return censored.filter(F.col("event_observed") | (F.col("duration_weeks") >= 1))
+
+
+def followup_audit(df: DataFrame, cutoff) -> DataFrame:
+    """Latest exit seen before the cutoff, and how many spells were truncated or dropped."""
+    censored = admin_censor(df, cutoff, keep_all=True)
+    seen = F.col("event_observed")
+    return censored.agg(
+        F.max(F.when(seen, F.date_add("acquisition_date", F.col("hold_days")))).alias("latest_exit"),
+        F.count_if("truncated").alias("truncated"),
+        F.count_if(~seen & (F.col("duration_weeks") < 1)).alias("dropped"),
     )
 
 
