@@ -77,11 +77,19 @@ def classify_operator(name: Column | str, rules: Sequence[tuple[str, str]] = OPE
                       tokens: Sequence[str] = OPERATOR_TOKENS) -> Column:
     """Label of the named operator, by anchored patterns; anything else is null."""
     raw = F.upper(as_column(name))
-    cleaned = strip(F.regexp_replace(raw, "[^A-Z0-9]+", " "))
-    label = F.lit(None).cast("string")
-    for pattern, operator in reversed(rules):
-        label = F.when(cleaned.rlike(pattern), F.lit(operator)).otherwise(label)
-    return F.when(raw.rlike("|".join(tokens)), label)
+
+    def label_of(cleaned: Column) -> Column:
+        label = F.lit(None).cast("string")
+        for pattern, operator in reversed(rules):
+            label = F.when(cleaned.rlike(pattern), F.lit(operator)).otherwise(label)
+        return label
+
+    # The cheap token test comes first; almost no party passes it. Binding the cleaned name to a
+    # lambda variable keeps it from being recomputed by every rule.
+    cleaned = F.trim(F.regexp_replace(raw, "[^A-Z0-9]+", " "))
+    return F.when(
+        raw.rlike("|".join(tokens)), F.get(F.transform(F.array(cleaned), label_of), F.lit(0))
+    )
 
 
 def parse_number(value: Column | str) -> Column:

@@ -107,9 +107,11 @@ def link_episodes(transactions: DataFrame, cutoffs=None, *, minimum_price: float
         "_here": position,
         "_acquisition": F.when(F.col("role") == 1, position),
     })
+    # A deed gives at most two events, so the deeds per parcel bound the events per spell key.
     linked = (
         order_groups(events, SPELL_KEY, ("sale_date", "sale_price", seq, "role", "other"),
-                     rows_per_task=rows_per_task)
+                     sizing=transactions.select("market", "parcel_id"),
+                     sizing_keys=("market", "parcel_id"), rows_per_task=rows_per_task // 2)
         .previous("_acquisition", "_open").result()
     )
 

@@ -115,10 +115,10 @@ def _prior_columns(ordered: OrderedGroups) -> DataFrame:
     }).drop("_sale", "_prior")
 
 
-def dedupe_with_prior_sale(df: DataFrame, seq: str = "seq", *,
+def dedupe_with_prior_sale(df: DataFrame, seq: str = "seq", *, sizing: DataFrame | None = None,
                            rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``dedupe_keep_last`` then ``with_prior_sale``; small parcels share a single shuffle."""
-    largest, _ = group_sizes(df, ("market", "parcel_id"))
+    largest, _ = group_sizes(df if sizing is None else sizing, ("market", "parcel_id"))
     if largest > rows_per_task:
         return with_prior_sale(dedupe_keep_last(df, seq), seq, rows_per_task=rows_per_task)
     placed = df.repartition("market", "parcel_id")
@@ -204,13 +204,18 @@ def calendar_features(df: DataFrame, date: str, prefix: str) -> DataFrame:
 
 
 def valuation_panel(transactions: DataFrame, *, seq: str = "seq",
+                    sizing: DataFrame | None = None,
                     rows_per_task: int = ROWS_PER_TASK, **screen) -> DataFrame:
-    """Screened sales with prior sale, lagged market medians and structure features."""
+    """Screened sales with prior sale, lagged market medians and structure features.
+
+    ``sizing`` may be an unfiltered superset that is cheaper to count than ``transactions``.
+    """
     eligible = valuation_screen(transactions, **screen)
-    linked = dedupe_with_prior_sale(eligible, seq, rows_per_task=rows_per_task)
+    sizes = transactions if sizing is None else sizing
+    linked = dedupe_with_prior_sale(eligible, seq, sizing=sizes, rows_per_task=rows_per_task)
     distinct_sales = eligible.select(*SALE_KEY).distinct()
     medians = bounded(
-        quarterly_medians(distinct_sales, sizing=eligible, rows_per_task=rows_per_task)
+        quarterly_medians(distinct_sales, sizing=sizes, rows_per_task=rows_per_task)
     )
     panel = strict_prior_quarter(repeat_sale_features(join_quarter_medians(linked, medians)))
     return structure_features(

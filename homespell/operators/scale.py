@@ -145,17 +145,18 @@ def order_groups(
     order: Sequence[str],
     *,
     sizing: DataFrame | None = None,
+    sizing_keys: Sequence[str] | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> OrderedGroups:
     """Choose between plain windows and range chunks by the measured size of the largest group.
 
     ``sizing`` may be a cheaper frame whose groups are at least as large as those of ``df``.
     """
-    largest, total = group_sizes(df if sizing is None else sizing, keys)
+    largest, total = group_sizes(df if sizing is None else sizing, sizing_keys or keys)
     if largest <= rows_per_task:
         return OrderedGroups(df, tuple(keys), tuple(order), False)
     shuffle_partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(shuffle_partitions, -(-total // rows_per_task))
+    parts = max(shuffle_partitions, -(-total // max(rows_per_task, 1)))
     # The range id must be read back, never recomputed: a second sampling could move the bounds.
     ranged = df.repartitionByRange(parts, *keys, *order).withColumn(_CHUNK, F.spark_partition_id())
     return OrderedGroups(materialize(ranged), tuple(keys), tuple(order), True)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from homespell.operators import linkage, panels
-from homespell.sources import deeds
+from homespell.sources import deeds, sinks
 
 MARKET_A, MARKET_B = "market_a", "market_b"
 CUTOFF = "1996-01-01"
@@ -97,13 +97,14 @@ def sanitize(lineitem: DataFrame) -> DataFrame:
 
 
 def transactions(spark: SparkSession, sf: str) -> DataFrame:
-    return sanitize(read(spark, sf, "lineitem"))
+    return sinks.prepare_table(sanitize(deeds.spread(read(spark, sf, "lineitem"))))
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
     """Repeat-sale panel of the analysis universe."""
-    universe = panels.analysis_universe(transactions(spark, sf), CUTOFF, MARKET_B)
-    return panels.valuation_panel(universe, require_qualified=False)
+    sales = transactions(spark, sf)
+    universe = panels.analysis_universe(sales, CUTOFF, MARKET_B)
+    return panels.valuation_panel(universe, sizing=sales, require_qualified=False)
 
 
 def episodes(spark: SparkSession, sf: str) -> DataFrame:

@@ -60,7 +60,7 @@ def _(spark, sf):
 @query("a3_scan_csv_typed", _TX_COLUMNS, f"WITH {B.TX} SELECT * FROM tx")
 def _(spark, sf):
     path = scratch_path(spark, "csv")
-    B.transactions(spark, sf).drop("seq").write.option("header", True).csv(path)
+    B.sanitize(_lineitem(spark, sf)).drop("seq").write.option("header", True).csv(path)
     return deeds.scan_csv_typed(spark, path, TRANSACTIONS)
 
 
@@ -69,7 +69,7 @@ def _(spark, sf):
        FROM tx GROUP BY market""")
 def _(spark, sf):
     path = scratch_path(spark, "safe")
-    written = sinks.write_safe_table(B.transactions(spark, sf).drop("seq"), path)
+    written = sinks.write_safe_table(B.sanitize(_lineitem(spark, sf)).drop("seq"), path)
     return metrics.group_counts(spark.read.parquet(path), ["market"]).withColumn(
         "written", F.lit(written["rows"]))
 

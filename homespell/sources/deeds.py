@@ -62,6 +62,15 @@ def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on input that cannot be split, such as one gzip file or one row group.
+
+    Input that already has at least as many splits as the cluster has cores is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def non_object_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines that hold something other than one JSON object."""
     lines = spark.read.text(path).filter(F.trim("value") != "")

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from homespell.session import scratch_path
+
 # Column-name fragments that identify a person or an address.
 PII_TOKENS = ("owner", "grantor", "grantee", "address", "streetnum", "streetname", "deednumber")
 
@@ -30,6 +32,17 @@ def write_safe_table(df: DataFrame, path: str, mode: str = "errorifexists") -> d
     return dict(seen.get)
 
 
+def prepare_table(df: DataFrame, name: str = "prepared") -> DataFrame:
+    """Write the safe table once below the shared folder and read it back.
+
+    Parsing then runs a single time, and every later step prunes columns and pushes filters into
+    the columnar files instead of repeating the parsing expressions in its own predicates.
+    """
+    path = scratch_path(df.sparkSession, name)
+    write_safe_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def preparation_manifest(prepared: DataFrame, raw_counts: DataFrame,
                          observation_ends: DataFrame) -> DataFrame:
     """Input and output rows, columns and observation end per market, with privacy assertions."""
