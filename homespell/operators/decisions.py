@@ -48,7 +48,8 @@ def elasticity_model(price: Column, week: Column, scenario: Column) -> tuple[Col
         + F.ln(scenario["demand_multiplier"])
         + F.col("demand_shift")
     )
-    return P.sigmoid(log_odds), F.least(price * (1 - F.col("negotiation_discount")), value)
+    proceeds = F.least(price * (1 - F.col("negotiation_discount")), value)
+    return bind(log_odds, P.sigmoid), proceeds
 
 
 def fitted_model(price: Column, week: Column, scenario: Column) -> tuple[Column, Column]:
@@ -59,7 +60,7 @@ def fitted_model(price: Column, week: Column, scenario: Column) -> tuple[Column,
         + F.element_at("week_effects", (week + 1).cast("int"))
     )
     proceeds = F.least(price * (1 - F.col("negotiation_discount")), scenario["resale_value"])
-    return P.sigmoid(log_odds), proceeds
+    return bind(log_odds, P.sigmoid), proceeds
 
 
 def _profit(sale_price: Column, week: Column) -> Column:
@@ -77,6 +78,11 @@ def _weights() -> Column:
     return F.transform(kept, lambda s: s.withField("probability", s["probability"] / scale))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``, as a lambda variable."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def mean_of(atoms: Column) -> Column:
     return F.aggregate(atoms, F.lit(0.0), lambda acc, a: acc + a["p"] * a["profit"])
 
@@ -107,7 +113,7 @@ def price_path(df: DataFrame, cuts: Column, out: str = "path") -> DataFrame:
     """Weekly list prices in cents under fixed cut fractions, rounded again every week."""
     def step(acc: Column, cut: Column) -> Column:
         last = F.when(F.size(acc) == 0, F.col("list_price")).otherwise(F.element_at(acc, -1) / 100.0)
-        return F.concat(acc, F.array(P.cents(last * (1.0 - cut))))
+        return F.concat(acc, F.array(bind(last * (1.0 - cut), P.cents)))
 
     empty = F.array().cast(CENTS_PATH)
     return df.withColumn(out, F.aggregate(cuts, empty, lambda acc, cut: step(acc, cut).cast(CENTS_PATH)))
@@ -231,7 +237,7 @@ def feasible_cents(cents: Column, floor: Column, supported: Callable[[Column], C
                    ) -> Column:
     """Actions open at a price: (action, cents), holding always and cuts down to the floor."""
     def option(name: str, cut: float) -> Column:
-        after = P.cents(cents / 100.0 * (1.0 - cut))
+        after = bind(cents / 100.0 * (1.0 - cut), P.cents)
         allowed = F.lit(True) if name == "hold" else after / 100.0 >= floor
         if supported is not None:
             allowed = allowed & supported(after / 100.0)
@@ -240,38 +246,45 @@ def feasible_cents(cents: Column, floor: Column, supported: Callable[[Column], C
     return F.array_compact(F.array(*[option(name, cut) for name, cut in ACTIONS]))
 
 
-def lattice_levels(leads: DataFrame, config: PricingConfig, support=None) -> DataFrame:
-    """Columns ``level_0`` to ``level_H``: distinct reachable prices in cents before each week."""
+def lattice_levels(leads: DataFrame, config: PricingConfig, support=None,
+                   out: str = "levels") -> DataFrame:
+    """Adds the distinct reachable prices in cents: element w holds those before week w.
+
+    One fold over the weeks keeps the plan the same size for every horizon.
+    """
     floor = F.col("prelisting_reference") * config.min_list_price_ratio
     inside = None
     if support is not None:
         def inside(price):
             return P.list_premium(price, F.col("prelisting_reference"), support)[1]
-    current = leads.withColumn("level_0", F.array(P.cents("list_price")))
-    for week in range(config.horizon_weeks):
-        reached = F.transform(f"level_{week}", lambda c: F.transform(
-            feasible_cents(c, floor, inside), lambda o: o["cents"]))
-        current = current.withColumn(
-            f"level_{week + 1}", F.array_sort(F.array_distinct(F.flatten(reached))))
-    return current
+    kind = f"array<{CENTS_PATH}>"
+
+    def grow(acc: Column, _week: Column) -> Column:
+        reached = F.flatten(F.transform(F.element_at(acc, -1), lambda c: F.transform(
+            feasible_cents(c, floor, inside), lambda o: o["cents"])))
+        return F.concat(acc, F.array(F.array_sort(F.array_distinct(reached)))).cast(kind)
+
+    first = F.array(F.array(P.cents("list_price"))).cast(kind)
+    weeks = F.sequence(F.lit(0), F.lit(config.horizon_weeks - 1))
+    return leads.withColumn(out, F.aggregate(weeks, first, grow))
 
 
 def price_lattice(leads: DataFrame, config: PricingConfig, lead: str = "lead_id",
                   support=None) -> DataFrame:
     """Long table (lead, week, cents) of every post-action price that can be listed."""
     levels = lattice_levels(leads, config, support)
-    weeks = F.array(*[
-        F.struct(F.lit(w).alias("week"), F.col(f"level_{w + 1}").alias("prices"))
-        for w in range(config.horizon_weeks)
-    ])
-    exploded = levels.select(lead, F.explode(weeks).alias("w"))
-    return exploded.select(lead, "w.week", F.explode("w.prices").alias("cents"))
+    after = F.slice("levels", 2, config.horizon_weeks)
+    weeks = levels.select(lead, F.posexplode(after).alias("week", "prices"))
+    return weeks.select(lead, "week", F.explode("prices").alias("cents"))
 
 
 _DECISION = ("struct<week:int,state_cents:bigint,action:string,cents:bigint,sale_probability:double,"
              f"expected_profit:double,cvar:double,objective:double,atoms:{ATOMS}>")
 
 
+_SLIM = _DECISION.replace(f",atoms:{ATOMS}", "")
+
+
 def markdown_dp(leads: DataFrame, config: PricingConfig, *, scenario_count: int,
                 model: SaleModel = elasticity_model) -> DataFrame:
     """Optimal weekly prices by backward induction over the reachable price lattice.
@@ -281,59 +294,71 @@ def markdown_dp(leads: DataFrame, config: PricingConfig, *, scenario_count: int,
     by every state from which some action leads to that price.
     """
     config.check_points(scenario_count)
-    horizon, alpha = config.horizon_weeks, config.tail_probability
+    last, alpha = config.horizon_weeks - 1, config.tail_probability
     floor = F.col("prelisting_reference") * config.min_list_price_ratio
-    current = lattice_levels(leads.withColumn("scenarios", _weights()), config)
-    for week in reversed(range(horizon)):
-        at = F.lit(week)
-
-        def listed(cents: Column, index: Column) -> Column:
-            def outcome(s: Column) -> Column:
-                chance, proceeds = model(cents / 100.0, at, s)
-                return F.struct(s["probability"].alias("q"), chance.alias("h"), proceeds.alias("price"))
-
-            outcomes = F.transform("scenarios", outcome)
-            sold = F.aggregate(outcomes, F.lit(0.0), lambda acc, o: acc + o["q"] * o["h"])
-            sales = F.transform(outcomes, lambda o: _atom(_profit(o["price"], at), o["q"] * o["h"]))
-            if week + 1 < horizon:
-                after = F.element_at(F.col(f"_decided_{week + 1}"), index + 1)["atoms"]
-                later = F.transform(after, lambda a: _atom(a["profit"], a["p"] * F.greatest(F.lit(0.0), 1 - sold)))
-            else:
-                later = F.transform(outcomes, lambda o: _atom(
-                    _profit(o["price"] * F.col("liquidation_discount"), at), o["q"] * (1 - o["h"])))
-            atoms = F.filter(F.concat(sales, later), lambda a: a["p"] > 0)
-            return F.struct(sold.alias("sold"), atoms.alias("atoms"))
-
-        current = current.withColumn("_listed", F.transform(f"level_{week + 1}", listed))
-        current = current.withColumn("_listed", F.transform("_listed", lambda n: F.struct(
-            n["sold"].alias("sold"), mean_of(n["atoms"]).alias("mean"),
-            cvar_of(n["atoms"], alpha).alias("cvar"), n["atoms"].alias("atoms"))))
-
-        def decide(state: Column) -> Column:
-            def candidate(option: Column) -> Column:
-                at_price = F.array_position(F.col(f"level_{week + 1}"), option["cents"]).cast("int")
-                node = F.element_at("_listed", at_price)
-                return F.struct(
-                    at.alias("week"), state.alias("state_cents"), option["action"].alias("action"),
-                    option["cents"].alias("cents"), node["sold"].alias("sale_probability"),
-                    node["mean"].alias("expected_profit"), node["cvar"].alias("cvar"),
-                    (node["mean"] - F.col("risk_aversion") * node["cvar"]).alias("objective"),
-                    node["atoms"].alias("atoms"),
-                ).cast(_DECISION)
-
-            options = F.transform(feasible_cents(state, floor), candidate)
-            return first_best(options, lambda c: c["objective"], _DECISION)
-
-        current = current.withColumn(f"_decided_{week}", F.transform(f"level_{week}", decide))
-    slim = F.concat(*[
-        F.transform(f"_decided_{week}", lambda d: d.dropFields("atoms")) for week in range(horizon)
-    ])
-    root = F.element_at("_decided_0", 1)
-    return current.withColumns({
-        "decisions": slim, "atoms": root["atoms"], "expected_profit": root["expected_profit"],
-        "downside_cvar_loss": root["cvar"], "objective": root["objective"],
-    }).drop("_listed", *[f"_decided_{w}" for w in range(horizon)],
-            *[f"level_{w}" for w in range(horizon + 1)])
+    kind = f"struct<done:array<{_SLIM}>,decided:array<{_DECISION}>>"
+
+    def listed(cents: Column, after: Column, week: Column, scenarios: Column) -> Column:
+        """Sale chance and profit distribution of listing at a price in a week."""
+        def outcome(s: Column) -> Column:
+            chance, proceeds = model(cents / 100.0, week, s)
+            return F.struct(s["probability"].alias("q"), chance.alias("h"), proceeds.alias("price"))
+
+        def atoms_of(env: Column) -> Column:
+            sales = F.transform(env["o"], lambda x: _atom(_profit(x["price"], week), x["q"] * x["h"]))
+            liquidated = F.transform(env["o"], lambda x: _atom(
+                _profit(x["price"] * F.col("liquidation_discount"), week), x["q"] * (1 - x["h"])))
+            later = F.transform(after, lambda a: _atom(
+                a["profit"], a["p"] * F.greatest(F.lit(0.0), 1 - env["sold"])))
+            unsold = F.when(week == last, liquidated).otherwise(later)
+            atoms = F.array_sort(F.filter(F.concat(sales, unsold), lambda a: a["p"] > 0))
+            return bind(atoms, lambda held: F.struct(
+                env["sold"].alias("sold"), mean_of(held).alias("mean"),
+                cvar_of(held, alpha).alias("cvar"), held.alias("atoms")))
+
+        return bind(F.transform(scenarios, outcome), lambda o: bind(F.struct(
+            o.alias("o"),
+            F.aggregate(o, F.lit(0.0), lambda acc, x: acc + x["q"] * x["h"]).alias("sold"),
+        ), atoms_of))
+
+    def decide(state: Column, env: Column, week: Column) -> Column:
+        """First best action at a state; ties favour the earlier action."""
+        def candidate(option: Column) -> Column:
+            at_price = F.array_position(env["prices"], option["cents"]).cast("int")
+            return bind(F.element_at(env["nodes"], at_price), lambda node: F.struct(
+                week.alias("week"), state.alias("state_cents"), option["action"].alias("action"),
+                option["cents"].alias("cents"), node["sold"].alias("sale_probability"),
+                node["mean"].alias("expected_profit"), node["cvar"].alias("cvar"),
+                (node["mean"] - F.col("risk_aversion") * node["cvar"]).alias("objective"),
+                node["atoms"].alias("atoms"),
+            ).cast(_DECISION))
+
+        options = F.transform(feasible_cents(state, floor), candidate)
+        return first_best(options, lambda c: c["objective"], _DECISION)
+
+    def step_back(acc: Column, week: Column, given: Column) -> Column:
+        prices = F.element_at(given["levels"], week + 2)
+        nodes = F.zip_with(prices, acc["decided"], lambda cents, decided: listed(
+            cents, decided["atoms"], week, given["scenarios"]))
+        env = F.struct(F.element_at(given["levels"], week + 1).alias("states"),
+                       prices.alias("prices"), nodes.alias("nodes"))
+        decided = bind(env, lambda e: F.transform(e["states"], lambda s: decide(s, e, week)))
+        return bind(decided, lambda d: F.struct(
+            F.concat(F.transform(d, lambda x: x.dropFields("atoms")), acc["done"]).alias("done"),
+            d.alias("decided"),
+        )).cast(kind)
+
+    start = F.struct(F.array().alias("done"), F.array().alias("decided")).cast(kind)
+    weeks = F.sequence(F.lit(last), F.lit(0), F.lit(-1))
+    given = F.struct("levels", _weights().alias("scenarios"))
+    solved = lattice_levels(leads, config).withColumn("_solved", bind(given, lambda g: F.aggregate(
+        weeks, start, lambda acc, week: step_back(acc, week, g))))
+    root = F.element_at("_solved.decided", 1)
+    return solved.withColumns({
+        "decisions": F.col("_solved.done"), "atoms": root["atoms"],
+        "expected_profit": root["expected_profit"], "downside_cvar_loss": root["cvar"],
+        "objective": root["objective"],
+    }).drop("_solved", "levels")
 
 
 def decision_table(solved: DataFrame, *keys: str) -> DataFrame:
@@ -342,7 +367,7 @@ def decision_table(solved: DataFrame, *keys: str) -> DataFrame:
 
 def no_sale_path(solved: DataFrame, out: str = "no_sale_path") -> DataFrame:
     """Recommended decisions week by week while the home stays unsold."""
-    kind = "array<" + _DECISION.replace(f",atoms:{ATOMS}", "") + ">"
+    kind = f"array<{_SLIM}>"
 
     def follow(acc: Column, d: Column) -> Column:
         reached = F.when(F.size(acc) == 0, d["week"] == 0).otherwise(
