@@ -167,7 +167,7 @@ def probabilities(spark: SparkSession, sf: str) -> DataFrame:
 def leads(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("c_custkey")
     value = (150_000 + key % 1000 * 900).cast("double")
-    return read(spark, sf, "customer").select(
+    return deeds.spread(read(spark, sf, "customer")).select(
         key.alias("property_id"), value.alias("value"), (value * 0.03).alias("repair_cost"),
         (value * 0.0015).alias("weekly_holding_cost"), (key % 4 * 0.3).alias("risk_aversion"),
         F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"),

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from homespell.plans import decision_queries, ingest_queries, study_queries
+from homespell.plans import decision_queries, ingest_queries, model_queries, study_queries
 
-_MODULES = (ingest_queries, study_queries, decision_queries)
+_MODULES = (ingest_queries, study_queries, decision_queries, model_queries)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.registry.queries.items()}
 
