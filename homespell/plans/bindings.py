@@ -111,6 +111,16 @@ def episodes(spark: SparkSession, sf: str) -> DataFrame:
     return linkage.link_episodes(transactions(spark, sf), None)
 
 
+def panel_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The panel as a written table, for studies that read it many times."""
+    return sinks.prepare_table(panel(spark, sf), "panel")
+
+
+def episode_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Linked spells as a written table, for studies that read them many times."""
+    return sinks.prepare_table(episodes(spark, sf), "episodes")
+
+
 def units(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as survival units."""
     hold = (F.col("o_orderkey") * 37 % 400).cast("int")

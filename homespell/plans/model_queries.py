@@ -37,11 +37,11 @@ def _listings(spark, sf):
 
 
 def _episode_panel(spark, sf):
-    return panels.episode_panel(B.episodes(spark, sf))
+    return panels.episode_panel(B.episode_table(spark, sf))
 
 
 def _repeats(spark, sf):
-    return panels.repeat_sale_window(B.panel(spark, sf))
+    return panels.repeat_sale_window(B.panel_table(spark, sf))
 
 
 @query("j1_feature_pipeline", "lead_id i, offer_z f8, price_z f8, indicators i, width i")

@@ -24,11 +24,11 @@ _SPELL_COLUMNS = (
 
 
 def _repeats(spark, sf):
-    return panels.repeat_sale_window(B.panel(spark, sf))
+    return panels.repeat_sale_window(B.panel_table(spark, sf))
 
 
 def _episode_panel(spark, sf):
-    return panels.episode_panel(B.episodes(spark, sf))
+    return panels.episode_panel(B.episode_table(spark, sf))
 
 
 # ---------------------------------------------------------------------------- filters, contracts
@@ -720,7 +720,7 @@ def _(spark, sf):
        acquisition_price, hold_days, linkage_status) - 1 AS position, operator, parcel_id, acquisition_date FROM episodes""")
 def _(spark, sf):
     order = ["market", "operator", "acquisition_date", "parcel_id", "acquisition_price", "hold_days", "linkage_status"]
-    return scale.rank_positions(B.episodes(spark, sf).select(*order), order, "position")
+    return scale.rank_positions(B.episode_table(spark, sf).select(*order), order, "position")
 
 
 @query("h1_concat_partitions", "parcel_id s, sale_date d, seq i",
