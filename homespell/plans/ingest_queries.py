@@ -284,16 +284,18 @@ def _(spark, sf):
     return B.transactions(spark, sf).groupBy(age.alias("age")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("b17_area_features", "living_area_sqft f1, log_living_area f9, mean_price_per_sqft f4, n i",
+@query("b17_area_features", "living_area_sqft f1, log_living_area f9, lowest_price_per_sqft f9, highest_price_per_sqft f9, n i",
        f"""WITH {B.TX} SELECT living_area_sqft, CASE WHEN living_area_sqft > 0
        THEN ln(living_area_sqft) END AS log_living_area,
-       avg(CASE WHEN living_area_sqft > 0 THEN sale_price / living_area_sqft END)
-       AS mean_price_per_sqft, count(*) AS n FROM tx GROUP BY ALL""")
+       min(CASE WHEN living_area_sqft > 0 THEN sale_price / living_area_sqft END) AS lowest_price_per_sqft,
+       max(CASE WHEN living_area_sqft > 0 THEN sale_price / living_area_sqft END) AS highest_price_per_sqft,
+       count(*) AS n FROM tx GROUP BY ALL""")
 def _(spark, sf):
     sales = B.transactions(spark, sf).withColumn("sale_year", F.year("sale_date"))
     featured = panels.structure_features(sales, "sale_year", "sale_price")
     return featured.groupBy("living_area_sqft", "log_living_area").agg(
-        F.avg("nominal_price_per_sqft").alias("mean_price_per_sqft"), F.count(F.lit(1)).alias("n"))
+        F.min("nominal_price_per_sqft").alias("lowest_price_per_sqft"),
+        F.max("nominal_price_per_sqft").alias("highest_price_per_sqft"), F.count(F.lit(1)).alias("n"))
 
 
 @query("b18_repeat_sale_features", "parcel_id s, sale_date d, sale_price f2, prior_sale_price f2, "
