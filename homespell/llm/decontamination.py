@@ -8,7 +8,7 @@ bits; ``RADIUS + 1`` blocks of bits are indexed, of which two such fingerprints
 (pigeonhole), so the index misses none. Candidates are verified by the exact weighted similarity:
 common weight over united weight of the two shingle multisets.
 
-Words are lower-cased (A-Z) and ASCII punctuation parts them, so that quotes or a full stop next to
+Words are lower-cased and ASCII punctuation parts them, so that quotes or a full stop next to
 a passage do not hide it. Windows without a shingle of an item have similarity 0 with it and are left out beforehand.
 """
 
@@ -60,7 +60,7 @@ _PLAIN = bytes(32 if chr(c) in string.punctuation else c for c in range(256))
 
 
 def plain_words(text: bytes | None) -> list[bytes]:
-    return text.lower().translate(_PLAIN).split() if text else []
+    return text.decode().lower().encode().translate(_PLAIN).split() if text else []
 
 
 def weights(hashes: np.ndarray) -> np.ndarray:

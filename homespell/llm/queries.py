@@ -4,26 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from homespell.llm import near_dedup, quality_rules
+from homespell.llm import decontamination, near_dedup, packing, personal_data, quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *quality_rules.STATISTICS, "base_failed", "kept", "anomaly")
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and the benchmark item it holds."""
+    found = decontamination.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start_word", "n_words", "similarity", F.lit(True).alias("contaminated"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_spans(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op4_quality_rules, op10_minhash_near_dedup)
+    query.__name__: query for query in (
+        op2_best_fit_packing, op4_quality_rules, op6_benchmark_decontamination, op9_pii, op10_minhash_near_dedup,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
