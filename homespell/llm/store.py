@@ -75,7 +75,7 @@ def put_file(uri: str, name: str, attempt: int, chunks) -> None:
     files, folder = open_folder(uri)
     files.create_dir(folder, recursive=True)
     partial = posixpath.join(folder, f".{name}.{attempt}")
-    with files.open_output_stream(partial) as out:
+    with files.open_output_stream(partial, compression=None) as out:
         for chunk in chunks:
             out.write(chunk)
     files.move(partial, posixpath.join(folder, name))
