@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homespell.llm import decontamination, near_dedup, packing, personal_data, preferences, quality_classifier, quality_rules, token_records, warc
+from homespell.llm import decontamination, near_dedup, ngram_model, packing, personal_data, preferences, quality_classifier, quality_rules, token_records, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.STATISTICS, "base_failed", "kept", "anomaly")
 
 
+def op5_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_model.score(table(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and the benchmark item it holds."""
     found = decontamination.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -56,8 +60,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (
-        op1_quality_classifier, op2_best_fit_packing, op3_chat_formatting, op4_quality_rules, op6_benchmark_decontamination,
-        op7_warc, op8_binary_records, op9_pii, op10_minhash_near_dedup,
+        op1_quality_classifier, op2_best_fit_packing, op3_chat_formatting, op4_quality_rules, op5_elias_fano_lm,
+        op6_benchmark_decontamination, op7_warc, op8_binary_records, op9_pii, op10_minhash_near_dedup,
     )
 }
 
