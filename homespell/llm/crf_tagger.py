@@ -164,22 +164,21 @@ class Tagger:
             path[t - 1] = came[t, at, path[t]]
         return path.T, np.take_along_axis(posterior, path[:, :, None], 2)[:, :, 0].T
 
-    def train(self, codes: np.ndarray, mask: np.ndarray, tags: np.ndarray, epochs: int, batch: int, rate: float, seed: int = 5) -> None:
-        """Adam with a rate that falls to zero."""
+    def train(self, codes: np.ndarray, mask: np.ndarray, tags: np.ndarray, steps: int, batch: int, rate: float, seed: int = 5) -> None:
+        """So many steps of Adam, pass after pass over the windows, with a rate that falls to zero."""
         random = np.random.default_rng(seed)
         first = {n: np.zeros_like(w) for n, w in self.weights.items()}
         second = {n: np.zeros_like(w) for n, w in self.weights.items()}
-        steps, step = epochs * max(1, -(-len(codes) // batch)), 0
-        for _ in range(epochs):
-            order = random.permutation(len(codes))
-            for low in range(0, len(order), batch):
-                some = order[low:low + batch]
-                _, gradient = self.loss_and_gradient(codes[some], mask[some], tags[some])
-                norm = np.sqrt(sum((g**2).sum() for g in gradient.values()))
-                step += 1
-                now = rate * (1 - (step - 1) / steps)
-                for name, g in gradient.items():
-                    g = g * min(1.0, 5.0 / max(norm, 1e-12))
-                    first[name] = 0.9 * first[name] + 0.1 * g
-                    second[name] = 0.999 * second[name] + 0.001 * g**2
-                    self.weights[name] -= now * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
+        order = np.empty(0, np.int64)
+        for step in range(1, steps + 1):
+            if not len(order):
+                order = random.permutation(len(codes))
+            some, order = order[:batch], order[batch:]
+            _, gradient = self.loss_and_gradient(codes[some], mask[some], tags[some])
+            norm = np.sqrt(sum((g**2).sum() for g in gradient.values()))
+            now = rate * (1 - (step - 1) / steps)
+            for name, g in gradient.items():
+                g = g * min(1.0, 5.0 / max(norm, 1e-12))
+                first[name] = 0.9 * first[name] + 0.1 * g
+                second[name] = 0.999 * second[name] + 0.001 * g**2
+                self.weights[name] -= now * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)

@@ -26,7 +26,7 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 96, 48
 #: Windows that the tagger is trained on at most: those of the lowest hash.
 SAMPLE_WINDOWS = 3000
-EPOCHS, BATCH, RATE = 6, 96, 0.02
+STEPS, BATCH, RATE = 200, 96, 0.02
 #: Least mean posterior of a span that the tagger adds.
 SURE = 0.98
 #: Characters without one of which no span exists.
@@ -189,7 +189,7 @@ def train(docs: DataFrame, sample_windows: int = SAMPLE_WINDOWS) -> Tagger | Non
     for at, (_, own) in enumerate(sorted(rows)):
         tags[at, :len(own)] = np.frombuffer(own, np.int8)
     tagger = Tagger(TAGS)
-    tagger.train(codes, mask, tags, EPOCHS, BATCH, RATE)
+    tagger.train(codes, mask, tags, STEPS, BATCH, RATE)
     return tagger
 
 
