@@ -441,13 +441,7 @@ def nearest_template(value: Column, templates: Column | None = None) -> Column:
     ranked = F.transform(templates if templates is not None else case_templates(), lambda t: F.struct(
         F.abs(F.ln(value / t["template_reference"])).alias("distance"), t["name"].alias("name"),
         t.alias("template")))
-    return F.reduce(
-        F.slice(ranked, 2, 100), F.element_at(ranked, 1),
-        lambda best, t: F.when(
-            (t["distance"] < best["distance"])
-            | ((t["distance"] == best["distance"]) & (t["name"] < best["name"])), t
-        ).otherwise(best),
-    )["template"]
+    return F.array_min(ranked)["template"]
 
 
 def adapt_requests(requests: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from homespell.operators.scale import ROWS_PER_TASK, bounded, order_groups
+from homespell.operators.scale import order_groups
 from homespell.schemas import ACQUISITION_ATTRIBUTES
 
 DEED_KEY = ("parcel_id", "market", "sale_date", "sale_price", "buyer_operator", "seller_operator")
@@ -69,12 +69,12 @@ def market_cutoff_join(df: DataFrame, cutoffs: DataFrame | str | Mapping[str, st
         unknown = missing_markets(df.filter(F.col("market").isNotNull()), table).take(10)
         if unknown:
             raise ValueError(f"missing as-of dates for markets: {sorted(r[0] for r in unknown)}")
-    return df.join(bounded(table), "market").filter(F.col("sale_date") <= F.col("cutoff"))
+    return df.join(table, "market").filter(F.col("sale_date") <= F.col("cutoff"))
 
 
 def link_episodes(transactions: DataFrame, cutoffs=None, *, minimum_price: float = 10_000.0,
                   maximum_hold_days: int | None = 1_095, include_censored: bool = True,
-                  seq: str = "seq", rows_per_task: int = ROWS_PER_TASK,
+                  seq: str = "seq",
                   attributes: Sequence[str] = ACQUISITION_ATTRIBUTES) -> DataFrame:
     """One row per acquisition with its exit, its successor acquisition or its censoring.
 
@@ -107,11 +107,8 @@ def link_episodes(transactions: DataFrame, cutoffs=None, *, minimum_price: float
         "_here": position,
         "_acquisition": F.when(F.col("role") == 1, position),
     })
-    # A deed gives at most two events, so the deeds per parcel bound the events per spell key.
     linked = (
-        order_groups(events, SPELL_KEY, ("sale_date", "sale_price", seq, "role", "other"),
-                     sizing=transactions.select("market", "parcel_id"),
-                     sizing_keys=("market", "parcel_id"), rows_per_task=rows_per_task // 2)
+        order_groups(events, SPELL_KEY, ("sale_date", "sale_price", seq, "role", "other"))
         .previous("_acquisition", "_open").result()
     )
 

@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from homespell.operators.risk import tail_statistics
 from homespell.operators.scale import (
-    ROWS_PER_TASK,
     attach_row,
-    bounded,
     exact_percentiles,
     join_on,
+    order_groups,
+    stacked,
+    unstacked,
     weighted_quantiles,
 )
 
 PROBABILITY_CLIP = 1e-9
-SCORE_CELLS = 65_536
 WEEKS_90_DAYS, WEEKS_120_DAYS = 13, 18
 
 
@@ -26,10 +26,8 @@ def group_counts(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFram
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
 
 
-def numeric_summary(df: DataFrame, keys: Sequence[str], value: str, *,
-                    rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    middle = exact_percentiles(df, keys, value, {"median": 0.5, "p90": 0.9},
-                               rows_per_task=rows_per_task)
+def numeric_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    middle = exact_percentiles(df, keys, value, {"median": 0.5, "p90": 0.9})
     top = df.groupBy(*keys).agg(F.max(value).alias("maximum"))
     return join_on(middle, top, list(keys))
 
@@ -43,7 +41,7 @@ def parcel_weights(df: DataFrame, parcel: str = "parcel_id", keys: Sequence[str]
     counts = df.groupBy(*keys, parcel).agg(F.count(F.lit(1)).alias("_rows"))
     sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_parcels"))
     per_parcel = (
-        join_on(counts, bounded(sizes), list(keys)) if keys else attach_row(counts, sizes)
+        join_on(counts, sizes, list(keys)) if keys else attach_row(counts, sizes)
     )
     return join_on(df, per_parcel, [*keys, parcel]).withColumn(
         "weight", 1 / (F.col("_rows") * F.col("_parcels"))
@@ -61,8 +59,7 @@ def weighted_means(df: DataFrame, keys: Sequence[str], *, actual: str = "sale_pr
 def weighted_valuation_metrics(df: DataFrame, keys: Sequence[str] = (), *,
                                actual: str = "sale_price", prediction: str = "prediction",
                                parcel: str = "parcel_id", lower: str | None = "lower",
-                               upper: str | None = "upper",
-                               rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                               upper: str | None = "upper") -> DataFrame:
     """Parcel-weighted errors, coverage and weighted medians, one row per sample.
 
     A parcel-weighted mean is the mean over parcels of the parcel means, so every sum combines
@@ -103,12 +100,13 @@ def weighted_valuation_metrics(df: DataFrame, keys: Sequence[str] = (), *,
     medians = {"_ae": "median_absolute_error", "_pe": "median_absolute_percentage_error"}
     if lower:
         medians["_width"] = "median_interval_width"
+    # The medians share one ordered pass: a row per measure, keyed by it.
     weighted = parcel_weights(scored.select(*keys, parcel, *medians), parcel, keys)
-    for value, name in medians.items():
-        median = weighted_quantiles(weighted, keys, value, "weight", {name: 0.5},
-                                    rows_per_task=rows_per_task)
-        result = join_on(result, median, list(keys)) if keys else attach_row(result, median)
-    return result
+    middle = unstacked(
+        weighted_quantiles(stacked(weighted, keys, medians, "weight"), [*keys, "measure"], "value",
+                           "weight", {"middle": 0.5}),
+        keys, list(medians.values()), "middle")
+    return join_on(result, middle, list(keys)) if keys else attach_row(result, middle)
 
 
 def relative_gain(metrics: DataFrame, baseline: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -134,14 +132,21 @@ def log_loss(probability: Column, outcome: Column) -> Column:
 
 
 def hazard_metrics(df: DataFrame, keys: Sequence[str] = (), *, probability: str = "hazard",
-                   outcome: str = "event", training_rate: float | str = "training_rate") -> DataFrame:
-    """Person-period scores against a constant hazard, in one pass."""
+                   outcome: str = "event", training_rate: float | str = "training_rate",
+                   episode: str | None = None, parcel: str | None = None) -> DataFrame:
+    """Person-period scores against a constant hazard, in one pass.
+
+    ``episode`` and ``parcel`` name the columns whose distinct values are counted as well.
+    """
     p, y = clipped(probability), F.col(outcome).cast("double")
     base = F.col(training_rate) if isinstance(training_rate, str) else F.lit(training_rate)
     brier, baseline = F.avg(squared_error(p, y)), F.avg(squared_error(base, y))
+    counted = [F.count_distinct(column).alias(name)
+               for column, name in ((episode, "n_episodes"), (parcel, "n_parcels")) if column]
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_risk_rows"),
         F.sum(F.col(outcome).cast("bigint")).alias("n_events_within_horizon"),
+        *counted,
         brier.alias("person_period_brier_score"),
         baseline.alias("constant_hazard_brier_score"),
         F.when(baseline > 0, 1 - brier / baseline).alias("brier_skill_score"),
@@ -152,29 +157,18 @@ def hazard_metrics(df: DataFrame, keys: Sequence[str] = (), *, probability: str
 
 
 def roc_auc(df: DataFrame, keys: Sequence[str] = (), *, score: str = "hazard",
-            outcome: str = "event", cells: int = SCORE_CELLS) -> DataFrame:
-    """Exact rank AUC of scores in [0, 1] with ties averaged; null with a single class.
+            outcome: str = "event") -> DataFrame:
+    """Exact rank AUC with ties averaged; null with a single class.
 
-    Scores are combined per distinct value. Cells of the unit interval split the ordered pass:
-    a window inside each cell, and one over the cell totals, of which there are at most ``cells``.
+    Scores are combined per distinct value, and one ordered pass counts the negatives below each.
     """
     y = F.col(outcome).cast("int")
     values = df.groupBy(*keys, F.col(score).alias("_score")).agg(
-        F.sum(y).cast("double").alias("_pos"), F.sum(1 - y).cast("double").alias("_neg")
-    ).withColumn("_cell", F.least(F.floor(F.col("_score") * cells), F.lit(cells - 1)))
-    inside = Window.partitionBy(*keys, "_cell").orderBy("_score").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    below = F.coalesce(F.sum("_neg").over(inside), F.lit(0.0))
-    totals = values.withColumn("_wins", F.col("_pos") * (below + F.col("_neg") / 2)).groupBy(
-        *keys, "_cell"
-    ).agg(*[F.sum(c).alias(c) for c in ("_pos", "_neg", "_wins")])
-    across = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.sum("_neg").over(across), F.lit(0.0))
+        F.sum(y).cast("double").alias("_pos"), F.sum(1 - y).cast("double").alias("_neg"))
+    ranked = order_groups(values, keys, ["_score"]).running_sum("_neg", "_upto").result()
+    wins = F.sum(F.col("_pos") * (F.col("_upto") - F.col("_neg") / 2))
     pairs = F.sum("_pos") * F.sum("_neg")
-    return totals.withColumn("_wins", F.col("_wins") + F.col("_pos") * earlier).groupBy(*keys).agg(
-        F.when(pairs > 0, F.sum("_wins") / pairs).alias("risk_row_auc")
-    )
+    return ranked.groupBy(*keys).agg(F.when(pairs > 0, wins / pairs).alias("risk_row_auc"))
 
 
 def period_rate(df: DataFrame, period: str = "period", outcome: str = "event") -> DataFrame:
@@ -190,7 +184,7 @@ def period_rate(df: DataFrame, period: str = "period", outcome: str = "event") -
 def rate_lookup(df: DataFrame, rates: DataFrame, period: str = "period",
                 out: str = "baseline") -> DataFrame:
     """Training rate of each row's period, or the pooled rate where the period is unknown."""
-    small = bounded(rates)
+    small = rates
     pooled = small.filter(F.col(period).isNull()).select(F.col("rate").alias("_pooled"))
     known = small.filter(F.col(period).isNotNull()).withColumnRenamed("rate", out)
     joined = attach_row(df.join(known, period, "left"), pooled)
@@ -201,7 +195,7 @@ def support_lookup(df: DataFrame, training: DataFrame, category: str,
                    out: str = "training_support") -> DataFrame:
     """Training count of each row's category; an unseen category counts zero."""
     counts = group_counts(training.filter(F.col(category).isNotNull()), [category], out)
-    return df.join(bounded(counts), category, "left").withColumn(
+    return df.join(counts, category, "left").withColumn(
         out, F.coalesce(out, F.lit(0)).cast("bigint")
     )
 
@@ -234,7 +228,7 @@ def calibration_error(df: DataFrame, keys: Sequence[str] = (), *, probability: s
 
 
 def anchor_metrics(df: DataFrame, keys: Sequence[str], *, actual: str, prediction: str,
-                   lower: str, upper: str, pooled: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                   lower: str, upper: str, pooled: str) -> DataFrame:
     """Errors of a value anchor against the pooled median of the training sample."""
     y, p = F.col(actual), F.col(prediction)
     scored = df.withColumns({
@@ -250,12 +244,10 @@ def anchor_metrics(df: DataFrame, keys: Sequence[str], *, actual: str, predictio
         F.avg("_naive").alias("pooled_median_baseline_mae"),
         (1 - F.avg("_ae") / F.avg("_naive")).alias("mae_improvement_over_pooled_median"),
     )
-    for value, name in (("_ae", "median_absolute_error"),
-                        ("_ape", "median_absolute_percentage_error"),
-                        ("_width", "median_interval_width_rate")):
-        median = exact_percentiles(scored, keys, value, {name: 0.5}, rows_per_task=rows_per_task)
-        result = join_on(result, median, list(keys))
-    return result
+    medians = {"_ae": "median_absolute_error", "_ape": "median_absolute_percentage_error",
+               "_width": "median_interval_width_rate"}
+    middle = exact_percentiles(stacked(scored, keys, medians), [*keys, "measure"], "value", {"middle": 0.5})
+    return join_on(result, unstacked(middle, keys, list(medians.values()), "middle"), list(keys))
 
 
 def zscores(df: DataFrame, columns: Sequence[str], suffix: str = "_z") -> DataFrame:
@@ -273,8 +265,7 @@ def zscores(df: DataFrame, columns: Sequence[str], suffix: str = "_z") -> DataFr
     return joined.withColumns(scaled).drop(*stats.columns)
 
 
-def policy_scorecard(records: DataFrame, tail: float = 0.1, policy: str = "policy_name", *,
-                     rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def policy_scorecard(records: DataFrame, tail: float = 0.1, policy: str = "policy_name") -> DataFrame:
     """Lead-level metrics of each policy."""
     accepted = F.col("accepted")
     sold = accepted & F.col("sold")
@@ -309,10 +300,10 @@ def policy_scorecard(records: DataFrame, tail: float = 0.1, policy: str = "polic
         .alias("mean_markdowns_per_accepted_home"),
     )
     held = exact_percentiles(records.filter(accepted), [policy], "weeks_held",
-                             {"median_weeks_held": 0.5}, rows_per_task=rows_per_task)
+                             {"median_weeks_held": 0.5})
     tails = tail_statistics(
         records.select(policy, F.lit(1.0).alias("p"), "profit"), [policy], alpha=tail,
-        quantiles={"p10_profit": 0.1}, rows_per_task=rows_per_task,
+        quantiles={"p10_profit": 0.1},
     ).select(policy, "downside_cvar_loss", "p10_profit")
     return (
         card.join(held, policy, "left").join(tails, policy, "left")

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from homespell.functions import contracts as C
 from homespell.functions import pricing as P
 from homespell.operators import conformal, metrics, panels, splits, survival
-from homespell.operators.scale import bounded, exact_percentiles
-from homespell.session import scratch_path, shared_dir
+from homespell.operators.scale import exact_percentiles, stacked
+from homespell.session import materialize, scratch_path, shared_dir
 
 MISSING = "__missing__"
 
@@ -45,13 +45,16 @@ class Features:
     medians: dict[str, float]
     centers: dict[str, tuple[float, float]]
     modes: dict[str, str]
-    frequent: dict[str, tuple[str, ...]]
+    frequent: dict[str, DataFrame]
     encoder: PipelineModel | None
     names: tuple[str, ...]
     vocabulary: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def _prepared(self, df: DataFrame) -> DataFrame:
         added = {}
+        for name, kept in self.frequent.items():
+            common = kept.select(F.col("v").alias(f"_k_{name}"))
+            df = df.join(common, F.coalesce(F.col(name).cast("string"), F.lit(self.modes[name])) == F.col(f"_k_{name}"), "left")
         for name in self.spec.numeric:
             mean, deviation = self.centers[name]
             value = F.coalesce(F.col(name).cast("double"), F.lit(self.medians[name]))
@@ -59,9 +62,9 @@ class Features:
         for name in self.spec.categorical:
             value = F.coalesce(F.col(name).cast("string"), F.lit(self.modes[name]))
             if name in self.frequent:
-                value = F.when(value.isin(*self.frequent[name]), value).otherwise("__rare__")
+                value = F.coalesce(f"_k_{name}", F.lit("__rare__"))
             added[f"_c_{name}"] = value
-        return df.withColumns(added)
+        return df.withColumns(added).drop(*[f"_k_{name}" for name in self.frequent])
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = self._prepared(df)
@@ -79,9 +82,9 @@ def fit_features(df: DataFrame, spec: FeatureSpec, out: str = "features") -> Fea
     """
     medians, centers, modes, frequent, vocabulary = {}, {}, {}, {}, {}
     numeric = df.select(*[F.col(c).cast("double").alias(c) for c in spec.numeric])
-    for name in spec.numeric:
-        row = exact_percentiles(numeric, [], name, {"m": 0.5}).first()
-        medians[name] = row["m"] if row and row["m"] is not None else 0.0
+    if spec.numeric:
+        middle = exact_percentiles(stacked(numeric, [], {c: c for c in spec.numeric}), ["measure"], "value", {"m": 0.5})
+        medians = {c: 0.0 for c in spec.numeric} | {r["measure"]: r["m"] for r in middle.collect()}
     if spec.numeric and spec.scale:
         filled = numeric.fillna(medians)
         stats = filled.agg(*[F.avg(c).alias(f"a_{c}") for c in spec.numeric],
@@ -94,10 +97,7 @@ def fit_features(df: DataFrame, spec: FeatureSpec, out: str = "features") -> Fea
         top = counts.orderBy(F.col("count").desc(), "v").first()
         modes[name] = top["v"] if top else MISSING
         if spec.minimum_count > 1:
-            kept = counts.filter(F.col("count") >= spec.minimum_count).limit(10_001).collect()
-            if len(kept) > 10_000:
-                raise ValueError(f"{name} has too many categories to encode")
-            frequent[name] = tuple(sorted(r["v"] for r in kept))
+            frequent[name] = materialize(counts.filter(F.col("count") >= spec.minimum_count).select("v"))
     draft = Features(spec, medians, centers, modes, frequent, None, ())
     prepared = draft._prepared(df)
     stages, parts, names = [], [f"_n_{c}" for c in spec.numeric], list(spec.numeric)
@@ -284,12 +284,24 @@ def fit_linear_conformal(df: DataFrame, target: str, spec: FeatureSpec, *, row_k
                           row_key, None)
 
 
+def guard_samples(training: DataFrame, calibration: DataFrame, group: str, *, rows: tuple[int, int] = (30, 10),
+                  groups: tuple[int, int] = (15, 5)) -> None:
+    """Refuse samples that are too small or share groups; looks at no more rows than it must."""
+    for part, name, least, parcels in ((training, "training", rows[0], groups[0]), (calibration, "calibration", rows[1], groups[1])):
+        if part.limit(least).count() < least or part.select(group).distinct().limit(parcels).count() < parcels:
+            raise ValueError(f"the {name} sample needs {least} rows of {parcels} groups")
+    shared = training.select(group).distinct().join(calibration.select(group).distinct(), group, "left_semi")
+    if shared.limit(1).count():
+        raise ValueError("training and calibration share groups")
+
+
 def fit_gbt_conformal(training: DataFrame, calibration: DataFrame, target: str, spec: FeatureSpec, *,
                       alpha: float = 0.1, group: str = "parcel_id", scale: str | None = None,
                       learning_rate: float = 0.06, max_iter: int = 180, max_depth: int = 5,
                       seed: int = 0) -> ConformalModel:
     """Boosted trees on the scaled log target, one conformal score per parcel."""
     shared_dir(training.sparkSession)
+    guard_samples(training, calibration, group)
     unscaled = FeatureSpec(spec.numeric, spec.categorical, False, False, 5 if spec.categorical else 1)
     estimator = GBTRegressor(featuresCol="features", labelCol="_label", predictionCol="_raw",
                              maxIter=max_iter, stepSize=learning_rate, maxDepth=max_depth, seed=seed,
@@ -339,14 +351,21 @@ def valuation_scores(scored: DataFrame) -> DataFrame:
         baseline.withColumns(blank).withColumn("predictor", F.lit("rolled_prior_baseline")))
 
 
-def sensitivity_rerun(panel: DataFrame, development: str, holdout: str, **options) -> DataFrame:
-    """The study again on seasoned sales, and its rescoring on officially qualified sales."""
+def sensitivity_rerun(panel: DataFrame, development: str, holdout: str, *, primary: DataFrame | None = None,
+                      **options) -> DataFrame:
+    """The study again on seasoned sales, and the primary study's predictions rescored on officially
+    qualified sales.
+
+    ``primary`` are the scored sales of the primary study, which is fitted here where they are absent.
+    """
+    if primary is None:
+        _, primary = valuation_study(panel, development, holdout, **options)
     seasoned = panel.filter(F.col("years_since_prior_sale") >= panels.SEASONED_YEARS)
     _, scored = valuation_study(seasoned, development, holdout, **options)
-    qualified = scored.filter(F.coalesce("qualified", F.lit(False)) & (F.col("sample") == "holdout_market"))
+    qualified = primary.filter(F.coalesce("qualified", F.lit(False)) & (F.col("sample") == "holdout_market"))
     window = qualified.groupBy("sample").agg(
         F.min("sale_date").alias("window_start"), F.max("sale_date").alias("window_end"))
-    rescored = valuation_scores(qualified).join(bounded(window), "sample", "left")
+    rescored = valuation_scores(qualified).join(window, "sample", "left")
     return valuation_scores(scored).withColumns({
         "rule": F.lit("seasoned"), "window_start": F.lit(None).cast("date"),
         "window_end": F.lit(None).cast("date"),
@@ -362,7 +381,7 @@ def exit_study(spells: DataFrame, development: str, holdout: str, *, spec: Featu
         splits.concat_partitions(split, "training", "calibration"), cutoffs.test_start)
     model = fit_operator_hazard(fitting, spec, max_weeks, regularization)
     test = splits.concat_partitions(split, "out_of_time_test")
-    needed = ["parcel_id", "operator", *spec.numeric, *spec.categorical, "duration_weeks", "event_observed"]
+    needed = ["parcel_id", "operator", "acquisition_date", *spec.numeric, *spec.categorical, "duration_weeks", "event_observed"]
     samples = [("training", fitting), ("out_of_time_test", test), ("holdout_market", later)]
     parts = [df.select(*needed).withColumn("sample", F.lit(name)) for name, df in samples]
     rows = survival.person_period(parts[0].unionByName(parts[1]).unionByName(parts[2]),
@@ -373,4 +392,5 @@ def exit_study(spells: DataFrame, development: str, holdout: str, *, spec: Featu
 
 
 def exit_scores(scored: DataFrame) -> DataFrame:
-    return metrics.hazard_metrics(scored, ["sample"]).join(metrics.roc_auc(scored, ["sample"]), "sample")
+    counted = scored.withColumn("_episode", F.struct("parcel_id", "operator", "acquisition_date"))
+    return metrics.hazard_metrics(counted, ["sample"], episode="_episode", parcel="parcel_id").join(metrics.roc_auc(scored, ["sample"]), "sample")

@@ -8,14 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from homespell.functions import scalars as S
-from homespell.operators.scale import (
-    ROWS_PER_TASK,
-    OrderedGroups,
-    bounded,
-    exact_percentiles,
-    group_sizes,
-    order_groups,
-)
+from homespell.operators.scale import exact_percentiles, order_groups
 
 SALE_KEY = ("market", "parcel_id", "sale_date", "sale_price")
 MINIMUM_PRICE, MAXIMUM_PRICE = 25_000.0, 10_000_000.0
@@ -98,50 +91,24 @@ def dedupe_keep_last(df: DataFrame, seq: str = "seq", key: Sequence[str] = SALE_
     return df.groupBy(*key).agg(last).select(*key, "_last.*").select(*df.columns)
 
 
-def with_prior_sale(df: DataFrame, seq: str = "seq", *, sizing: DataFrame | None = None,
-                    rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def with_prior_sale(df: DataFrame, seq: str = "seq") -> DataFrame:
     """Date and price of the previous eligible sale of the same parcel."""
     marked = df.withColumn("_sale", F.struct("sale_date", "sale_price"))
-    ordered = order_groups(marked, ("market", "parcel_id"), ("sale_date", seq, "sale_price"),
-                           sizing=sizing, rows_per_task=rows_per_task)
-    return _prior_columns(ordered)
-
-
-def _prior_columns(ordered: OrderedGroups) -> DataFrame:
-    linked = ordered.previous("_sale", "_prior").result()
-    return linked.withColumns({
+    ordered = order_groups(marked, ("market", "parcel_id"), ("sale_date", seq, "sale_price"))
+    return ordered.previous("_sale", "_prior").result().withColumns({
         "prior_sale_date": F.col("_prior.sale_date"),
         "prior_sale_price": F.col("_prior.sale_price"),
     }).drop("_sale", "_prior")
 
 
-def dedupe_with_prior_sale(df: DataFrame, seq: str = "seq", *, sizing: DataFrame | None = None,
-                           rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """``dedupe_keep_last`` then ``with_prior_sale``; small parcels share a single shuffle."""
-    largest, _ = group_sizes(df if sizing is None else sizing, ("market", "parcel_id"))
-    if largest > rows_per_task:
-        return with_prior_sale(dedupe_keep_last(df, seq), seq, rows_per_task=rows_per_task)
-    placed = df.repartition("market", "parcel_id")
-    copies = Window.partitionBy(*SALE_KEY).orderBy(F.col(seq).desc())
-    unique = placed.withColumn("_copy", F.row_number().over(copies)).filter("_copy = 1").drop("_copy")
-    marked = unique.withColumn("_sale", F.struct("sale_date", "sale_price"))
-    return _prior_columns(
-        OrderedGroups(marked, ("market", "parcel_id"), ("sale_date", seq, "sale_price"), False)
-    )
-
+def dedupe_with_prior_sale(df: DataFrame, seq: str = "seq") -> DataFrame:
+    return with_prior_sale(dedupe_keep_last(df, seq), seq)
 
-def quarterly_medians(df: DataFrame, *, sizing: DataFrame | None = None,
-                      rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Exact median price per market and quarter, and the one of the previous observed quarter.
 
-    ``sizing`` may be a cheaper superset of the rows, used only to measure the groups.
-    """
-    quarter = S.calendar_quarter("sale_date").alias("q")
-    sales = df.select("market", quarter, "sale_price")
-    sizes = None if sizing is None else sizing.select("market", quarter)
-    medians = exact_percentiles(sales, ("market", "q"), "sale_price",
-                                {"market_quarter_median": 0.5}, sizing=sizes,
-                                rows_per_task=rows_per_task)
+def quarterly_medians(df: DataFrame) -> DataFrame:
+    """Exact median price per market and quarter, and the one of the previous observed quarter."""
+    sales = df.select("market", S.calendar_quarter("sale_date").alias("q"), "sale_price")
+    medians = exact_percentiles(sales, ("market", "q"), "sale_price", {"market_quarter_median": 0.5})
     # One row per quarter and market: the window is as long as the calendar.
     window = Window.partitionBy("market").orderBy("q")
     return medians.withColumn(
@@ -203,20 +170,11 @@ def calendar_features(df: DataFrame, date: str, prefix: str) -> DataFrame:
     return df.withColumns({f"{prefix}_year": F.year(date), f"{prefix}_quarter": F.quarter(date)})
 
 
-def valuation_panel(transactions: DataFrame, *, seq: str = "seq",
-                    sizing: DataFrame | None = None,
-                    rows_per_task: int = ROWS_PER_TASK, **screen) -> DataFrame:
-    """Screened sales with prior sale, lagged market medians and structure features.
-
-    ``sizing`` may be an unfiltered superset that is cheaper to count than ``transactions``.
-    """
+def valuation_panel(transactions: DataFrame, *, seq: str = "seq", **screen) -> DataFrame:
+    """Screened sales with prior sale, lagged market medians and structure features."""
     eligible = valuation_screen(transactions, **screen)
-    sizes = transactions if sizing is None else sizing
-    linked = dedupe_with_prior_sale(eligible, seq, sizing=sizes, rows_per_task=rows_per_task)
-    distinct_sales = eligible.select(*SALE_KEY).distinct()
-    medians = bounded(
-        quarterly_medians(distinct_sales, sizing=sizes, rows_per_task=rows_per_task)
-    )
+    linked = dedupe_with_prior_sale(eligible, seq)
+    medians = quarterly_medians(eligible.select(*SALE_KEY).distinct())
     panel = strict_prior_quarter(repeat_sale_features(join_quarter_medians(linked, medians)))
     return structure_features(
         calendar_features(panel, "sale_date", "sale"), "sale_year", "sale_price"

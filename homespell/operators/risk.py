@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from homespell.operators.scale import (
     MASS_TOLERANCE,
-    ROWS_PER_TASK,
     join_on,
     order_groups,
 )
@@ -43,11 +42,10 @@ def expected_profit(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def cumulative_mass(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
-                    rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def cumulative_mass(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Adds ``upto`` and ``start``: normalized mass up to and before each atom."""
     ranked = (
-        order_groups(df, keys, order, rows_per_task=rows_per_task)
+        order_groups(df, keys, order)
         .running_sum("p", "_upto").totals("p", "_total").result()
     )
     scale = _scale_of(F.col("_total"))
@@ -59,8 +57,7 @@ def cumulative_mass(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
 
 
 def tail_statistics(df: DataFrame, keys: Sequence[str], *, alpha: float = 0.1,
-                    quantiles: Mapping[str, float] | None = None,
-                    rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                    quantiles: Mapping[str, float] | None = None) -> DataFrame:
     """Expected positive loss and mean profit in the worst ``alpha`` mass, and quantiles.
 
     Atoms of equal profit are merged first: they are interchangeable in a tail.
@@ -68,7 +65,7 @@ def tail_statistics(df: DataFrame, keys: Sequence[str], *, alpha: float = 0.1,
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be in (0, 1]")
     merged = positive_mass(df).groupBy(*keys, "profit").agg(F.sum("p").alias("p"))
-    placed = cumulative_mass(merged, keys, ["profit"], rows_per_task=rows_per_task)
+    placed = cumulative_mass(merged, keys, ["profit"])
     tail = F.greatest(F.lit(0.0), F.least(F.col("upto"), F.lit(alpha)) - F.col("start"))
     profit = F.col("profit")
     return placed.groupBy(*keys).agg(
@@ -84,8 +81,7 @@ def tail_statistics(df: DataFrame, keys: Sequence[str], *, alpha: float = 0.1,
 
 
 def compress_distribution(df: DataFrame, keys: Sequence[str], max_points: int,
-                          tie_break: Sequence[str] = (), *,
-                          rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                          tie_break: Sequence[str] = ()) -> DataFrame:
     """At most ``max_points`` atoms of equal mass, each at the mean profit of its bin.
 
     An atom may be split over neighbouring bins. Smaller distributions stay as they are.
@@ -94,7 +90,7 @@ def compress_distribution(df: DataFrame, keys: Sequence[str], max_points: int,
         raise ValueError("max_points must be positive")
     atoms = positive_mass(df).withColumn("_one", F.lit(1).cast("bigint"))
     ranked = (
-        order_groups(atoms, keys, ["profit", *tie_break], rows_per_task=rows_per_task)
+        order_groups(atoms, keys, ["profit", *tie_break])
         .running_sum("p", "_upto").running_sum("_one", "_rank")
         .totals("p", "_total").totals("_one", "_atoms").result()
     )

@@ -1,9 +1,8 @@
-"""Building blocks that keep ordered computations distributed when one key is hot.
+"""Building blocks that keep ordered computations distributed however rows fall on keys.
 
-A plain window sends each group to one task. That is the best plan while groups are small, and
-the sizes are known after one map-side combined count. When a group is larger than one task
-should hold, its rows are range partitioned by (key, order), each range is processed by itself,
-and only one summary row per range is carried forward to the next range of the same key.
+Rows are range partitioned by (key, order), each range is processed by itself, and only one summary
+row per range is carried forward to the next range of the same key. There is one plan for every
+size: a key may hold any share of the rows. Values that can be merged are merged before.
 """
 
 from __future__ import annotations
@@ -16,38 +15,10 @@ from pyspark.sql import functions as F
 
 from homespell.session import materialize
 
-ROWS_PER_TASK = 2_000_000
-BOUNDED_ROWS = 50_000
 MASS_TOLERANCE = 1e-9
 _CHUNK = "_chunk"
 
 
-def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """Rows of the largest group and of all groups, from a map-side combined count."""
-    if not keys:
-        total = df.count()
-        return total, total
-    row = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.max("n").alias("largest"), F.sum("n").alias("total"))
-        .first()
-    )
-    return row["largest"] or 0, row["total"] or 0
-
-
-def bounded(df: DataFrame, max_rows: int = BOUNDED_ROWS) -> DataFrame:
-    """A broadcast copy of ``df`` when it has at most ``max_rows`` rows, else ``df`` unhinted.
-
-    The rows are fetched once, so later joins neither recompute nor shuffle them. A larger table
-    stays distributed and is joined by shuffle, where adaptive execution splits skewed keys.
-    """
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(table, df.schema))
-
-
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join in which null keys match each other, as null groups do in a ``groupBy``."""
     renamed = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})
@@ -58,8 +29,10 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
 
 
 def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
-    """Add the columns of a one-row aggregate to every row, as scalar subqueries."""
-    return df.withColumns({name: row.select(name).scalar() for name in row.columns})
+    """Add the columns of a one-row aggregate to every row, through one scalar subquery."""
+    kept = [name for name in df.columns if name not in row.columns]
+    attached = df.select(*kept, row.select(F.struct(*row.columns).alias("_row")).scalar().alias("_row"))
+    return attached.select(*kept, *[F.col("_row")[name].alias(name) for name in row.columns])
 
 
 @dataclass(frozen=True)
@@ -73,11 +46,9 @@ class OrderedGroups:
     frame: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    chunked: bool
 
     def _window(self) -> WindowSpec:
-        partition = [*self.keys, _CHUNK] if self.chunked else list(self.keys)
-        return Window.partitionBy(*partition).orderBy(*self.order)
+        return Window.partitionBy(*self.keys, _CHUNK).orderBy(*self.order)
 
     def _carry(self, summary: Column, combine) -> DataFrame:
         """One row per (key, chunk) that continues a key from an earlier chunk.
@@ -105,61 +76,35 @@ class OrderedGroups:
         """Last non-null ``value`` strictly before each row."""
         window = self._window().rowsBetween(Window.unboundedPreceding, -1)
         frame = self.frame.withColumn(out, F.last(value, ignorenulls=True).over(window))
-        if self.chunked:
-            position = F.when(F.col(value).isNotNull(), F.struct(*self.order))
-            carry = self._carry(
-                F.max_by(value, position), lambda name: F.last(name, ignorenulls=True)
-            )
-            frame = self._attach(frame, carry)
-            frame = frame.withColumn(out, F.coalesce(out, "_carried")).drop("_carried")
-        return replace(self, frame=frame)
+        position = F.when(F.col(value).isNotNull(), F.struct(*self.order))
+        carry = self._carry(F.max_by(value, position), lambda name: F.last(name, ignorenulls=True))
+        frame = self._attach(frame, carry).withColumn(out, F.coalesce(out, "_carried"))
+        return replace(self, frame=frame.drop("_carried"))
 
     def running_sum(self, value: str, out: str) -> OrderedGroups:
         """Sum of ``value`` up to and including each row."""
         window = self._window().rowsBetween(Window.unboundedPreceding, 0)
         frame = self.frame.withColumn(out, F.sum(value).over(window))
-        if self.chunked:
-            frame = self._attach(frame, self._carry(F.sum(value), F.sum))
-            frame = frame.withColumn(
-                out, F.col(out) + F.coalesce(F.col("_carried"), F.lit(0))
-            ).drop("_carried")
-        return replace(self, frame=frame)
+        frame = self._attach(frame, self._carry(F.sum(value), F.sum))
+        carried = F.coalesce(F.col("_carried"), F.lit(0))
+        return replace(self, frame=frame.withColumn(out, F.col(out) + carried).drop("_carried"))
 
     def totals(self, value: str, out: str) -> OrderedGroups:
         """Sum of ``value`` over each whole key."""
-        if not self.chunked:
-            whole = Window.partitionBy(*self.keys)
-            return replace(self, frame=self.frame.withColumn(out, F.sum(value).over(whole)))
         sums = self.frame.groupBy(*self.keys).agg(F.sum(value).alias(out))
         if not self.keys:
             return replace(self, frame=attach_row(self.frame, sums))
         return replace(self, frame=join_on(self.frame, sums, self.keys))
 
     def result(self) -> DataFrame:
-        return self.frame.drop(_CHUNK) if self.chunked else self.frame
+        return self.frame.drop(_CHUNK)
 
 
-def order_groups(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    *,
-    sizing: DataFrame | None = None,
-    sizing_keys: Sequence[str] | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
-) -> OrderedGroups:
-    """Choose between plain windows and range chunks by the measured size of the largest group.
-
-    ``sizing`` may be a cheaper frame whose groups are at least as large as those of ``df``.
-    """
-    largest, total = group_sizes(df if sizing is None else sizing, sizing_keys or keys)
-    if largest <= rows_per_task:
-        return OrderedGroups(df, tuple(keys), tuple(order), False)
-    shuffle_partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(shuffle_partitions, -(-total // max(rows_per_task, 1)))
+def order_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> OrderedGroups:
+    """Deal the rows to ranges of (key, order)."""
     # The range id must be read back, never recomputed: a second sampling could move the bounds.
-    ranged = df.repartitionByRange(parts, *keys, *order).withColumn(_CHUNK, F.spark_partition_id())
-    return OrderedGroups(materialize(ranged), tuple(keys), tuple(order), True)
+    ranged = df.repartitionByRange(*keys, *order).withColumn(_CHUNK, F.spark_partition_id())
+    return OrderedGroups(materialize(ranged), tuple(keys), tuple(order))
 
 
 def exact_percentiles(
@@ -167,20 +112,12 @@ def exact_percentiles(
     keys: Sequence[str],
     value: str,
     fractions: Mapping[str, float],
-    *,
-    sizing: DataFrame | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Interpolated percentiles per key; nulls are ignored, keys without values are absent."""
     present = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_value"))
-    largest, _ = group_sizes(present if sizing is None else sizing, keys)
-    if largest <= rows_per_task:
-        return present.groupBy(*keys).agg(
-            *[F.percentile("_value", F.lit(p)).alias(name) for name, p in fractions.items()]
-        )
     counts = present.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n"))
     ranked = (
-        order_groups(counts, keys, ["_value"], rows_per_task=rows_per_task)
+        order_groups(counts, keys, ["_value"])
         .running_sum("_n", "_upto")
         .totals("_n", "_total")
         .result()
@@ -209,8 +146,6 @@ def weighted_quantiles(
     value: str,
     weight: str,
     fractions: Mapping[str, float],
-    *,
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """First sorted value whose share of the cumulative weight reaches each fraction."""
     merged = (
@@ -219,7 +154,7 @@ def weighted_quantiles(
         .agg(F.sum(weight).alias("_w"))
     )
     ranked = (
-        order_groups(merged, keys, ["_value"], rows_per_task=rows_per_task)
+        order_groups(merged, keys, ["_value"])
         .running_sum("_w", "_upto")
         .totals("_w", "_total")
         .result()
@@ -233,13 +168,20 @@ def weighted_quantiles(
     )
 
 
-def rank_positions(
-    df: DataFrame, order: Sequence[str], out: str, *, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
+def rank_positions(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     """Zero-based position of every row in one global order."""
-    ordered = order_groups(
-        df.withColumn("_one", F.lit(1).cast("bigint")), (), order, rows_per_task=rows_per_task
-    )
-    return (
-        ordered.running_sum("_one", out).result().withColumn(out, F.col(out) - 1).drop("_one")
-    )
+    ordered = order_groups(df.withColumn("_one", F.lit(1).cast("bigint")), (), order)
+    return ordered.running_sum("_one", out).result().withColumn(out, F.col(out) - 1).drop("_one")
+
+
+def stacked(df: DataFrame, keys: Sequence[str], values: Mapping[str, str], *also: str) -> DataFrame:
+    """One row per row and column of ``values``: (keys, also, measure, value), named by the mapping."""
+    rows = F.array(*[F.struct(F.lit(name).alias("measure"), F.col(column).cast("double").alias("value"))
+                     for column, name in values.items()])
+    return df.select(*keys, *also, F.inline(rows))
+
+
+def unstacked(df: DataFrame, keys: Sequence[str], names: Sequence[str], value: str) -> DataFrame:
+    """The measures of ``stacked`` as columns again."""
+    return df.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("measure") == name, F.col(value))).alias(name) for name in names])

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from homespell.operators.scale import bounded, join_on
+from homespell.operators.scale import join_on
 
 SPLITS = ("training", "calibration", "out_of_time_test")
 
@@ -180,14 +180,14 @@ def supported_operators(df: DataFrame, markets: tuple[str, str], minimum: int =
 
 
 def keep_supported(df: DataFrame, supported: DataFrame) -> DataFrame:
-    return df.join(bounded(supported.select("operator")), "operator", "left_semi")
+    return df.join(supported.select("operator"), "operator", "left_semi")
 
 
 def bucket_rare(df: DataFrame, training: DataFrame, category: str, minimum: int = 5,
                 out: str = "bucket", label: str = "__rare__") -> DataFrame:
     """Category with enough training rows, or one shared label for the rare and unseen ones."""
     counts = training.groupBy(category).agg(F.count(F.lit(1)).alias("_n"))
-    frequent = bounded(counts.filter(F.col("_n") >= minimum))
+    frequent = counts.filter(F.col("_n") >= minimum)
     return df.join(frequent, category, "left").withColumn(
         out, F.when(F.col("_n").isNotNull(), F.col(category)).otherwise(F.lit(label))
     ).drop("_n")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from homespell.operators.scale import ROWS_PER_TASK, exact_percentiles, join_on
+from homespell.operators.scale import exact_percentiles, join_on, stacked, unstacked
 
 
 def person_period(df: DataFrame, duration: str = "duration_weeks", event: str = "event_observed",
@@ -144,8 +144,7 @@ def median_period(curve: DataFrame, unit: Sequence[str], max_period: int,
     )
 
 
-def episode_summary(df: DataFrame, keys: Sequence[str] = ("market", "operator"), *,
-                    rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def episode_summary(df: DataFrame, keys: Sequence[str] = ("market", "operator")) -> DataFrame:
     """Counts, exit shares, Kaplan-Meier estimates and medians per group; null keys are groups."""
     seen = F.col("event_observed").cast("boolean")
     parcels = df.groupBy(*keys, "parcel_id").agg(
@@ -163,16 +162,9 @@ def episode_summary(df: DataFrame, keys: Sequence[str] = ("market", "operator"),
         F.max("last").alias("acquisition_end"),
     )
     exits = df.filter(seen)
-    parts = [
-        exits.groupBy(*keys).agg(
-            F.percentile("hold_days", F.lit(0.5)).alias("median_observed_hold_days")
-        ),
-        km_estimates(df, keys),
-    ]
-    for name in ("gross_spread", "gross_return"):
-        if name in df.columns:
-            parts.append(exact_percentiles(exits, keys, name, {f"median_{name}": 0.5},
-                                           rows_per_task=rows_per_task))
-    for part in parts:
+    medians = {"hold_days": "median_observed_hold_days"} | {
+        name: f"median_{name}" for name in ("gross_spread", "gross_return") if name in df.columns}
+    middle = exact_percentiles(stacked(exits, keys, medians), [*keys, "measure"], "value", {"middle": 0.5})
+    for part in (unstacked(middle, keys, list(medians.values()), "middle"), km_estimates(df, keys)):
         summary = join_on(summary, part, list(keys))
     return summary

@@ -104,7 +104,7 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
     """Repeat-sale panel of the analysis universe."""
     sales = transactions(spark, sf)
     universe = panels.analysis_universe(sales, CUTOFF, MARKET_B)
-    return panels.valuation_panel(universe, sizing=sales, require_qualified=False)
+    return panels.valuation_panel(universe, require_qualified=False)
 
 
 def episodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,6 +171,7 @@ def probabilities(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("o_orderkey") % 7 + 1).cast("int").alias("period"),
         (F.col("o_orderstatus") == "F").cast("int").alias("y"),
         ((F.col("o_orderkey") % 97 + 1) / 99).alias("p"),
+        F.col("o_custkey").alias("episode"), (F.col("o_custkey") % 50).alias("parcel"),
     )
 
 
@@ -351,7 +352,7 @@ FEATURES = """feats AS (SELECT user_id AS entity_id, event_type AS name, value,
 
 PROBS = """probs AS (SELECT o_orderpriority AS grp, CAST(o_orderkey % 7 + 1 AS INTEGER) AS period,
  CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y,
- (o_orderkey % 97 + 1) / CAST(99 AS DOUBLE) AS p FROM orders)"""
+ (o_orderkey % 97 + 1) / CAST(99 AS DOUBLE) AS p, o_custkey AS episode, o_custkey % 50 AS parcel FROM orders)"""
 
 LEADS = """leads0 AS (SELECT c_custkey AS property_id,
  CAST(150000 + c_custkey % 1000 * 900 AS DOUBLE) AS value, c_custkey % 4 AS k,

@@ -15,7 +15,7 @@ from homespell.plans.query import Registry
 registry = Registry()
 query = registry.add
 
-TREES = 10
+WEEKS = 156
 SPEC = M.FeatureSpec(("offer_ratio", "log_price"), ("grp",))
 HAZARD = M.FeatureSpec(("list_price_premium",), ("grp",))
 
@@ -51,7 +51,7 @@ def _(spark, sf):
     values = vector_to_array("features")
     return out.select(
         "lead_id", values[0].alias("offer_z"), values[1].alias("price_z"), F.size(values).alias("width"),
-        F.aggregate(F.slice(values, 3, 100), F.lit(0.0), lambda a, x: a + x).alias("indicators"))
+        F.aggregate(F.slice(values, F.lit(3), F.greatest(F.size(values) - 2, F.lit(0))), F.lit(0.0), lambda a, x: a + x).alias("indicators"))
 
 
 @query("j2_acceptance_logit", "lead_id i, probability f6, predicted i")
@@ -69,14 +69,14 @@ def _(spark, sf):
 
 
 def _operator_model(spark, sf):
-    return M.fit_operator_hazard(_episode_panel(spark, sf), M.EXIT_FEATURES, 26)
+    return M.fit_operator_hazard(_episode_panel(spark, sf), M.EXIT_FEATURES, WEEKS)
 
 
 @query("j4_operator_hazard_logit", "operator s, period i, hazard f6, n i")
 def _(spark, sf):
     spells = _episode_panel(spark, sf)
-    model = M.fit_operator_hazard(spells, M.EXIT_FEATURES, 26)
-    scored = M.score_hazard(model, survival.person_period(spells, max_periods=26))
+    model = M.fit_operator_hazard(spells, M.EXIT_FEATURES, WEEKS)
+    scored = M.score_hazard(model, survival.person_period(spells, max_periods=WEEKS))
     return scored.groupBy("operator", "period").agg(F.avg("hazard").alias("hazard"), F.count(F.lit(1)).alias("n"))
 
 
@@ -103,7 +103,7 @@ def _(spark, sf):
     parted = M.splits.grouped_split(sales, "parcel_id", 0.2, 0)
     model = M.fit_gbt_conformal(
         parted.filter("NOT is_calibration"), parted.filter("is_calibration"), "sale_price",
-        M.VALUATION_FEATURES, scale="lagged_market_median_price", max_iter=TREES)
+        M.VALUATION_FEATURES, scale="lagged_market_median_price")
     return model.transform(sales)
 
 
@@ -135,21 +135,21 @@ def _(spark, sf):
 
 @query("j13_valuation_study", "sample s, predictor s, n_transactions i, mean_absolute_error f2, interval_coverage f6")
 def _(spark, sf):
-    _, scored = M.valuation_study(_repeats(spark, sf), B.MARKET_A, B.MARKET_B, max_iter=TREES)
+    _, scored = M.valuation_study(_repeats(spark, sf), B.MARKET_A, B.MARKET_B)
     return M.valuation_scores(scored)
 
 
-@query("j14_exit_study", "sample s, n_risk_rows i, n_events_within_horizon i, person_period_brier_score f6, "
+@query("j14_exit_study", "sample s, n_risk_rows i, n_events_within_horizon i, n_episodes i, n_parcels i, person_period_brier_score f6, "
        "brier_skill_score f5, person_period_log_loss f6, risk_row_auc f5")
 def _(spark, sf):
-    _, scored = M.exit_study(_episode_panel(spark, sf), B.MARKET_A, B.MARKET_B, max_weeks=26)
+    _, scored = M.exit_study(_episode_panel(spark, sf), B.MARKET_A, B.MARKET_B)
     return M.exit_scores(scored)
 
 
 @query("j15_sensitivity_rerun", "sample s, predictor s, rule s, n_transactions i, mean_absolute_error f2, "
        "window_start d, window_end d")
 def _(spark, sf):
-    return M.sensitivity_rerun(_repeats(spark, sf), B.MARKET_A, B.MARKET_B, max_iter=TREES)
+    return M.sensitivity_rerun(_repeats(spark, sf), B.MARKET_A, B.MARKET_B)
 
 
 @query("k8_score_states", "property_id i, week i, cents i, hazard f6, in_support b")

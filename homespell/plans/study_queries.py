@@ -357,7 +357,7 @@ def _(spark, sf):
     allowed = spark.createDataFrame(
         [(B.MARKET_A, "2000-05-05"), (B.MARKET_B, "2020-01-01")], "market string, latest string"
     ).withColumn("latest", F.to_date("latest"))
-    return linkage.observation_end(B.transactions(spark, sf), scale.bounded(allowed))
+    return linkage.observation_end(B.transactions(spark, sf), allowed)
 
 
 _KM_SQL = """, kmn AS (SELECT market, operator, hold_days AS t, count(*) AS n,
@@ -435,22 +435,23 @@ def _(spark, sf):
     return scale.weighted_quantiles(orders, ["o_orderpriority"], "o_totalprice", "w", {"weighted_median": 0.5})
 
 
-_HAZ = "n_risk_rows i, n_events_within_horizon i, person_period_brier_score f9, " \
+_HAZ = "n_risk_rows i, n_events_within_horizon i, n_episodes i, n_parcels i, person_period_brier_score f9, " \
        "constant_hazard_brier_score f9, brier_skill_score f9, person_period_log_loss f9, " \
        "observed_person_period_hazard f9, mean_predicted_person_period_hazard f9"
 
 
 @query("e11_hazard_metrics", "grp s, " + _HAZ,
        f"""WITH {B.PROBS} SELECT grp, count(*) AS n_risk_rows, sum(y) AS n_events_within_horizon,
+       count(DISTINCT episode) AS n_episodes, count(DISTINCT parcel) AS n_parcels,
        avg((p - y) * (p - y)) AS person_period_brier_score,
        avg((0.3::DOUBLE - y) * (0.3::DOUBLE - y)) AS constant_hazard_brier_score,
        1 - avg((p - y) * (p - y)) / avg((0.3::DOUBLE - y) * (0.3::DOUBLE - y)) AS brier_skill_score,
        avg(-(y * ln(p) + (1 - y) * ln(1 - p))) AS person_period_log_loss,
        avg(y) AS observed_person_period_hazard, avg(p) AS mean_predicted_person_period_hazard
-       FROM (SELECT grp, y, least(greatest(p, 1e-9), 1 - 1e-9) AS p FROM probs) GROUP BY 1""")
+       FROM (SELECT grp, y, episode, parcel, least(greatest(p, 1e-9), 1 - 1e-9) AS p FROM probs) GROUP BY 1""")
 def _(spark, sf):
     return metrics.hazard_metrics(B.probabilities(spark, sf), ["grp"], probability="p", outcome="y",
-                                  training_rate=0.3)
+                                  training_rate=0.3, episode="episode", parcel="parcel")
 
 
 @query("e12_roc_auc", "grp s, risk_row_auc f9",
