@@ -7,11 +7,11 @@ with ``m`` agreements, and a uniform prior, the chance that the similarity reach
 the binomial tail ``P(Bin(n + 1, t) <= m)``; pairs below ``MISS`` are dropped at once. Survivors are
 verified on their full sets.
 
-Only what can still change a component is compared. Pass one pairs every member of a band with the
-band's smallest member. Later passes look only at bands that still hold several components and
-pair members of different components: first each member's best partner, then all the rest. The
-last pass leaves no candidate pair between two components unjudged, so the components are those
-of all candidate links.
+Only what can still change a component is compared. First every member of a band is paired with the
+band's smallest member. Then bands that still hold several components are compared within: members of
+different components meet in bounded blocks that carry their sets, each pair in the first band that it
+shares, likeliest first, and pairs that earlier links of the block have joined are skipped. A block
+gives only links that join something, so the result grows with the members and not with their pairs.
 """
 
 from __future__ import annotations
@@ -103,8 +103,9 @@ def _bands(batch: pa.RecordBatch) -> pa.RecordBatch:
     keys = mix(signatures ^ mix(np.arange(1, BANDS + 1, dtype=np.uint64)))
     row = np.repeat(np.arange(batch.num_rows), BANDS)
     return pa.RecordBatch.from_arrays(
-        [pa.array(keys.view(np.int64).ravel()), batch.column("class").take(pa.array(row)), batch.column("digest").take(pa.array(row))],
-        names=["band", "class", "digest"])
+        [pa.array(keys.view(np.int64).ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)),
+         batch.column("class").take(pa.array(row)), batch.column("digest").take(pa.array(row))],
+        names=["band", "band_at", "class", "digest"])
 
 
 def _compare_pairs(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -115,34 +116,61 @@ def _compare_pairs(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.select(["a", "b", "digest_a", "digest_b"]).take(pa.array(at))
 
 
-def _block_pairs(best_only: bool):
-    """Compare members of different components inside each (band, part) run of sorted rows."""
+def _common(left: np.ndarray, right: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(left) > len(right):
+        left, right = right, left
+    at = np.searchsorted(right, left)
+    at[at == len(right)] = 0
+    return int((right[at] == left).sum())
+
+
+def _block_links(threshold: int):
+    """Links between different components inside each (band, part) run of sorted rows."""
 
     def of_run(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         table = pa.Table.from_batches(rows).combine_chunks()
-        component = table.column("component").to_numpy()
-        side = table.column("side").to_numpy()
+        component = table.column("component").to_numpy().tolist()
+        side, band_at = table.column("side").to_numpy(), int(table.column("band_at")[0].as_py())
         signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, HASHES)
+        lists = table.column("elements").chunk(0)
+        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        number = np.unique(component, return_inverse=True)[1]
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         found = []
         for start in range(0, len(left), 64):
             i, j = (x.ravel() for x in np.meshgrid(left[start:start + 64], right, indexing="ij"))
-            apart = component[i] != component[j]
+            apart = number[i] != number[j]
             i, j = i[apart], j[apart]
             at, matches = surviving(signatures[i], signatures[j])
             i, j = i[at], j[at]
-            if best_only and len(i):
-                order = np.lexsort((-matches, i))
-                first = np.r_[True, i[order][1:] != i[order][:-1]]
-                i, j = i[order][first], j[order][first]
-            found.append(np.stack([i, j]))
-        pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-        if not pairs.shape[1]:
+            shared = (signatures[i] == signatures[j]).reshape(-1, BANDS, ROWS).all(axis=2)
+            first = shared.argmax(axis=1) == band_at
+            found.append(np.stack([matches[first], i[first], j[first]]))
+        pairs = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
+        parent = list(range(number.max() + 1))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        joined_a, joined_b = [], []
+        for at in np.argsort(-pairs[0], kind="stable").tolist():
+            i, j = int(pairs[1, at]), int(pairs[2, at])
+            a, b = root(number[i]), root(number[j])
+            if a == b:
+                continue
+            one, two = values[offsets[i]:offsets[i + 1]], values[offsets[j]:offsets[j + 1]]
+            common = _common(one, two)
+            if 100 * common >= threshold * (len(one) + len(two) - common):
+                parent[max(a, b)] = min(a, b)
+                joined_a.append(component[i])
+                joined_b.append(component[j])
+        if not joined_a:
             return None
-        a, b = table.take(pa.array(pairs[0])), table.take(pa.array(pairs[1]))
-        return pa.RecordBatch.from_arrays(
-            [x.column(n).combine_chunks() for x, n in ((a, "class"), (b, "class"), (a, "digest"), (b, "digest"))],
-            names=["a", "b", "digest_a", "digest_b"])
+        return pa.RecordBatch.from_arrays([pa.array(joined_a, pa.int64()), pa.array(joined_b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -194,7 +222,7 @@ def _split_bands(members: DataFrame) -> DataFrame:
     as_right = F.transform(F.filter(fringe_parts, lambda left: left <= own),
                            lambda left: F.struct(left.alias("part_a"), own.alias("part_b"), F.lit(1).alias("side")))
     return (placed.withColumn("part", F.explode(F.concat(as_left, as_right)))
-            .select("band", F.col("part.part_a"), F.col("part.part_b"), F.col("part.side"), "class", "digest", "component"))
+            .select("band", F.col("part.part_a"), F.col("part.part_b"), F.col("part.side"), "band_at", "digest", "component"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -213,14 +241,14 @@ def _element_lists(batch: pa.RecordBatch) -> pa.RecordBatch:
         [pa.array([digest(x) for x in lists], pa.binary()), ragged([x.view(np.int64) for x in lists], np.int64)], names=["digest", "elements"])
 
 
-def _apart(members: DataFrame, forest: DataFrame, signed: DataFrame, best_only: bool) -> DataFrame:
-    """Candidate pairs between members that are still in different components."""
+def _apart(members: DataFrame, forest: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links between components that bands still hold apart."""
     component = forest.select(F.col("node").alias("class"), "component")
     labelled = (members.where("n > 2").join(component, "class", "left")
-                .select("band", "class", "digest", F.coalesce("component", "class").alias("component")))
-    parts = (_split_bands(labelled).join(signed, "digest")
+                .select("band", "band_at", "digest", F.coalesce("component", "class").alias("component")))
+    parts = (_split_bands(labelled).join(sets, "digest")
              .repartition("band", "part_a", "part_b").sortWithinPartitions("band", "part_a", "part_b"))
-    return map_partitions(parts, _block_pairs(best_only), "a long, b long, digest_a binary, digest_b binary").distinct()
+    return map_partitions(parts, _block_links(threshold), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -239,12 +267,13 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                       .join(classes.select("digest", "class"), "digest", "left").select("doc_id", "n_shingles", "class"), "rows")
     store.discard(described)
 
-    # Bands with the same members (a tight group shares most of its bands) are compared once.
-    bands = map_batches(classes.select("class", "digest", "signature"), _bands, "band long, class long, digest binary")
+    # Bands with the same members (a tight group shares most of its bands) are compared once, at the
+    # first of them, so the first band that a pair shares is always among those kept.
+    bands = map_batches(classes.select("class", "digest", "signature"), _bands, "band long, band_at int, class long, digest binary")
     shared = (bands.groupBy("band").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("class", "digest")).alias("least"),
+        F.count(F.lit(1)).alias("n"), F.min("band_at").alias("band_at"), F.min(F.struct("class", "digest")).alias("least"),
         F.bit_xor(F.xxhash64("digest")).alias("print_a"), F.bit_xor(F.xxhash64(F.lit(1), "digest")).alias("print_b")).where("n > 1")
-        .groupBy("n", "print_a", "print_b").agg(F.min(F.struct("band", "least")).alias("kept")))
+        .groupBy("n", "print_a", "print_b").agg(F.min(F.struct("band_at", "band", "least")).alias("kept")))
     members = store.save(bands.join(shared.select("kept.band", "n", F.col("kept.least.class").alias("least"), F.col("kept.least.digest").alias("least_digest")), "band"), "members")
 
     signed = classes.select("digest", "signature")
@@ -263,11 +292,10 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     same_id = rows.join(several, "doc_id").select(F.col("class").alias("a"), "b")
     forest = graph.components(_verified(pairs, sets, threshold).unionByName(same_id))
 
-    for best_only in (True, False):
-        found = store.save(_verified(_apart(members, forest, signed, best_only), sets, threshold), "links")
-        if found.limit(1).count():
-            forest = graph.components(found.unionByName(forest.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        store.discard(found)
+    found = store.save(_apart(members, forest, sets.join(signed, "digest"), threshold), "links")
+    if found.limit(1).count():
+        forest = graph.components(found.unionByName(forest.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    store.discard(found)
     store.discard(members, sets, classes)
 
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class", "doc_id"))
