@@ -2,8 +2,8 @@
 
 Everything about one lead (weekly prices, demand scenarios, profit atoms) has a fixed small size,
 so it lives in arrays on the lead's row. The jobs below are therefore map-only over leads: they
-need no shuffle, and no lead can be hot. A distribution holds at most scenarios x (weeks + 1)
-atoms, which ``check_points`` compares with the declared limit.
+need no shuffle, and no lead can be hot. A distribution of more atoms than the declared limit is
+folded into bins of equal mass. The dynamic program over prices is in ``markdown``.
 """
 
 from __future__ import annotations
@@ -31,11 +31,9 @@ class PricingConfig:
     min_list_price_ratio: float = 0.70
     max_distribution_points: int = 200
 
-    def check_points(self, scenarios: int) -> None:
-        if self.horizon_weeks <= 0 or not 0 < self.tail_probability <= 1:
-            raise ValueError("horizon and tail probability must be positive")
-        if scenarios * (self.horizon_weeks + 1) > self.max_distribution_points:
-            raise ValueError("distribution exceeds max_distribution_points; compress it first")
+    def check(self) -> None:
+        if self.horizon_weeks <= 0 or not 0 < self.tail_probability <= 1 or self.max_distribution_points <= 0:
+            raise ValueError("horizon, tail probability and distribution points must be positive")
 
 
 def elasticity_model(price: Column, week: Column, scenario: Column) -> tuple[Column, Column]:
@@ -133,14 +131,41 @@ def hold_cuts(horizon: int) -> Column:
     return F.array_repeat(F.lit(0.0), horizon)
 
 
-def evaluate_policy(leads: DataFrame, cuts: Column, config: PricingConfig, *, scenario_count: int,
+def compress_atoms(atoms: Column, points: int) -> Column:
+    """The atoms, or where they are more than ``points`` as many bins of equal mass at their mean profits."""
+    kind = "array<struct<profit:double,p:double,start:double>>"
+
+    def place(acc: Column, atom: Column) -> Column:
+        last = F.element_at(acc, -1)
+        start = F.when(F.size(acc) == 0, F.lit(0.0)).otherwise(last["start"] + last["p"])
+        return F.concat(acc, F.array(F.struct(atom["profit"], atom["p"], start.alias("start")))).cast(kind)
+
+    def binned(placed: Column, total: Column) -> Column:
+        def one(index: Column) -> Column:
+            low, high = total * index / points, total * (index + 1) / points
+
+            def add(acc: Column, a: Column) -> Column:
+                share = F.greatest(F.lit(0.0), F.least(a["start"] + a["p"], high) - F.greatest(a["start"], low))
+                return acc + share * a["profit"]
+
+            return _atom(F.aggregate(placed, F.lit(0.0), add) * points / total, total / points)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), one)
+
+    ordered = F.array_sort(F.filter(atoms, lambda a: a["p"] > 0))
+    mass = F.aggregate(atoms, F.lit(0.0), lambda acc, a: acc + a["p"])
+    folded = bind(F.aggregate(ordered, F.array().cast(kind), place), lambda placed: bind(mass, lambda total: binned(placed, total)))
+    return F.when(F.size(atoms) <= points, atoms).otherwise(folded)
+
+
+def evaluate_policy(leads: DataFrame, cuts: Column, config: PricingConfig, *,
                     model: SaleModel = elasticity_model) -> DataFrame:
     """Profit distribution of a fixed markdown policy with liquidation at the horizon.
 
     Adds ``atoms``, ``expected_profit``, ``downside_cvar_loss``, ``objective``,
     ``sale_by_horizon`` and ``feasible`` (no cut goes below the markdown floor).
     """
-    config.check_points(scenario_count)
+    config.check()
     last = config.horizon_weeks - 1
     priced = price_path(leads.withColumn("scenarios", _weights()), cuts)
 
@@ -178,8 +203,9 @@ def evaluate_policy(leads: DataFrame, cuts: Column, config: PricingConfig, *, sc
     falls = F.exists(F.sequence(F.lit(1), F.lit(config.horizon_weeks)), lambda i: (
         F.element_at(prices, i + 1) < F.element_at(prices, i)
     ) & (F.element_at(prices, i + 1) / 100.0 < floor))
+    folded = folded.withColumn("atoms", atoms)
     done = folded.withColumns({
-        "atoms": atoms, "sale_by_horizon": 1 - F.col("_run.alive"), "feasible": ~falls,
+        "atoms": compress_atoms(F.col("atoms"), config.max_distribution_points), "sale_by_horizon": 1 - F.col("_run.alive"), "feasible": ~falls,
     }).drop("_weeks", "_run", "_before_last")
     return score_atoms(done, config.tail_probability)
 
@@ -278,106 +304,10 @@ def price_lattice(leads: DataFrame, config: PricingConfig, lead: str = "lead_id"
     return weeks.select(lead, "week", F.explode("prices").alias("cents"))
 
 
-_DECISION = ("struct<week:int,state_cents:bigint,action:string,cents:bigint,sale_probability:double,"
-             f"expected_profit:double,cvar:double,objective:double,atoms:{ATOMS}>")
-
-
-_SLIM = _DECISION.replace(f",atoms:{ATOMS}", "")
-
-
-def markdown_dp(leads: DataFrame, config: PricingConfig, *, scenario_count: int,
-                model: SaleModel = elasticity_model) -> DataFrame:
-    """Optimal weekly prices by backward induction over the reachable price lattice.
-
-    Adds ``decisions`` (one per reachable state, ordered by week) and the root distribution as
-    ``atoms``. The value of listing at a price is computed once per week and price, then shared
-    by every state from which some action leads to that price.
-    """
-    config.check_points(scenario_count)
-    last, alpha = config.horizon_weeks - 1, config.tail_probability
-    floor = F.col("prelisting_reference") * config.min_list_price_ratio
-    kind = f"struct<done:array<{_SLIM}>,decided:array<{_DECISION}>>"
-
-    def listed(cents: Column, after: Column, week: Column, scenarios: Column) -> Column:
-        """Sale chance and profit distribution of listing at a price in a week."""
-        def outcome(s: Column) -> Column:
-            chance, proceeds = model(cents / 100.0, week, s)
-            return F.struct(s["probability"].alias("q"), chance.alias("h"), proceeds.alias("price"))
-
-        def atoms_of(env: Column) -> Column:
-            sales = F.transform(env["o"], lambda x: _atom(_profit(x["price"], week), x["q"] * x["h"]))
-            liquidated = F.transform(env["o"], lambda x: _atom(
-                _profit(x["price"] * F.col("liquidation_discount"), week), x["q"] * (1 - x["h"])))
-            later = F.transform(after, lambda a: _atom(
-                a["profit"], a["p"] * F.greatest(F.lit(0.0), 1 - env["sold"])))
-            unsold = F.when(week == last, liquidated).otherwise(later)
-            atoms = F.array_sort(F.filter(F.concat(sales, unsold), lambda a: a["p"] > 0))
-            return bind(atoms, lambda held: F.struct(
-                env["sold"].alias("sold"), mean_of(held).alias("mean"),
-                cvar_of(held, alpha).alias("cvar"), held.alias("atoms")))
-
-        return bind(F.transform(scenarios, outcome), lambda o: bind(F.struct(
-            o.alias("o"),
-            F.aggregate(o, F.lit(0.0), lambda acc, x: acc + x["q"] * x["h"]).alias("sold"),
-        ), atoms_of))
-
-    def decide(state: Column, env: Column, week: Column) -> Column:
-        """First best action at a state; ties favour the earlier action."""
-        def candidate(option: Column) -> Column:
-            at_price = F.array_position(env["prices"], option["cents"]).cast("int")
-            return bind(F.element_at(env["nodes"], at_price), lambda node: F.struct(
-                week.alias("week"), state.alias("state_cents"), option["action"].alias("action"),
-                option["cents"].alias("cents"), node["sold"].alias("sale_probability"),
-                node["mean"].alias("expected_profit"), node["cvar"].alias("cvar"),
-                (node["mean"] - F.col("risk_aversion") * node["cvar"]).alias("objective"),
-                node["atoms"].alias("atoms"),
-            ).cast(_DECISION))
-
-        options = F.transform(feasible_cents(state, floor), candidate)
-        return first_best(options, lambda c: c["objective"], _DECISION)
-
-    def step_back(acc: Column, week: Column, given: Column) -> Column:
-        prices = F.element_at(given["levels"], week + 2)
-        nodes = F.zip_with(prices, acc["decided"], lambda cents, decided: listed(
-            cents, decided["atoms"], week, given["scenarios"]))
-        env = F.struct(F.element_at(given["levels"], week + 1).alias("states"),
-                       prices.alias("prices"), nodes.alias("nodes"))
-        decided = bind(env, lambda e: F.transform(e["states"], lambda s: decide(s, e, week)))
-        return bind(decided, lambda d: F.struct(
-            F.concat(F.transform(d, lambda x: x.dropFields("atoms")), acc["done"]).alias("done"),
-            d.alias("decided"),
-        )).cast(kind)
-
-    start = F.struct(F.array().alias("done"), F.array().alias("decided")).cast(kind)
-    weeks = F.sequence(F.lit(last), F.lit(0), F.lit(-1))
-    given = F.struct("levels", _weights().alias("scenarios"))
-    solved = lattice_levels(leads, config).withColumn("_solved", bind(given, lambda g: F.aggregate(
-        weeks, start, lambda acc, week: step_back(acc, week, g))))
-    root = F.element_at("_solved.decided", 1)
-    return solved.withColumns({
-        "decisions": F.col("_solved.done"), "atoms": root["atoms"],
-        "expected_profit": root["expected_profit"], "downside_cvar_loss": root["cvar"],
-        "objective": root["objective"],
-    }).drop("_solved", "levels")
-
-
 def decision_table(solved: DataFrame, *keys: str) -> DataFrame:
     return solved.select(*keys, F.inline("decisions"))
 
 
-def no_sale_path(solved: DataFrame, out: str = "no_sale_path") -> DataFrame:
-    """Recommended decisions week by week while the home stays unsold."""
-    kind = f"array<{_SLIM}>"
-
-    def follow(acc: Column, d: Column) -> Column:
-        reached = F.when(F.size(acc) == 0, d["week"] == 0).otherwise(
-            (d["week"] == F.element_at(acc, -1)["week"] + 1)
-            & (d["state_cents"] == F.element_at(acc, -1)["cents"]))
-        return F.when(reached, F.concat(acc, F.array(d))).otherwise(acc).cast(kind)
-
-    return solved.withColumn(out, F.aggregate("decisions", F.array().cast(kind), follow))
-
-
 def sale_on_path(path: Column) -> Column:
     """Chance of a sale along a no-sale path."""
     return 1 - F.aggregate(path, F.lit(1.0), lambda acc, d: acc * (1 - d["sale_probability"]))

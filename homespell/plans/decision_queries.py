@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from homespell.functions import pricing as P
 from homespell.operators import decisions as D
-from homespell.operators import metrics
+from homespell.operators import markdown, metrics
 from homespell.plans import bindings as B
 from homespell.plans.query import Registry
 
@@ -14,7 +14,6 @@ registry = Registry()
 query = registry.add
 
 POLICY = D.PricingConfig(horizon_weeks=17)
-SHORT = D.PricingConfig(horizon_weeks=4)
 
 
 def cents_sql(x: str) -> str:
@@ -95,7 +94,7 @@ def _adapted(spark, sf):
 
 def _policy(rows):
     cuts = D.scheduled_cuts(POLICY.horizon_weeks)
-    return D.evaluate_policy(rows, cuts, POLICY, scenario_count=D.CASE_SCENARIOS)
+    return D.evaluate_policy(rows, cuts, POLICY)
 
 
 def _quotes(spark, sf):
@@ -151,13 +150,15 @@ def _(spark, sf):
 _LATTICE_SQL = f"""RECURSIVE {_ADAPT_SQL}, cut(k) AS (VALUES (0::DOUBLE), (0.01::DOUBLE), (0.025::DOUBLE), (0.05::DOUBLE)),
 lat AS (SELECT property_id, -1 AS week, {cents_sql('list_price')} AS c, value FROM adapted
  UNION SELECT property_id, week + 1, {cents_sql('c / 100::DOUBLE * (1 - k)')}, value FROM lat, cut
- WHERE week + 1 < 4 AND (k = 0 OR {cents_sql('c / 100::DOUBLE * (1 - k)')} / 100::DOUBLE >= value * 0.7::DOUBLE))"""
+ WHERE week + 1 < 17 AND (k = 0 OR {cents_sql('c / 100::DOUBLE * (1 - k)')} / 100::DOUBLE >= value * 0.7::DOUBLE))"""
 
 
-@query("i6_price_lattice", "property_id i, week i, cents i",
-       f"WITH {_LATTICE_SQL} SELECT property_id, week, c AS cents FROM lat WHERE week >= 0")
+@query("i6_price_lattice", "property_id i, week i, prices i, least i, greatest i, cents_sum i",
+       f"""WITH {_LATTICE_SQL} SELECT property_id, week, count(*) AS prices, min(c) AS least, max(c) AS greatest,
+       CAST(sum(c) AS BIGINT) AS cents_sum FROM lat WHERE week >= 0 GROUP BY 1, 2""")
 def _(spark, sf):
-    return D.price_lattice(_adapted(spark, sf), SHORT, "property_id")
+    return D.price_lattice(_adapted(spark, sf), POLICY, "property_id").groupBy("property_id", "week").agg(
+        F.count(F.lit(1)).alias("prices"), F.min("cents").alias("least"), F.max("cents").alias("greatest"), F.sum("cents").alias("cents_sum"))
 
 
 @query("i7_markdown_floor", "property_id i, action s, cents i",
@@ -180,17 +181,21 @@ def _(spark, sf):
     return _policy(D.explode_offers(_adapted(spark, sf)))
 
 
-@query("k2_markdown_dp", "property_id i, offer f2, week i, state_cents i, action s, cents i, sale_probability f9, "
-       "expected_profit f4, objective f4")
+@query("k2_markdown_dp", "property_id i, offer f2, decisions i, holds i, expected_profit f4, downside_cvar_loss f4, "
+       "objective f4, objective_sum f0")
 def _(spark, sf):
-    return D.decision_table(_solved(spark, sf), "property_id", "offer")
+    """Season-long program of every lead and offer: the root's values, and its decisions summed up."""
+    solved = _solved(spark, sf)
+    return solved.select(
+        "property_id", "offer", F.size("decisions").alias("decisions"),
+        F.size(F.filter("decisions", lambda d: d["action"] == "hold")).alias("holds"),
+        "expected_profit", "downside_cvar_loss", "objective",
+        F.aggregate("decisions", F.lit(0.0), lambda acc, d: acc + d["objective"]).alias("objective_sum"))
 
 
-def _solved(spark, sf, adapted=None):
-    """Optimal short-horizon prices at the middle offer of every lead."""
-    rows = adapted if adapted is not None else _adapted(spark, sf)
-    middle = rows.withColumn("offers", F.array(F.element_at("offers", 3)))
-    return D.markdown_dp(D.explode_offers(middle), SHORT, scenario_count=D.CASE_SCENARIOS)
+def _solved(spark, sf):
+    """Optimal prices over the whole season at every offer of every lead."""
+    return markdown.markdown_dp(D.explode_offers(_adapted(spark, sf)), POLICY)
 
 
 @query("k3_offer_grid", "property_id i, offer f2, acceptance f9, expected_profit f4, downside_cvar_loss f4, "
@@ -201,9 +206,9 @@ def _(spark, sf):
     return _quotes(spark, sf)
 
 
-@query("k4_no_sale_path", "property_id i, week i, action s, cents i, sale_probability f9")
+@query("k4_no_sale_path", "property_id i, offer f2, week i, action s, cents i, sale_probability f9")
 def _(spark, sf):
-    return D.no_sale_path(_solved(spark, sf)).select("property_id", F.inline("no_sale_path"))
+    return _solved(spark, sf).select("property_id", "offer", F.inline("no_sale_path"))
 
 
 def _requests(spark, sf):
@@ -261,7 +266,7 @@ def _(spark, sf):
        "first_action s, path_weeks i, expected_profit f2, downside_cvar_loss f2, objective f2, loss_probability f6, "
        "premium_min f6, premium_max f6, premium_count i, path s")
 def _(spark, sf):
-    solved = D.no_sale_path(D.quote(_solved(spark, sf)))
+    solved = D.quote(_solved(spark, sf))
     return D.decision_summary(solved.drop("atoms", "exit_atoms", "scenarios"), "property_id")
 
 

@@ -159,7 +159,7 @@ def _(spark, sf):
     leads = B.leads(spark, sf)
     homes = D.adapt_requests(leads).withColumn("grp", F.when(
         F.col("property_id") % 2 == 0, "1-URGENT").otherwise("5-LOW"))
-    lattice = D.price_lattice(homes, D.PricingConfig(horizon_weeks=4, min_list_price_ratio=0.7),
+    lattice = D.price_lattice(homes, D.PricingConfig(horizon_weeks=17, min_list_price_ratio=0.7),
                               "property_id", P.LIST_PREMIUM_SUPPORT)
     return M.score_states(model, lattice, homes.select("property_id", "grp", "prelisting_reference"),
                           "property_id")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from homespell.functions import pricing as P
 from homespell.operators import decisions as D
+from homespell.operators import risk
+from homespell.operators.markdown import markdown_dp
 
 
 def _lead(spark, **values):
@@ -77,7 +79,7 @@ def test_dynamic_program_matches_recursion(spark, changes, horizon):
     df = _lead(spark, **changes)
     config = D.PricingConfig(horizon_weeks=horizon)
     got = {(r.week, r.state_cents): r for r in D.decision_table(
-        D.markdown_dp(df, config, scenario_count=2)).collect()}
+        markdown_dp(df, config)).collect()}
     expected = _solve(df.first().asDict(), scenarios, horizon)
     assert set(got) == set(expected)
     for key, (objective, action, cents, _) in expected.items():
@@ -88,15 +90,15 @@ def test_dynamic_program_matches_recursion(spark, changes, horizon):
 def test_fixed_policy_is_the_program_with_one_action(spark):
     df = _lead(spark, weekly_holding_cost=0.5, risk_aversion=0.4, offer=95.0)
     config = D.PricingConfig(horizon_weeks=6)
-    held = D.evaluate_policy(df, D.hold_cuts(6), config, scenario_count=2).first()
-    best = D.markdown_dp(df, config, scenario_count=2).first()
+    held = D.evaluate_policy(df, D.hold_cuts(6), config).first()
+    best = markdown_dp(df, config).first()
     assert sum(a.p for a in held.atoms) == pytest.approx(1.0)
     assert best.objective >= held.objective - 1e-9
     assert sum(a.p for a in best.atoms) == pytest.approx(1.0)
 
 
 def test_path_follows_decisions(spark):
-    solved = D.no_sale_path(D.markdown_dp(_lead(spark), D.PricingConfig(horizon_weeks=3), scenario_count=2))
+    solved = markdown_dp(_lead(spark), D.PricingConfig(horizon_weeks=3))
     path = solved.first().no_sale_path
     assert [d.week for d in path] == [0, 1, 2]
     assert all(a.cents == b.state_cents for a, b in zip(path, path[1:], strict=False))
@@ -118,6 +120,20 @@ def test_offer_choice(spark):
     assert spark.range(1).select(P.fixed_spread_offer(F.lit(100.0), 0.1)).first()[0] == 90.0
 
 
-def test_point_limit_is_enforced(spark):
-    with pytest.raises(ValueError):
-        D.markdown_dp(_lead(spark), D.PricingConfig(horizon_weeks=17, max_distribution_points=20), scenario_count=2)
+def test_long_distributions_are_folded(spark):
+    """A limit folds the distribution like the long form does; the mean stays."""
+    df = _lead(spark, weekly_holding_cost=0.5, risk_aversion=0.4, offer=95.0)
+    whole, few = (D.evaluate_policy(df, D.hold_cuts(70), D.PricingConfig(70, max_distribution_points=n)).first() for n in (10_000, 20))
+    assert len(whole.atoms) > 20 and len(few.atoms) == 20
+    assert few.expected_profit == pytest.approx(whole.expected_profit)
+    long = spark.createDataFrame([("x", a.profit, a.p) for a in whole.atoms], "k string, profit double, p double")
+    folded = sorted(r.profit for r in risk.compress_distribution(long, ["k"], 20).collect())
+    assert [a.profit for a in few.atoms] == pytest.approx(folded)
+    exact, limited = (markdown_dp(df, D.PricingConfig(12, max_distribution_points=n)).first() for n in (10_000, 15))
+    assert len(limited.atoms) <= 15 and limited.expected_profit == pytest.approx(exact.expected_profit, rel=0.02)
+
+
+def test_nearest_of_many_templates(spark):
+    templates = F.array(*[F.struct(F.lit(1000.0 * k).alias("template_reference"), F.lit(f"t{k}").alias("name")) for k in range(1, 151)])
+    found = spark.range(1).select(D.nearest_template(F.lit(149_000.0), templates)["name"]).first()[0]
+    assert found == "t149"
