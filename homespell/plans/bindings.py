@@ -97,18 +97,23 @@ def sanitize(lineitem: DataFrame) -> DataFrame:
 
 
 def transactions(spark: SparkSession, sf: str) -> DataFrame:
-    return sinks.prepare_table(sanitize(deeds.spread(read(spark, sf, "lineitem"))))
+    """The sanitized sales, parsed where they are read; only the columns a query uses are parsed."""
+    return sanitize(deeds.spread(read(spark, sf, "lineitem")))
+
+
+def stored_transactions(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a written table, for plans that read it several times."""
+    return sinks.prepare_table(transactions(spark, sf))
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
     """Repeat-sale panel of the analysis universe."""
-    sales = transactions(spark, sf)
-    universe = panels.analysis_universe(sales, CUTOFF, MARKET_B)
+    universe = panels.analysis_universe(stored_transactions(spark, sf), CUTOFF, MARKET_B)
     return panels.valuation_panel(universe, require_qualified=False)
 
 
 def episodes(spark: SparkSession, sf: str) -> DataFrame:
-    return linkage.link_episodes(transactions(spark, sf), None)
+    return linkage.link_episodes(stored_transactions(spark, sf), None)
 
 
 def panel_table(spark: SparkSession, sf: str) -> DataFrame:

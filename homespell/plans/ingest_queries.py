@@ -251,17 +251,19 @@ def _(spark, sf):
     return deeds.normalize_market_b(B.raw_market_b(_lineitem(spark, sf)), B.MARKET_B)
 
 
-@query("b14_pii_guard", "table_name s, unsafe i",
-       f"""WITH {B.RAW} SELECT 'prepared' AS table_name, 0 AS unsafe, count(*) FROM raw
-       UNION ALL SELECT 'raw', 2, count(*) FROM raw""")
+@query("b14_pii_guard", "table_name s, unsafe i, passed_rows i, refused_rows i",
+       f"""WITH {B.RAW} SELECT 'prepared' AS table_name, 0 AS unsafe, count(*) AS passed_rows, 0 AS refused_rows FROM raw
+       UNION ALL SELECT 'raw', 2, 0, count(*) FROM raw""")
 def _(spark, sf):
     tables = {"prepared": B.transactions(spark, sf), "raw": B.raw_deeds(_lineitem(spark, sf))}
-    parts = [
-        df.agg(F.lit(name).alias("table_name"),
-               F.lit(len(sinks.unsafe_columns(df.columns))).alias("unsafe"), F.count(F.lit(1)))
-        for name, df in tables.items()
-    ]
-    return parts[0].unionAll(parts[1])
+    rows = F.count(F.lit(1))
+    parts = []
+    for name, df in tables.items():
+        unsafe = len(sinks.unsafe_columns(df.columns))
+        parts.append(df.agg(
+            F.lit(name).alias("table_name"), F.lit(unsafe).alias("unsafe"),
+            (rows if not unsafe else rows * 0).alias("passed_rows"), (rows if unsafe else rows * 0).alias("refused_rows")))
+    return parts[0].unionByName(parts[1])
 
 
 @query("b15_calendar_features", "o_orderkey i, sale_year i, sale_quarter i, elapsed f9, log_price f9",

@@ -136,15 +136,22 @@ def _(spark, sf):
                          C.effective_capital().alias("capital"))
 
 
-@query("c12_leakage_guard", "feature s, leaks b",
-       """SELECT DISTINCT feature, feature IN ('sale_price', 'truth_value') AS leaks FROM (
-       SELECT unnest(['sale_price', 'truth_value', 'sale_quarter']) AS feature FROM orders)""")
-def _(spark, sf):
-    named = ["sale_price", "truth_value", "sale_quarter"]
-    leaking = C.leaking_features(named)
-    listed = F.explode(F.array(*[F.lit(n) for n in named]))
-    return B.read(spark, sf, "orders").select(listed.alias("feature")).distinct().withColumn(
-        "leaks", F.col("feature").isin(*leaking))
+_GUARDED = ("sale_price", "prior_sale_price", "lagged_market_median_price", "rolled_forward_prior_baseline",
+            "years_since_prior_sale", "truth_value")
+
+
+@query("c12_leakage_guard", "feature s, leaks b, rows_with_value i",
+       f"WITH {B.PANEL}, guarded AS (SELECT *, sale_price AS truth_value FROM panel) " + " UNION ALL ".join(
+           f"SELECT '{name}' AS feature, {str(name in ('sale_price', 'truth_value')).upper()} AS leaks, "
+           f"count({name}) AS rows_with_value FROM guarded" for name in _GUARDED))
+def _(spark, sf):
+    """Columns of the repeat-sale panel that must not become features, with the rows that hold them."""
+    guarded = B.panel(spark, sf).withColumn("truth_value", F.col("sale_price")).select(*_GUARDED)
+    leaking = C.leaking_features(guarded.columns)
+    counts = guarded.agg(F.array(*[
+        F.struct(F.lit(name).alias("feature"), F.lit(name in leaking).alias("leaks"), F.count(name).alias("rows_with_value"))
+        for name in guarded.columns]).alias("columns"))
+    return counts.select(F.inline("columns"))
 
 
 @query("c13_operator_slice", "market s, operator s, n_acquisitions i",

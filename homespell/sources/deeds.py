@@ -159,18 +159,22 @@ def union_markets(*tables: DataFrame) -> DataFrame:
 
 
 def input_provenance(spark: SparkSession, path: str, prior: DataFrame | None = None) -> DataFrame:
-    """Digest, size and retrieval time per file; an unchanged file keeps its first time."""
+    """Digest, size and retrieval time per file; an unchanged file keeps its first time.
+
+    A file is known by its whole path, so equal names in two folders stay apart. Its content is held
+    in one row, so files must stay below 2 GB.
+    """
     files = spark.read.format("binaryFile").load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("source"),
+        "path", F.element_at(F.split("path", "/"), -1).alias("source"),
         F.sha2("content", 256).alias("sha256"),
         F.col("length").alias("bytes"),
         F.col("modificationTime").alias("modified_at"),
     )
     if prior is None:
         return files.withColumnRenamed("modified_at", "retrieved_at")
-    known = prior.select("source", "sha256", "bytes", F.col("retrieved_at").alias("_known"))
-    return files.join(known, ["source", "sha256", "bytes"], "left").select(
-        "source", "sha256", "bytes", F.coalesce("_known", "modified_at").alias("retrieved_at")
+    known = prior.select("path", "sha256", "bytes", F.col("retrieved_at").alias("_known"))
+    return files.join(known, ["path", "sha256", "bytes"], "left").select(
+        "path", "source", "sha256", "bytes", F.coalesce("_known", "modified_at").alias("retrieved_at")
     )
 
 
