@@ -272,38 +272,6 @@ def feasible_cents(cents: Column, floor: Column, supported: Callable[[Column], C
     return F.array_compact(F.array(*[option(name, cut) for name, cut in ACTIONS]))
 
 
-def lattice_levels(leads: DataFrame, config: PricingConfig, support=None,
-                   out: str = "levels") -> DataFrame:
-    """Adds the distinct reachable prices in cents: element w holds those before week w.
-
-    One fold over the weeks keeps the plan the same size for every horizon.
-    """
-    floor = F.col("prelisting_reference") * config.min_list_price_ratio
-    inside = None
-    if support is not None:
-        def inside(price):
-            return P.list_premium(price, F.col("prelisting_reference"), support)[1]
-    kind = f"array<{CENTS_PATH}>"
-
-    def grow(acc: Column, _week: Column) -> Column:
-        reached = F.flatten(F.transform(F.element_at(acc, -1), lambda c: F.transform(
-            feasible_cents(c, floor, inside), lambda o: o["cents"])))
-        return F.concat(acc, F.array(F.array_sort(F.array_distinct(reached)))).cast(kind)
-
-    first = F.array(F.array(P.cents("list_price"))).cast(kind)
-    weeks = F.sequence(F.lit(0), F.lit(config.horizon_weeks - 1))
-    return leads.withColumn(out, F.aggregate(weeks, first, grow))
-
-
-def price_lattice(leads: DataFrame, config: PricingConfig, lead: str = "lead_id",
-                  support=None) -> DataFrame:
-    """Long table (lead, week, cents) of every post-action price that can be listed."""
-    levels = lattice_levels(leads, config, support)
-    after = F.slice("levels", 2, config.horizon_weeks)
-    weeks = levels.select(lead, F.posexplode(after).alias("week", "prices"))
-    return weeks.select(lead, "week", F.explode("prices").alias("cents"))
-
-
 def decision_table(solved: DataFrame, *keys: str) -> DataFrame:
     return solved.select(*keys, F.inline("decisions"))
 

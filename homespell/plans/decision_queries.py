@@ -157,7 +157,7 @@ lat AS (SELECT property_id, -1 AS week, {cents_sql('list_price')} AS c, value FR
        f"""WITH {_LATTICE_SQL} SELECT property_id, week, count(*) AS prices, min(c) AS least, max(c) AS greatest,
        CAST(sum(c) AS BIGINT) AS cents_sum FROM lat WHERE week >= 0 GROUP BY 1, 2""")
 def _(spark, sf):
-    return D.price_lattice(_adapted(spark, sf), POLICY, "property_id").groupBy("property_id", "week").agg(
+    return markdown.price_lattice(_adapted(spark, sf), POLICY, "property_id").groupBy("property_id", "week").agg(
         F.count(F.lit(1)).alias("prices"), F.min("cents").alias("least"), F.max("cents").alias("greatest"), F.sum("cents").alias("cents_sum"))
 
 

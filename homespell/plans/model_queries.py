@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from homespell.functions import pricing as P
 from homespell.operators import decisions as D
 from homespell.operators import models as M
-from homespell.operators import panels, survival
+from homespell.operators import markdown, panels, survival
 from homespell.plans import bindings as B
 from homespell.plans.query import Registry
 
 registry = Registry()
 query = registry.add
 
-WEEKS = 156
+WEEKS, SEASON = 156, 17
 SPEC = M.FeatureSpec(("offer_ratio", "log_price"), ("grp",))
 HAZARD = M.FeatureSpec(("list_price_premium",), ("grp",))
 
@@ -44,7 +44,10 @@ def _repeats(spark, sf):
     return panels.repeat_sale_window(B.panel_table(spark, sf))
 
 
-@query("j1_feature_pipeline", "lead_id i, offer_z f8, price_z f8, indicators i, width i")
+@query("j1_feature_pipeline", "lead_id i, offer_z f8, price_z f8, indicators i, width i",
+       """WITH o AS (SELECT o_orderkey AS lead_id, 0.82::DOUBLE + o_orderkey % 201 / 1000::DOUBLE AS r, ln(o_totalprice) AS p FROM orders)
+       SELECT lead_id, (r - avg(r) OVER ()) / stddev_pop(r) OVER () AS offer_z, (p - avg(p) OVER ()) / stddev_pop(p) OVER () AS price_z,
+       1 AS indicators, 2 + (SELECT count(DISTINCT o_orderpriority) FROM orders) AS width FROM o""")
 def _(spark, sf):
     offers = _offers(spark, sf)
     out = M.fit_features(offers, SPEC).transform(offers)
@@ -63,8 +66,8 @@ def _(spark, sf):
 @query("j3_hazard_logit", "unit i, period i, hazard f6, survival f6")
 def _(spark, sf):
     listings = _listings(spark, sf)
-    model = M.fit_hazard(listings, HAZARD, 12, "duration_weeks", "event_observed")
-    grid = survival.horizon_grid(listings.select("unit", "grp", "list_price_premium"), 12)
+    model = M.fit_hazard(listings, HAZARD, SEASON, "duration_weeks", "event_observed")
+    grid = survival.horizon_grid(listings.select("unit", "grp", "list_price_premium"), SEASON)
     return survival.survival_curve(M.score_hazard(model, grid), ["unit"])
 
 
@@ -152,14 +155,17 @@ def _(spark, sf):
     return M.sensitivity_rerun(_repeats(spark, sf), B.MARKET_A, B.MARKET_B)
 
 
-@query("k8_score_states", "property_id i, week i, cents i, hazard f6, in_support b")
+@query("k8_score_states", "property_id i, week i, states i, supported i, least_hazard f6, greatest_hazard f6")
 def _(spark, sf):
+    """Hazards of all states of the season's lattice, summed up per week."""
     listings = _listings(spark, sf)
-    model = M.fit_hazard(listings, HAZARD, 12, "duration_weeks", "event_observed")
+    model = M.fit_hazard(listings, HAZARD, SEASON, "duration_weeks", "event_observed")
     leads = B.leads(spark, sf)
     homes = D.adapt_requests(leads).withColumn("grp", F.when(
         F.col("property_id") % 2 == 0, "1-URGENT").otherwise("5-LOW"))
-    lattice = D.price_lattice(homes, D.PricingConfig(horizon_weeks=17, min_list_price_ratio=0.7),
-                              "property_id", P.LIST_PREMIUM_SUPPORT)
-    return M.score_states(model, lattice, homes.select("property_id", "grp", "prelisting_reference"),
-                          "property_id")
+    lattice = markdown.price_lattice(homes, D.PricingConfig(horizon_weeks=SEASON, min_list_price_ratio=0.7),
+                                     "property_id", P.LIST_PREMIUM_SUPPORT)
+    states = M.score_states(model, lattice, homes.select("property_id", "grp", "prelisting_reference"), "property_id")
+    return states.groupBy("property_id", "week").agg(
+        F.count(F.lit(1)).alias("states"), F.count_if("in_support").alias("supported"),
+        F.min("hazard").alias("least_hazard"), F.max("hazard").alias("greatest_hazard"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +55,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@functools.lru_cache(maxsize=8)
+def _ship(application: str) -> None:
+    spark = SparkSession.active()
+    package = Path(__file__).resolve().parent
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w") as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent).as_posix())
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_path(spark, package.name)}.zip")
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(content.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(target.toString())
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that tasks can import it."""
+    _ship(spark.sparkContext.applicationId)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, which outlives any executor."""
     shared_dir(df.sparkSession)
