@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import functools
-import io
 import posixpath
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
@@ -15,25 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from homespell.session import shared_dir
 
 
-@functools.lru_cache(maxsize=8)
-def _ship(application: str) -> None:
-    spark = SparkSession.active()
-    package = Path(__file__).resolve().parents[1]
-    content = io.BytesIO()
-    with zipfile.ZipFile(content, "w") as archive:
-        for source in sorted(package.rglob("*.py")):
-            archive.write(source, source.relative_to(package.parent).as_posix())
-    folder = fresh_path(spark, "code")
-    name = f"{package.name}-{uuid.uuid4().hex}.zip"
-    put_file(folder, name, 0, [content.getvalue()])
-    spark.sparkContext.addPyFile(f"{folder}/{name}")
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, so that tasks can import it."""
-    _ship(spark.sparkContext.applicationId)
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
