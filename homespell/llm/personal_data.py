@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from homespell.llm import store
 from homespell.llm.crf_tagger import Tagger, encode
-from homespell.llm.text import map_batches
+from homespell.llm.text import lowest, map_batches
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 96, 48
@@ -179,8 +180,9 @@ def _sample_windows(batch: pa.RecordBatch) -> pa.RecordBatch:
 def train(docs: DataFrame, sample_windows: int = SAMPLE_WINDOWS) -> Tagger | None:
     """A tagger from base spans in the distinct windows of lowest hash; None without any window."""
     triggered = docs.select(_text().alias("text")).where(F.col("text").rlike(TRIGGER))
-    windows = (map_batches(triggered, _sample_windows, "piece string, tags binary")
-               .withColumn("order", F.xxhash64("piece")).orderBy("order", "piece", "tags").limit(sample_windows).collect())
+    labelled = store.save(map_batches(triggered, _sample_windows, "piece string, tags binary"), "windows")
+    windows = lowest(labelled, sample_windows, F.xxhash64("piece"), "piece", "tags").collect()
+    store.discard(labelled)
     if not windows:
         return None
     rows = {(row.piece, bytes(row.tags)) for row in windows}

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from homespell.llm import store
-from homespell.llm.text import fold_remainder, map_batches, texts
+from homespell.llm.text import fold_remainder, lowest, map_batches, texts
 from homespell.llm.text_stats import byte_counts, repeated_words, symbols, word_chars, word_ids
 
 #: Labelled rows that the trees are fitted on at most: those of the lowest hash of doc_id.
@@ -149,8 +149,9 @@ def fit(described: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     """Trees from at most ``sample_rows`` labelled rows outside the held-out fold."""
     quality = (labels.where("doc_id is not null and quality is not null").where(fold_remainder("doc_id", FOLDS) != 0)
                .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")))
-    sample = (described.join(quality, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "traits").limit(sample_rows)
-              .select("quality", "traits").toPandas())
+    labelled = store.save(described.join(quality, "doc_id"), "labelled")
+    sample = lowest(labelled, sample_rows, F.xxhash64("doc_id"), "doc_id", "traits").select("quality", "traits").toPandas()
+    store.discard(labelled)
     rows = np.array(sample.traits.tolist(), float).reshape(len(sample), len(TRAITS))
     return BoostedTrees(rows, (sample.quality == 1).to_numpy().astype(float))
 

@@ -62,3 +62,14 @@ def test_cache_starts_afresh_at_its_bound(pair, monkeypatch):
     ids, offsets = own.ids(texts)
     assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [library.encode(x, add_special_tokens=False).ids for x in texts]
     assert np.all(np.diff(offsets) > 0)
+
+
+def test_lowest_rows_with_and_without_ties(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5000).select("id", (F.col("id") % 3).alias("few"))
+    expected = [r.id for r in rows.orderBy(F.xxhash64("id"), "id").limit(100).collect()]
+    assert [r.id for r in text.lowest(rows, 100, F.xxhash64("id"), "id").collect()] == expected
+    assert text.lowest(rows, 4000, F.xxhash64("few"), "id").count() == 4000
+    assert text.lowest(rows.limit(0), 5, F.xxhash64("id"), "id").count() == 0
+    assert text.lowest(rows, 9000, F.xxhash64("id"), "id").count() == 5000
