@@ -64,3 +64,29 @@ def test_linear_conformal_covers(spark):
     scored = model.transform(homes)
     assert scored.filter("lower <= prediction AND prediction <= upper").count() == 500
     assert scored.filter("price BETWEEN lower AND upper").count() >= 430
+
+
+def test_many_frequent_categories(spark):
+    """Twice as many categories as an earlier limit; those below the count become one."""
+    rows = spark.range(40_010).select(
+        F.when(F.col("id") < 40_000, F.concat(F.lit("c"), F.col("id") % 20_000)).otherwise(F.concat(F.lit("rare"), "id")).alias("grp"),
+        (F.col("id") % 7).cast("double").alias("x"))
+    fitted = M.fit_features(rows, M.FeatureSpec(("x",), ("grp",), minimum_count=2))
+    assert len(fitted.vocabulary["grp"]) == 20_001 and "__rare__" in fitted.vocabulary["grp"]
+    assert fitted.transform(rows).count() == 40_010
+
+
+def test_rescored_sales_are_those_of_the_primary_study(spark, monkeypatch):
+    """The officially qualified rows carry the primary study's predictions, the seasoned ones their own."""
+    panel = spark.createDataFrame([(float(i), 0.01 * i) for i in range(20)], "prediction double, years_since_prior_sale double")
+
+    def study(df, development, holdout, **options):
+        size = df.count()
+        return None, df.select(
+            F.lit("holdout_market").alias("sample"), F.lit(True).alias("qualified"), F.lit("2024-01-01").cast("date").alias("sale_date"),
+            F.lit(float(size)).alias("prediction"))
+
+    monkeypatch.setattr(M, "valuation_study", study)
+    monkeypatch.setattr(M, "valuation_scores", lambda scored: scored.groupBy("sample").agg(F.max("prediction").alias("n")))
+    found = {r.rule: r.n for r in M.sensitivity_rerun(panel, "a", "b").collect()}
+    assert found["officially_qualified"] == 20.0 and found["seasoned"] < 20.0
