@@ -99,13 +99,11 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def _bands(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A row for each band of each class. The lowest five bits of a band's key are its position."""
     signatures = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint64).reshape(-1, BANDS)
-    keys = mix(signatures ^ mix(np.arange(1, BANDS + 1, dtype=np.uint64)))
+    keys = (mix(signatures) << np.uint64(5)) | np.arange(BANDS, dtype=np.uint64)
     row = np.repeat(np.arange(batch.num_rows), BANDS)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(keys.view(np.int64).ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)),
-         batch.column("class").take(pa.array(row)), batch.column("digest").take(pa.array(row))],
-        names=["band", "band_at", "class", "digest"])
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), batch.column("class").take(pa.array(row))], names=["band", "class"])
 
 
 def _compare_pairs(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -131,7 +129,7 @@ def _block_links(threshold: int):
     def of_run(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         table = pa.Table.from_batches(rows).combine_chunks()
         component = table.column("component").to_numpy().tolist()
-        side, band_at = table.column("side").to_numpy(), int(table.column("band_at")[0].as_py())
+        side, band_at = table.column("side").to_numpy(), table.column("band")[0].as_py() % BANDS
         signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, HASHES)
         lists = table.column("elements").chunk(0)
         offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
@@ -211,7 +209,7 @@ def _split_bands(members: DataFrame) -> DataFrame:
                      F.ceil((F.col("band_n") - F.col("core_n")) / BLOCK).cast("int").alias("fringe_blocks")))
     placed = (members.join(shape, "band")
               .withColumn("fringe", F.col("component") != F.col("core"))
-              .withColumn("block", F.pmod(F.xxhash64("digest"), F.when(F.col("fringe"), F.col("fringe_blocks")).otherwise(F.col("core_blocks"))).cast("int")))
+              .withColumn("block", F.pmod(F.xxhash64("class"), F.when(F.col("fringe"), F.col("fringe_blocks")).otherwise(F.col("core_blocks"))).cast("int")))
     fringe_parts = F.sequence(F.lit(0), F.col("fringe_blocks") - 1)
     # Blocks are numbered fringe first, then core. A part is (fringe block, other block >= it).
     as_left = F.when(F.col("fringe"), F.transform(
@@ -222,7 +220,7 @@ def _split_bands(members: DataFrame) -> DataFrame:
     as_right = F.transform(F.filter(fringe_parts, lambda left: left <= own),
                            lambda left: F.struct(left.alias("part_a"), own.alias("part_b"), F.lit(1).alias("side")))
     return (placed.withColumn("part", F.explode(F.concat(as_left, as_right)))
-            .select("band", F.col("part.part_a"), F.col("part.part_b"), F.col("part.side"), "band_at", "digest", "component"))
+            .select("band", F.col("part.part_a"), F.col("part.part_b"), F.col("part.side"), "class", "component"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -241,12 +239,12 @@ def _element_lists(batch: pa.RecordBatch) -> pa.RecordBatch:
         [pa.array([digest(x) for x in lists], pa.binary()), ragged([x.view(np.int64) for x in lists], np.int64)], names=["digest", "elements"])
 
 
-def _apart(members: DataFrame, forest: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links between components that bands still hold apart."""
+def _apart(members: DataFrame, forest: DataFrame, held: DataFrame, threshold: int) -> DataFrame:
+    """Links between components that bands still hold apart. ``held``: class, signature and elements."""
     component = forest.select(F.col("node").alias("class"), "component")
     labelled = (members.where("n > 2").join(component, "class", "left")
-                .select("band", "band_at", "digest", F.coalesce("component", "class").alias("component")))
-    parts = (_split_bands(labelled).join(sets, "digest")
+                .select("band", "class", F.coalesce("component", "class").alias("component")))
+    parts = (_split_bands(labelled).join(held, "class")
              .repartition("band", "part_a", "part_b").sortWithinPartitions("band", "part_a", "part_b"))
     return map_partitions(parts, _block_links(threshold), "a long, b long").distinct()
 
@@ -269,30 +267,27 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     # Bands with the same members (a tight group shares most of its bands) are compared once, at the
     # first of them, so the first band that a pair shares is always among those kept.
-    bands = map_batches(classes.select("class", "digest", "signature"), _bands, "band long, band_at int, class long, digest binary")
-    shared = (bands.groupBy("band").agg(
-        F.count(F.lit(1)).alias("n"), F.min("band_at").alias("band_at"), F.min(F.struct("class", "digest")).alias("least"),
-        F.bit_xor(F.xxhash64("digest")).alias("print_a"), F.bit_xor(F.xxhash64(F.lit(1), "digest")).alias("print_b")).where("n > 1")
-        .groupBy("n", "print_a", "print_b").agg(F.min(F.struct("band_at", "band", "least")).alias("kept")))
-    members = store.save(bands.join(shared.select("kept.band", "n", F.col("kept.least.class").alias("least"), F.col("kept.least.digest").alias("least_digest")), "band"), "members")
-
-    signed = classes.select("digest", "signature")
+    bands = map_batches(classes.select("class", "signature"), _bands, "band long, class long")
+    shared = (bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("least"), F.bit_xor(F.xxhash64("class")).alias("print"))
+              .where("n > 1")
+              .groupBy("n", "least", "print").agg(F.min(F.struct(F.pmod("band", F.lit(BANDS)), "band")).alias("first")))
+    members = store.save(bands.join(shared.select("first.band", "n", "least"), "band"), "members")
+
     reps = docs.select(F.col("doc_id").cast("long").alias("class"), F.col("text").cast("string").alias("text"))
     # Rows that repeat an id give the sets of all their texts, so the digest is taken from the set.
     sets = store.save(map_batches(reps.join(members.select("class").distinct(), "class").select("text"), _element_lists, "digest binary, elements array<bigint>")
                       .where("digest is not null").groupBy("digest").agg(F.first("elements").alias("elements")), "sets")
 
-    leaders = (members.where("digest <> least_digest")
-               .select(F.col("class").alias("a"), F.col("least").alias("b"), F.col("digest").alias("digest_a"), F.col("least_digest").alias("digest_b")).distinct()
-               .join(signed.select(F.col("digest").alias("digest_a"), F.col("signature").alias("signature_a")), "digest_a")
-               .join(signed.select(F.col("digest").alias("digest_b"), F.col("signature").alias("signature_b")), "digest_b"))
-    pairs = map_batches(leaders.select("a", "b", "digest_a", "digest_b", "signature_a", "signature_b"), _compare_pairs,
+    side = lambda s: classes.select(*[F.col(c).alias(f"{c}_{s}") for c in ("class", "digest", "signature")])
+    leaders = (members.where("class <> least").select(F.col("class").alias("class_a"), F.col("least").alias("class_b")).distinct()
+               .join(side("a"), "class_a").join(side("b"), "class_b"))
+    pairs = map_batches(leaders.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "digest_a", "digest_b", "signature_a", "signature_b"), _compare_pairs,
                         "a long, b long, digest_a binary, digest_b binary")
     several = (rows.where("class is not null").groupBy("doc_id").agg(F.min("class").alias("b"), F.max("class").alias("most")).where("b <> most"))
     same_id = rows.join(several, "doc_id").select(F.col("class").alias("a"), "b")
     forest = graph.components(_verified(pairs, sets, threshold).unionByName(same_id))
 
-    found = store.save(_apart(members, forest, sets.join(signed, "digest"), threshold), "links")
+    found = store.save(_apart(members, forest, sets.join(classes, "digest").select("class", "signature", "elements"), threshold), "links")
     if found.limit(1).count():
         forest = graph.components(found.unionByName(forest.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     store.discard(found)
