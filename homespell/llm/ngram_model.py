@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,6 +40,8 @@ FOLDS = 10
 LEAST_COUNT = 2
 PAIR_WEIGHT, TRIPLE_WEIGHT = 0.6, 0.6
 SMOOTHING = 0.1
+#: Bytes of text that a task works on at a time.
+SLICE_BYTES = 8_000_000
 #: Tokens per shard.
 SHARD_TOKENS = 2_000_000
 #: Hashes of the end of a text and of what stands before it.
@@ -48,6 +51,17 @@ _32 = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about ``SLICE_BYTES`` of text."""
+    size = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    low = 0
+    while low < batch.num_rows:
+        before = size[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(size, before + SLICE_BYTES, side="right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def token_hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' tokens, ends included, and the offset of each text."""
     hashes = word_hashes()
@@ -264,7 +278,7 @@ def build(docs: DataFrame) -> tuple[Words, Trie]:
     shards = max(8, -(-size // (6 * SHARD_TOKENS)))
 
     def count_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             tokens, offsets = token_hashes(batch)
             code, one, _ = contexts(tokens, offsets)
             words, word_counts = _counted(tokens)
@@ -295,7 +309,7 @@ def build(docs: DataFrame) -> tuple[Words, Trie]:
     def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Triples whose pairs the trie holds, dealt with their pair; and each held pair once per
         batch with the hashes of its words, which the scores need."""
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             tokens, offsets = token_hashes(batch)
             code, one, two = contexts(tokens, offsets)
             keys = one << _32 | code
@@ -408,12 +422,11 @@ def score(docs: DataFrame) -> DataFrame:
     total = words.total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                n_tokens, n_known, base, own = score_batch(*token_hashes(batch), words, trie)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(own)],
-                    names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        for batch in (part for whole in batches for part in slices(whole)):
+            n_tokens, n_known, base, own = score_batch(*token_hashes(batch), words, trie)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(own)],
+                names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = map_partitions(rows, run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
