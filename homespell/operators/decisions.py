@@ -380,9 +380,13 @@ def explode_offers(adapted: DataFrame) -> DataFrame:
 
 
 def recommend(best: DataFrame, requests: DataFrame, lead: str = "property_id") -> DataFrame:
-    """Review, abstain or price, with the reason of the first gate that applies."""
+    """Review, abstain or price, with the reason of the first gate that applies.
+
+    Where ``best`` has a ``no_sale_path``, ``policy`` lists its weeks for priced requests and is empty for others.
+    """
+    paths = [c for c in ("no_sale_path",) if c in best.columns]
     solved = best.select(lead, "offer", "objective", "expected_profit", "exit_expected_profit",
-                         "loss_probability", "sale_by_horizon")
+                         "loss_probability", "sale_by_horizon", *paths)
     rows = requests.join(solved, lead, "left")
     outside = F.size("violations") > 0
     wide = F.col("interval_width") > MAX_WIDTH_RATE
@@ -396,6 +400,12 @@ def recommend(best: DataFrame, requests: DataFrame, lead: str = "property_id") -
         .when(thin, "margin below target").otherwise("priced"),
     })
     priced = F.col("recommendation") == "price"
+    if paths:
+        weekly = F.transform("no_sale_path", lambda d: F.struct(
+            d["week"].alias("week"), d["action"].alias("action"), F.round(d["cents"] / 100.0, 2).alias("list_price"),
+            F.round(d["sale_probability"], 6).alias("sale_probability")))
+        gated = gated.withColumn("policy", F.when(priced, weekly).otherwise(F.slice(weekly, 1, 0))).withColumn(
+            "policy", F.coalesce("policy", F.array().cast("array<struct<week:int,action:string,list_price:double,sale_probability:double>>")))
     return gated.withColumns({
         "acquisition_offer": F.when(priced, P.round_cents("offer")),
         "expected_profit": F.when(priced, F.round("expected_profit", 2)).otherwise(0.0),

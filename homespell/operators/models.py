@@ -217,6 +217,23 @@ def score_states(model: LogitModel, lattice: DataFrame, homes: DataFrame, lead:
     return score_hazard(model, states)
 
 
+def hazard_terms(model: LogitModel, homes: DataFrame, weeks: int, *groups: str,
+                 feature: str = "list_price_premium") -> DataFrame:
+    """Terms of a fitted hazard that is linear in the premium: ``hazard_score`` (log odds of week one at
+    premium zero), ``premium_effect`` per unit and ``week_effects`` against week one, joined by ``groups``."""
+    step = 0.1
+    cells = (homes.select(*groups).distinct()
+             .withColumn("period", F.explode(F.sequence(F.lit(1), F.lit(weeks))))
+             .withColumn(feature, F.explode(F.array(F.lit(0.0), F.lit(step)))))
+    odds = F.ln(F.col("hazard") / (1 - F.col("hazard")))
+    at = lambda period, premium: F.max(F.when((F.col("period") == period) & (F.col(feature) == premium), odds))
+    listed = F.array_sort(F.collect_list(F.when(F.col(feature) == 0, F.struct("period", odds.alias("odds")))))
+    terms = score_hazard(model, cells).groupBy(*groups).agg(
+        at(1, 0.0).alias("hazard_score"), ((at(1, step) - at(1, 0.0)) / step).alias("premium_effect"), listed.alias("_listed"))
+    return homes.join(terms.withColumn("week_effects", F.transform("_listed", lambda x: x["odds"] - F.col("hazard_score"))).drop("_listed"),
+                      list(groups))
+
+
 def offer_curve(model: LogitModel, df: DataFrame, ratios: Sequence[float],
                 feature: str = "offer_ratio") -> DataFrame:
     """Mean acceptance over the rows at each counterfactual offer ratio."""

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from homespell.functions import pricing as P
 from homespell.operators import decisions as D
 from homespell.operators import markdown, metrics
+from homespell.operators import models as M
 from homespell.plans import bindings as B
+from homespell.plans import model_queries
 from homespell.plans.query import Registry
 
 registry = Registry()
@@ -266,10 +268,38 @@ def _(spark, sf):
        "first_action s, path_weeks i, expected_profit f2, downside_cvar_loss f2, objective f2, loss_probability f6, "
        "premium_min f6, premium_max f6, premium_count i, path s")
 def _(spark, sf):
-    solved = D.quote(_solved(spark, sf))
+    """Over the hazard that k8 fits and scores."""
+    homes = model_queries.season_homes(spark, sf)
+    model = model_queries.season_hazard(spark, sf)
+    offers = D.explode_offers(M.hazard_terms(model, homes, POLICY.horizon_weeks, "grp"))
+    solved = D.quote(markdown.markdown_dp(offers, POLICY, lines=markdown.fitted_lines))
     return D.decision_summary(solved.drop("atoms", "exit_atoms", "scenarios"), "property_id")
 
 
+def _optimized(rows):
+    """The program in place of the calendar of ``_policy``; the chance of a sale is that of its no-sale path."""
+    solved = markdown.markdown_dp(rows, POLICY).drop("decisions")
+    return solved.withColumn("sale_by_horizon", D.sale_on_path(F.col("no_sale_path")))
+
+
+@query("k10_optimized_offers", "property_id i, offer f2, acceptance f9, expected_profit f4, downside_cvar_loss f4, objective f4, "
+       "loss_probability f9, sale_by_horizon f9, best b")
+def _(spark, sf):
+    """Offer grid (k3) and best offer (g3) over the program."""
+    quoted = D.quote(_optimized(D.explode_offers(_adapted(spark, sf)))).drop("atoms", "exit_atoms", "scenarios", "no_sale_path")
+    columns = ("offer", "acceptance", "expected_profit", "downside_cvar_loss", "objective", "loss_probability", "sale_by_horizon")
+    rank = F.struct("objective", "expected_profit", (-F.col("offer")).alias("_cheap"))
+    grids = quoted.groupBy("property_id").agg(F.collect_list(F.struct(*columns)).alias("o"), F.max_by("offer", rank).alias("_best"))
+    return grids.select("property_id", "_best", F.inline("o")).withColumn("best", F.col("offer") == F.col("_best"))
+
+
+@query("k11_optimized_gate", "property_id i, recommendation s, reason s, acquisition_offer f2, expected_profit f2, "
+       "probability_of_loss f6, sale_by_120_days f6, policy s")
+def _(spark, sf):
+    """The gate (k5) over the program, with the weekly policy of priced requests."""
+    return D.request_gate(_requests(spark, sf), _optimized).withColumn("policy", F.to_json("policy"))
+
+
 @query("g2_profile_argmax", "profile s, property_id i",
        f"""WITH {B.LEADS}, z AS (SELECT property_id, (balance - avg(balance) OVER ()) / stddev_pop(balance) OVER () AS bz,
        (value - avg(value) OVER ()) / stddev_pop(value) OVER () AS vz, property_id % 4 AS k FROM leads),

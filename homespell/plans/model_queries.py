@@ -155,14 +155,20 @@ def _(spark, sf):
     return M.sensitivity_rerun(_repeats(spark, sf), B.MARKET_A, B.MARKET_B)
 
 
+def season_hazard(spark, sf):
+    return M.fit_hazard(_listings(spark, sf), HAZARD, SEASON, "duration_weeks", "event_observed")
+
+
+def season_homes(spark, sf):
+    return D.adapt_requests(B.leads(spark, sf)).withColumn("grp", F.when(
+        F.col("property_id") % 2 == 0, "1-URGENT").otherwise("5-LOW"))
+
+
 @query("k8_score_states", "property_id i, week i, states i, supported i, least_hazard f6, greatest_hazard f6")
 def _(spark, sf):
     """Hazards of all states of the season's lattice, summed up per week."""
-    listings = _listings(spark, sf)
-    model = M.fit_hazard(listings, HAZARD, SEASON, "duration_weeks", "event_observed")
-    leads = B.leads(spark, sf)
-    homes = D.adapt_requests(leads).withColumn("grp", F.when(
-        F.col("property_id") % 2 == 0, "1-URGENT").otherwise("5-LOW"))
+    model = season_hazard(spark, sf)
+    homes = season_homes(spark, sf)
     lattice = markdown.price_lattice(homes, D.PricingConfig(horizon_weeks=SEASON, min_list_price_ratio=0.7),
                                      "property_id", P.LIST_PREMIUM_SUPPORT)
     states = M.score_states(model, lattice, homes.select("property_id", "grp", "prelisting_reference"), "property_id")
