@@ -6,6 +6,10 @@ interpolate theirs with the next shorter: p(w | h) = L c(h w) / c(h) + (1 - L) p
 model does not hold scores (1 - L) p(w | shorter h), a lower bound, so probabilities never sum to more
 than one. A score is quantised to steps of 1/4096 in log10.
 
+With a least count of one, as the registered query asks for, nothing is pruned: a pair or triple that the model
+does not hold was never seen. Its weight then goes to the shorter estimate alone where its context was seen, and a context that
+was never seen scores as the shorter one, so the probabilities of each context sum to one.
+
 The trie is dealt to shards by the hash of a pair. In a shard, level one lists the pairs' first words,
 level two the second words of each, and level three the words before each pair. Levels are Elias-Fano sequences:
 monotone pointers give each node's range, and its children are stored relative to the node (its number times 2^32 is
@@ -36,7 +40,7 @@ from homespell.llm.elias_fano import Reader, Sequence, Writer
 from homespell.llm.text import fold_remainder, lowered_words, map_partitions, mix, texts, word_hashes
 
 FOLDS = 10
-#: Occurrences that a pair or triple needs; weights of the pair and triple estimates.
+#: Occurrences that a pair or triple needs unless the caller says otherwise; weights of the pair and triple estimates.
 LEAST_COUNT = 2
 PAIR_WEIGHT, TRIPLE_WEIGHT = 0.6, 0.6
 SMOOTHING = 0.1
@@ -269,7 +273,7 @@ def _from(raw: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(raw, dtype)
 
 
-def build(docs: DataFrame) -> tuple[Words, Trie]:
+def build(docs: DataFrame, least_count: int = LEAST_COUNT) -> tuple[Words, Trie]:
     """Count words, pairs and triples of the training rows and write the shards."""
     spark = docs.sparkSession
     folder = store.fresh_path(spark, "ngrams")
@@ -293,7 +297,7 @@ def build(docs: DataFrame) -> tuple[Words, Trie]:
         writer, shard = Writer(), number // 2
         total, distinct = int(counts.sum()), len(keys)
         if number % 2:
-            keys, counts = keys[counts >= LEAST_COUNT], counts[counts >= LEAST_COUNT]
+            keys, counts = keys[counts >= least_count], counts[counts >= least_count]
             put_pairs(writer, keys, np.zeros(len(keys), np.uint16), counts)
         else:
             writer.put_sequence(keys)
@@ -354,8 +358,8 @@ def build(docs: DataFrame) -> tuple[Words, Trie]:
         pair, before, count = pair[order], before[order].astype(np.uint64), count[order]
         new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (before[1:] != before[:-1])]) if len(pair) else np.empty(0, np.int64)
         count = np.add.reduceat(count, new) if len(new) else count
-        pair, before = pair[new][count >= LEAST_COUNT], before[new][count >= LEAST_COUNT]
-        count = count[count >= LEAST_COUNT]
+        pair, before = pair[new][count >= least_count], before[new][count >= least_count]
+        count = count[count >= least_count]
         node = np.searchsorted(own, pair)
         context, back = np.unique(before << _32 | pair >> _32, return_inverse=True)
         c_context = np.zeros(len(context), np.int64)
@@ -373,8 +377,8 @@ def build(docs: DataFrame) -> tuple[Words, Trie]:
     return words, Trie(folder, shards, True)
 
 
-def score_batch(tokens: np.ndarray, offsets: np.ndarray, words: Words, trie: Trie) -> list[np.ndarray]:
-    """``n_tokens, n_known, base_score, score`` of each text."""
+def score_batch(tokens: np.ndarray, offsets: np.ndarray, words: Words, trie: Trie, whole: bool = False) -> list[np.ndarray]:
+    """``n_tokens, n_known, base_score, score`` of each text. ``whole``: nothing was pruned, so contexts never seen are known."""
     code, one, two = contexts(tokens, offsets)
     distinct, at = np.unique(tokens, return_inverse=True)
     count = words.counts(distinct)
@@ -406,24 +410,30 @@ def score_batch(tokens: np.ndarray, offsets: np.ndarray, words: Words, trie: Tri
             triple_score[rows[some[found >= 0]]] = opened.before_score[found[found >= 0]]
 
     pair = pair_score[back]
-    score = np.where(triple_score >= 0, -triple_score / STEP, np.log10(1 - TRIPLE_WEIGHT)
-                     + np.where(pair >= 0, -pair / STEP, np.log10(1 - PAIR_WEIGHT) + base))
     first = offsets[:-1]
+    pair_rest, triple_rest = np.log10(1 - PAIR_WEIGHT), np.log10(1 - TRIPLE_WEIGHT)
+    if whole:
+        seen = np.zeros(len(tokens), bool)
+        seen[1:] = (count > 0)[at][:-1]
+        seen[first] = words.total > 0
+        pair_rest, triple_rest = np.where(seen, pair_rest, 0.0), np.where(before, triple_rest, 0.0)
+    score = np.where(triple_score >= 0, -triple_score / STEP, triple_rest + np.where(pair >= 0, -pair / STEP, pair_rest + base))
     return [np.diff(offsets), np.add.reduceat((count > 0)[at].astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(score, first)]
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, least_count: int = LEAST_COUNT) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each row of ``docs``.
 
     Needs doc_id and text; nothing else is read. A null or empty text is its end alone. Rows without doc_id are learnt
-    from and not held out; repeated rows count each. An empty table gives no rows.
+    from and not held out; repeated rows count each. An empty table gives no rows. Pairs and triples that occur less than
+    ``least_count`` times are left to the shorter estimate.
     """
-    words, trie = build(docs)
-    total = words.total
+    words, trie = build(docs, least_count)
+    total, whole = words.total, least_count <= 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole)):
-            n_tokens, n_known, base, own = score_batch(*token_hashes(batch), words, trie)
+        for batch in (part for full in batches for part in slices(full)):
+            n_tokens, n_known, base, own = score_batch(*token_hashes(batch), words, trie, whole)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(own)],
                 names=["doc_id", "n_tokens", "n_known", "base_score", "score"])

@@ -33,7 +33,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_model.score(table(spark, sf_dir, "documents"))
+    return ngram_model.score(table(spark, sf_dir, "documents"), least_count=1)
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

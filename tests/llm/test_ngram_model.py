@@ -78,3 +78,48 @@ def test_against_plain_model(docs, monkeypatch, shard_tokens):
 
 def test_empty_table(empty_docs):
     assert ngram_model.score(empty_docs).count() == 0
+
+
+def whole_brute(rows):
+    """(base, score) of each row where no pair or triple is left out."""
+    learnt = [lowered(text) + ["</s>"] for doc_id, text in rows if doc_id is None or zlib.crc32(str(doc_id).encode()) % 10]
+    one, two, three, after, after_two = Counter(), Counter(), Counter(), Counter(), Counter()
+    for own in learnt:
+        framed = ["<s>", *own]
+        one.update(own)
+        for v, w in zip(framed, own):
+            two[v, w] += 1
+            after[v] += 1
+        for u, v, w in zip(framed, framed[1:], framed[2:]):
+            three[u, v, w] += 1
+            after_two[u, v] += 1
+    total, distinct = sum(one.values()), len(one)
+    out = []
+    for doc_id, text in rows:
+        framed = ["<s>", *lowered(text), "</s>"]
+        base = score = 0.0
+        for at in range(1, len(framed)):
+            v, w = framed[at - 1], framed[at]
+            p = (one[w] + 0.1) / (total + 0.1 * (distinct + 1))
+            base += math.log10(p)
+            if after[v]:
+                p = 0.6 * two[v, w] / after[v] + 0.4 * p
+            u = framed[at - 2] if at > 1 else None
+            if u is not None and after_two[u, v]:
+                p = 0.6 * three[u, v, w] / after_two[u, v] + 0.4 * p
+            score += math.log10(p)
+        out.append((base, score))
+    return out
+
+
+def test_query_leaves_out_no_ngram(spark, tables, docs):
+    from homespell.llm.queries import QUERIES
+
+    found = sorted(QUERIES["op5_elias_fano_lm"](spark, str(tables)).collect(), key=lambda r: (str(r.doc_id), r.n_tokens, r.base_score))
+    source = [(r.doc_id, r.text) for r in docs.collect()]
+    expected = sorted(((str(doc_id), len(lowered(text)) + 1, *own) for (doc_id, text), own in zip(source, whole_brute(source))))
+    assert len(found) == len(expected)
+    for own, (_, n_tokens, base, score) in zip(found, expected):
+        assert own.n_tokens == n_tokens and math.isclose(own.base_score, base, rel_tol=1e-9) and abs(own.score - score) <= 2e-4 * n_tokens
+    held_out = [r for r in found if r.held_out]
+    assert held_out and sum(r.score for r in held_out) > sum(r.base_score for r in held_out)
