@@ -74,11 +74,14 @@ def _(spark, sf):
         "written", F.lit(written["rows"]))
 
 
+#: The table's path as a pattern, which a stream takes for a file as well as for a folder.
+_LINEITEM = "{}/lineitem.parque[t]"
+
+
 @query("a5_stream_sanitize", _TX_COLUMNS, f"WITH {B.TX} SELECT * FROM tx")
 def _(spark, sf):
     output = scratch_path(spark, "stream-safe")
-    source = incremental.file_stream(spark, sf, _lineitem(spark, sf).schema, "parquet",
-                                     "lineitem.parquet")
+    source = incremental.file_stream(spark, _LINEITEM.format(sf), _lineitem(spark, sf).schema, "parquet")
     incremental.stream_sanitize(source, lambda df: B.sanitize(df).drop("seq"), output,
                                 scratch_path(spark, "stream-checkpoint"))
     return spark.read.parquet(output)
@@ -451,7 +454,7 @@ def _(spark, sf):
 
 def _stream(spark, sf):
     schema = _lineitem(spark, sf).schema
-    return B.sanitize(incremental.file_stream(spark, sf, schema, "parquet", "lineitem.parquet"))
+    return B.sanitize(incremental.file_stream(spark, _LINEITEM.format(sf), schema, "parquet"))
 
 
 @query("l1_stream_observation_end", "market s, observation_end d",

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from homespell.functions import scalars as S
 from homespell.schemas import TRANSACTIONS, all_strings
+from homespell.session import ship
+
+#: Bytes of a file that a task holds while it hashes.
+BLOCK_BYTES = 8 << 20
 
 # Source column aliases in order of preference.
 ALIASES_A = {
@@ -158,15 +165,52 @@ def union_markets(*tables: DataFrame) -> DataFrame:
     return result
 
 
+def _opened(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    """File system and plain path of a file that Spark has listed."""
+    if path.startswith("file:"):
+        return arrow_fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
+    return arrow_fs.FileSystem.from_uri(path) if ":/" in path else (arrow_fs.LocalFileSystem(), path)
+
+
+def _tasks_can_open(path: str) -> bool:
+    try:
+        _opened(path)
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+    return True
+
+
+def _streamed_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests = []
+        for path in batch.column("path").to_pylist():
+            access, plain = _opened(path)
+            digest = hashlib.sha256()
+            with access.open_input_stream(plain, compression=None) as source:
+                while block := source.read(BLOCK_BYTES):
+                    digest.update(block)
+            digests.append(digest.hexdigest())
+        yield batch.append_column("sha256", pa.array(digests, pa.string()))
+
+
 def input_provenance(spark: SparkSession, path: str, prior: DataFrame | None = None) -> DataFrame:
     """Digest, size and retrieval time per file; an unchanged file keeps its first time.
 
-    A file is known by its whole path, so equal names in two folders stay apart. Its content is held
-    in one row, so files must stay below 2 GB.
+    A file is known by its whole path, so equal names in two folders stay apart. A task reads its files
+    block by block, so they may have any size; files are dealt to tasks by their bytes. Only where
+    no library but Spark can open the file system is a file's content held in one row, below 2 GB.
     """
-    files = spark.read.format("binaryFile").load(path).select(
+    listed = spark.read.format("binaryFile").load(path)
+    first = listed.select("path").first()
+    if first is None or _tasks_can_open(first["path"]):
+        ship(spark)
+        kept = listed.select("path", "length", "modificationTime")
+        hashed = kept.mapInArrow(_streamed_digests, "path string, length long, modificationTime timestamp, sha256 string")
+    else:
+        hashed = listed.withColumn("sha256", F.sha2("content", 256))
+    files = hashed.select(
         "path", F.element_at(F.split("path", "/"), -1).alias("source"),
-        F.sha2("content", 256).alias("sha256"),
+        "sha256",
         F.col("length").alias("bytes"),
         F.col("modificationTime").alias("modified_at"),
     )
