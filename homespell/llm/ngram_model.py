@@ -4,7 +4,8 @@ The model counts words, pairs and triples of all training documents. A word has
 probability p1 = (c + 0.1) / (N + 0.1 (V + 1)); pairs and triples that occur at least ``LEAST_COUNT`` times
 interpolate theirs with the next shorter: p(w | h) = L c(h w) / c(h) + (1 - L) p(w | shorter h), and a pair or triple that the
 model does not hold scores (1 - L) p(w | shorter h), a lower bound, so probabilities never sum to more
-than one. A score is quantised to steps of 1/4096 in log10.
+than one. The trie holds counts, and a score is worked out from those of its words, pair and triple where it is asked for, so
+no task has to send word counts to the shards.
 
 With a least count of one, as the registered query asks for, nothing is pruned: a pair or triple that the model
 does not hold was never seen. Its weight then goes to the shorter estimate alone where its context was seen, and a context that
@@ -50,7 +51,6 @@ SLICE_BYTES = 8_000_000
 SHARD_TOKENS = 2_000_000
 #: Hashes of the end of a text and of what stands before it.
 END, BEFORE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-STEP = 4096.0
 _32 = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -119,10 +119,6 @@ def _dealt(shard: np.ndarray, shards: int, columns: list[np.ndarray]) -> Iterato
             yield own, [column[rows].tobytes() for column in columns]
 
 
-def quantised(probability: np.ndarray) -> np.ndarray:
-    return np.minimum(np.rint(-np.log10(probability) * STEP), 65535).astype(np.uint16)
-
-
 def open_shard(folder: str, name: str) -> np.ndarray | None:
     """A shard's bytes, mapped into memory where the folder is a mounted one; None for an empty shard."""
     return _open_shard(folder, name)
@@ -171,11 +167,10 @@ class Shard:
         reader = Reader(data)
         self.firsts: Sequence = reader.get_sequence()
         self.seconds: Sequence = reader.get_sequence()
-        self.score = reader.get("<u2")
         self.count = reader.get("<u4")
         if triples:
             self.befores: Sequence = reader.get_sequence()
-            self.before_score = reader.get("<u2")
+            self.before_count = reader.get("<u4")
 
     @staticmethod
     def children(node: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -191,17 +186,22 @@ class Shard:
         out[rows] = self.seconds.find(self.children(node[rows], second[rows]))
         return out
 
+    def pairs(self) -> np.ndarray:
+        """All pairs in order, first word's code in the high half."""
+        second = self.seconds.access(np.arange(self.seconds.n))
+        first = self.firsts.access((second >> _32).astype(np.int64))
+        return first << _32 | second & _LOW
+
     def find_triples(self, pair: np.ndarray, before: np.ndarray) -> np.ndarray:
         return self.befores.find(self.children(pair, before))
 
 
-def put_pairs(writer: Writer, pairs: np.ndarray, score: np.ndarray, count: np.ndarray) -> None:
+def put_pairs(writer: Writer, pairs: np.ndarray, count: np.ndarray) -> None:
     """``pairs``: sorted, first word's code in the high half."""
     first = pairs >> _32
     distinct, node = np.unique(first, return_inverse=True)
     writer.put_sequence(distinct)
     writer.put_sequence(Shard.children(node, pairs & _LOW))
-    writer.put(score)
     writer.put(np.minimum(count, 2**32 - 1).astype(np.uint32))
 
 
@@ -292,13 +292,13 @@ def build(docs: DataFrame, least_count: int = LEAST_COUNT) -> tuple[Words, Trie]
             yield _rows(dealt, 2)
 
     def build_short(number: int, columns: list[bytes]) -> tuple[int, int]:
-        """Even shards hold words, odd ones pairs, for now without scores."""
+        """Even shards hold words, odd ones pairs."""
         keys, counts = _counted(_from(columns[0], "<u8"), _from(columns[1], "<u4").astype(np.int64))
         writer, shard = Writer(), number // 2
         total, distinct = int(counts.sum()), len(keys)
         if number % 2:
             keys, counts = keys[counts >= least_count], counts[counts >= least_count]
-            put_pairs(writer, keys, np.zeros(len(keys), np.uint16), counts)
+            put_pairs(writer, keys, counts)
         else:
             writer.put_sequence(keys)
             writer.put(np.minimum(counts, 2**32 - 1).astype(np.uint32))
@@ -311,13 +311,12 @@ def build(docs: DataFrame, least_count: int = LEAST_COUNT) -> tuple[Words, Trie]
     pairs = Trie(folder, shards, False)
 
     def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Triples whose pairs the trie holds, dealt with their pair; and each held pair once per
-        batch with the hashes of its words, which the scores need."""
+        """Triples whose pairs the trie holds, dealt with their pair; a shard of held pairs gets a row without any."""
         for batch in (part for whole in batches for part in slices(whole)):
             tokens, offsets = token_hashes(batch)
             code, one, two = contexts(tokens, offsets)
             keys = one << _32 | code
-            distinct, first, at = np.unique(keys, return_index=True, return_inverse=True)
+            distinct, at = np.unique(keys, return_inverse=True)
             held = np.zeros(len(distinct), bool)
             pairs.look_up(distinct, lambda _, rows, __: held.__setitem__(rows, True))
             # The pair before a token's pair is that of the token before it; texts start without one.
@@ -331,27 +330,13 @@ def build(docs: DataFrame, least_count: int = LEAST_COUNT) -> tuple[Words, Trie]
             new = np.flatnonzero(np.r_[True, (triple[1:] != triple[:-1]).any(axis=1)]) if len(triple) else np.empty(0, np.int64)
             counts = np.diff(np.r_[new, len(triple)])
             triple = triple[new]
-            own, origin = distinct[held], first[held]
-            full = tokens[origin]
-            earlier = np.where(np.isin(origin, offsets[:-1]), BEFORE, tokens[np.maximum(origin - 1, 0)])
             triples = dict(_dealt(shard_of_pair(triple[:, 0], shards), shards, [triple[:, 0], triple[:, 1].astype("<u4"), counts.astype("<u4")]))
-            named = dict(_dealt(shard_of_pair(own, shards), shards, [own, full, earlier]))
-            none = [b"", b"", b""]
-            yield _rows([(k, triples.get(k, none) + named.get(k, none)) for k in sorted(triples.keys() | named.keys())], 6)
+            named = np.unique(shard_of_pair(distinct[held], shards)).tolist()
+            yield _rows([(k, triples.get(k, [b"", b"", b""])) for k in named], 3)
 
     def build_trie(number: int, columns: list[bytes]) -> tuple[int, int]:
         held = Shard(open_shard(folder, f"pairs-{number:06d}"), False)
-        n = held.seconds.n
-        # Scores of pairs: their words' counts come from the shards of words.
-        own, at = np.unique(_from(columns[3], "<u8"), return_index=True)
-        full, earlier = _from(columns[4], "<u8")[at], _from(columns[5], "<u8")[at]
-        asked, back = np.unique(np.concatenate([full, earlier]), return_inverse=True)
-        known = words.counts(asked)[back]
-        c_full, c_earlier = known[:len(full)], known[len(full):]
-        # Every text has one place before its first word, and one end.
-        c_earlier = np.where(earlier == BEFORE, words.counts(np.array([END]))[0], c_earlier)
-        c_pair = np.asarray(held.count, np.int64)
-        p_pair = PAIR_WEIGHT * c_pair / np.maximum(c_earlier, c_pair) + (1 - PAIR_WEIGHT) * words.probability(c_full)
+        own = held.pairs()
 
         pair, before, count = _from(columns[0], "<u8"), _from(columns[1], "<u4"), _from(columns[2], "<u4").astype(np.int64)
         order = np.lexsort((before, pair))
@@ -361,19 +346,15 @@ def build(docs: DataFrame, least_count: int = LEAST_COUNT) -> tuple[Words, Trie]
         pair, before = pair[new][count >= least_count], before[new][count >= least_count]
         count = count[count >= least_count]
         node = np.searchsorted(own, pair)
-        context, back = np.unique(before << _32 | pair >> _32, return_inverse=True)
-        c_context = np.zeros(len(context), np.int64)
-        pairs.look_up(context, lambda shard, rows, numbers: c_context.__setitem__(rows, shard.count[numbers]))
-        p_triple = TRIPLE_WEIGHT * count / np.maximum(c_context[back], count) + (1 - TRIPLE_WEIGHT) * p_pair[node]
 
         writer = Writer()
-        put_pairs(writer, own, quantised(p_pair), c_pair)
+        put_pairs(writer, own, np.asarray(held.count))
         writer.put_sequence(Shard.children(node, before))
-        writer.put(quantised(p_triple))
+        writer.put(np.minimum(count, 2**32 - 1).astype(np.uint32))
         store.put_file(folder, f"trie-{number:06d}", TaskContext.get().taskAttemptId(), writer.chunks())
-        return n, len(pair)
+        return len(own), len(pair)
 
-    _by_shard(map_partitions(training, count_triples, _dealt_schema(6)), 6, build_trie)
+    _by_shard(map_partitions(training, count_triples, _dealt_schema(3)), 3, build_trie)
     return words, Trie(folder, shards, True)
 
 
@@ -385,11 +366,11 @@ def score_batch(tokens: np.ndarray, offsets: np.ndarray, words: Words, trie: Tri
     base = np.log10(words.probability(count))[at]
 
     keys, back = np.unique(one << _32 | code, return_inverse=True)
-    pair_score = np.full(len(keys), -1, np.int64)
+    pair_count = np.zeros(len(keys), np.int64)
     node = np.full(len(keys), -1, np.int64)
 
     def pairs_of(shard: Shard, rows: np.ndarray, numbers: np.ndarray) -> None:
-        pair_score[rows], node[rows] = shard.score[numbers], numbers
+        pair_count[rows], node[rows] = shard.count[numbers], numbers
 
     trie.look_up(keys, pairs_of)
     # Triples can exist only where the token's pair and the pair before it are held.
@@ -398,7 +379,7 @@ def score_batch(tokens: np.ndarray, offsets: np.ndarray, words: Words, trie: Tri
     before[1:] = held[:-1]
     before[offsets[:-1]] = False
     rows = np.flatnonzero(held & before)
-    triple_score = np.full(len(tokens), -1, np.int64)
+    c_triple = np.zeros(len(tokens), np.int64)
     number, earlier, own = node[back[rows]], two[rows], shard_of_pair(keys[back[rows]], trie.shards)
     order = np.argsort(own, kind="stable")
     cuts = np.searchsorted(own[order], np.arange(trie.shards + 1, dtype=np.uint64))
@@ -407,17 +388,19 @@ def score_batch(tokens: np.ndarray, offsets: np.ndarray, words: Words, trie: Tri
         if len(some):
             opened = trie._shard(shard)
             found = opened.find_triples(number[some], earlier[some])
-            triple_score[rows[some[found >= 0]]] = opened.before_score[found[found >= 0]]
-
-    pair = pair_score[back]
-    first = offsets[:-1]
-    pair_rest, triple_rest = np.log10(1 - PAIR_WEIGHT), np.log10(1 - TRIPLE_WEIGHT)
-    if whole:
-        seen = np.zeros(len(tokens), bool)
-        seen[1:] = (count > 0)[at][:-1]
-        seen[first] = words.total > 0
-        pair_rest, triple_rest = np.where(seen, pair_rest, 0.0), np.where(before, triple_rest, 0.0)
-    score = np.where(triple_score >= 0, -triple_score / STEP, triple_rest + np.where(pair >= 0, -pair / STEP, pair_rest + base))
+            c_triple[rows[some[found >= 0]]] = opened.before_count[found[found >= 0]]
+
+    first, c_pair = offsets[:-1], pair_count[back]
+    # Counts of what stands before a token; every text has one place before its first word, and one end.
+    c_before, c_pair_before = np.zeros_like(c_pair), np.zeros_like(c_pair)
+    c_before[1:], c_pair_before[1:] = count[at][:-1], c_pair[:-1]
+    c_before[first] = words.counts(np.array([END]))[0]
+    short = words.probability(count)[at]
+    # Where nothing was pruned, contexts that were never seen leave all to the shorter estimate.
+    rest = np.where((c_before > 0) | (not whole), 1 - PAIR_WEIGHT, 1.0)
+    middle = PAIR_WEIGHT * c_pair / np.maximum(np.maximum(c_before, c_pair), 1) + rest * short
+    rest = np.where(before | (not whole), 1 - TRIPLE_WEIGHT, 1.0)
+    score = np.log10(TRIPLE_WEIGHT * c_triple / np.maximum(np.maximum(c_pair_before, c_triple), 1) + rest * middle)
     return [np.diff(offsets), np.add.reduceat((count > 0)[at].astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(score, first)]
 
 

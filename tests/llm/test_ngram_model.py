@@ -123,3 +123,10 @@ def test_query_leaves_out_no_ngram(spark, tables, docs):
         assert own.n_tokens == n_tokens and math.isclose(own.base_score, base, rel_tol=1e-9) and abs(own.score - score) <= 2e-4 * n_tokens
     held_out = [r for r in found if r.held_out]
     assert held_out and sum(r.score for r in held_out) > sum(r.base_score for r in held_out)
+
+
+def test_pairs_without_triples(spark):
+    found = ngram_model.score(spark.createDataFrame([(None, ""), (None, ""), (None, "")], "doc_id long, text string"), least_count=1).collect()
+    assert len(found) == 3
+    for row in found:
+        assert math.isclose(row.score, math.log10(0.6 + 0.4 * 3.1 / 3.2), rel_tol=1e-9)
