@@ -99,11 +99,12 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def _bands(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """A row for each band of each class. The lowest five bits of a band's key are its position."""
+    """A row for each band of each class's text, with the text's print. The lowest five bits of a band's key are its position."""
     signatures = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint64).reshape(-1, BANDS)
     keys = (mix(signatures) << np.uint64(5)) | np.arange(BANDS, dtype=np.uint64)
     row = np.repeat(np.arange(batch.num_rows), BANDS)
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), batch.column("class").take(pa.array(row))], names=["band", "class"])
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), batch.column("class").take(pa.array(row)),
+                                       batch.column("print").take(pa.array(row))], names=["band", "class", "print"])
 
 
 def _compare_pairs(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -266,12 +267,13 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     store.discard(described)
 
     # Bands with the same members (a tight group shares most of its bands) are compared once, at the
-    # first of them, so the first band that a pair shares is always among those kept.
-    bands = map_batches(classes.select("class", "signature"), _bands, "band long, class long")
-    shared = (bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("least"), F.bit_xor(F.xxhash64("class")).alias("print"))
+    # first of them, so the first band that a pair shares is always among those kept. Members are told by
+    # the digests of their texts, which are distinct: an id that repeats with other texts would cancel itself.
+    bands = map_batches(classes.select("class", "signature", F.xxhash64("digest").alias("print")), _bands, "band long, class long, print long")
+    shared = (bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("least"), F.bit_xor("print").alias("print"))
               .where("n > 1")
               .groupBy("n", "least", "print").agg(F.min(F.struct(F.pmod("band", F.lit(BANDS)), "band")).alias("first")))
-    members = store.save(bands.join(shared.select("first.band", "n", "least"), "band"), "members")
+    members = store.save(bands.drop("print").join(shared.select("first.band", "n", "least"), "band"), "members")
 
     reps = docs.select(F.col("doc_id").cast("long").alias("class"), F.col("text").cast("string").alias("text"))
     # Rows that repeat an id give the sets of all their texts, so the digest is taken from the set.

@@ -80,3 +80,26 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 500), (700, 600), (600, 700)], "a long, b long")
     found = {r.node: r.component for r in graph.components(edges).collect()}
     assert found == {**{k: 0 for k in range(1, 201)}, 700: 600}
+
+
+def test_bands_of_ids_with_several_texts_do_not_cancel(spark, monkeypatch):
+    """Two bands of one id and, twice each, another id: the members differ though ids cancel in pairs."""
+    r = random.Random(8)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    def changed(words):
+        own = list(words)
+        own[len(own) // 2] = f"n{r.randrange(10**9)}"
+        return own
+    one, two = fresh(120), fresh(120)
+    rows = [(3, one), (3, two), (5, changed(one)), (5, changed(one)), (7, changed(two)), (7, changed(two))]
+    rows = [(doc_id, " ".join(words)) for doc_id, words in rows]
+
+    def planted(batch):
+        import pyarrow as pa
+        out = [(hash_, own, mark) for own, mark in zip(batch.column("class").to_pylist(), batch.column("print").to_pylist())
+               for hash_ in ((32, 64) if own == 3 else (32,) if own == 5 else (64,))]
+        return pa.RecordBatch.from_pydict({name: pa.array(x, pa.int64()) for name, x in zip(("band", "class", "print"), zip(*out))})
+
+    monkeypatch.setattr(near_dedup, "_bands", planted)
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in found} == components(rows) == {3: 3, 5: 3, 7: 3}
