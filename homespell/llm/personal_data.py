@@ -180,7 +180,8 @@ def _sample_windows(batch: pa.RecordBatch) -> pa.RecordBatch:
 def train(docs: DataFrame, sample_windows: int = SAMPLE_WINDOWS) -> Tagger | None:
     """A tagger from base spans in the distinct windows of lowest hash; None without any window."""
     triggered = docs.select(_text().alias("text")).where(F.col("text").rlike(TRIGGER))
-    labelled = store.save(map_batches(triggered, _sample_windows, "piece string, tags binary"), "windows")
+    # Copies go before the sample is taken, or those of one window could fill it.
+    labelled = store.save(map_batches(triggered, _sample_windows, "piece string, tags binary").dropDuplicates(["piece", "tags"]), "windows")
     windows = lowest(labelled, sample_windows, F.xxhash64("piece"), "piece", "tags").collect()
     store.discard(labelled)
     if not windows:

@@ -112,3 +112,14 @@ def test_added_spans_never_touch_base_spans():
     base = personal_data.base_spans(text)
     added = personal_data.reconcile(text, base, [(0.99, (3, 5, 17)), (0.999, (3, 6, 17)), (0.99, (3, 20, 38)), (0.5, (3, 0, 4))])
     assert set(base) <= set(added) and (3, 6, 17) in added and len(added) == len(base) + 1
+
+
+def test_copies_do_not_fill_the_sample(spark, monkeypatch):
+    from homespell.llm import personal_data
+
+    texts = ["mail me at one@example.com"] * 300 + [f"mail me at own{k}@example.com" for k in range(40)]
+    seen = []
+    monkeypatch.setattr(personal_data.Tagger, "train", lambda self, codes, *rest: seen.append(len(codes)))
+    for _ in range(1):
+        personal_data.train(spark.createDataFrame([(x,) for x in texts], "text string"), sample_windows=41)
+    assert seen == [41]
