@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homespell.llm import decontamination, near_dedup, ngram_model, packing, personal_data, preferences, quality_classifier, quality_rules, token_records, warc
+from homespell.llm import decontamination, line_index, near_dedup, ngram_model, packing, personal_data, preferences, quality_classifier, quality_rules, token_records, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,11 +58,16 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_index.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (
         op1_quality_classifier, op2_best_fit_packing, op3_chat_formatting, op4_quality_rules, op5_elias_fano_lm,
-        op6_benchmark_decontamination, op7_warc, op8_binary_records, op9_pii, op10_minhash_near_dedup,
+        op6_benchmark_decontamination, op7_warc, op8_binary_records, op9_pii, op10_minhash_near_dedup, op13_line_dedup,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": preferences.NEIGHBOUR_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": preferences.NEIGHBOUR_SQL, "op13_line_dedup": line_index.LINES_SQL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 import uuid
 
+import numpy as np
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +57,13 @@ def put_file(uri: str, name: str, attempt: int, chunks) -> None:
         for chunk in chunks:
             out.write(chunk)
     files.move(partial, posixpath.join(folder, name))
+
+
+def map_file(uri: str, name: str) -> np.ndarray:
+    """A file's bytes, mapped into memory where its folder is a mounted one."""
+    files, folder = open_folder(uri)
+    path = posixpath.join(folder, name)
+    if isinstance(files, arrow_fs.LocalFileSystem):
+        return np.memmap(path, np.uint8, "r")
+    with files.open_input_file(path) as source:
+        return np.frombuffer(source.read(), np.uint8)
