@@ -32,7 +32,9 @@ from homespell.llm.elias_fano import Reader, Writer
 from homespell.llm.text import map_batches, map_partitions, texts
 
 LEAST_CHARS = 10
-KEYS_PER_SHARD = 400_000
+KEYS_PER_SHARD = 250_000
+#: Tasks that shards are dealt to at most.
+MOST_TASKS = 16_384
 _WHITE = b" \t\n\x0b\x0c\r"
 _KEY = ["key_hi", "key_lo"]
 _SHARD_BITS = 30
@@ -153,6 +155,12 @@ class Shard:
         return Shard([column[stay] for column in columns], self.filter)
 
 
+def _dealt(rows: DataFrame, shards: int) -> DataFrame:
+    """A task for each shard, or for as many shards as there are beyond ``MOST_TASKS``."""
+    tasks = min(shards, MOST_TASKS)
+    return rows.repartitionById(tasks, F.col("shard") % tasks)
+
+
 class LineIndex:
     """Which documents hold which lines, changed by whole documents."""
 
@@ -239,8 +247,7 @@ class LineIndex:
             if current is not None:
                 yield close()
 
-        # More partitions than shards, so that most shards have a task of their own.
-        spread = dealt.repartition(min(4096, 2 * shards), "shard").sortWithinPartitions("shard", F.col("file").desc_nulls_last())
+        spread = _dealt(dealt, shards).sortWithinPartitions("shard", F.col("file").desc_nulls_last())
         self.files = store.save(map_partitions(spread, run, "shard int, file string, keys long"), "line-shards")
         self.folder, self.shards = folder, shards
         if before is not None:
@@ -260,8 +267,9 @@ class LineIndex:
                     several = columns[3] < columns[4]
                     yield pa.RecordBatch.from_arrays([pa.array(columns[k][several]) for k in (0, 1, 3)], names=["key_hi", "key_lo", "keeper"])
 
-        spread = self.files.repartition(min(4096, 2 * self.shards), "shard").select("file")
-        return map_partitions(spread, run, "key_hi long, key_lo long, keeper long")
+        found = map_partitions(_dealt(self.files, self.shards).select("file"), run, "key_hi long, key_lo long, keeper long")
+        # Written, so that a join goes by its size and not by that of the list of files.
+        return store.save(found, "repeated")
 
     def keep(self, docs: DataFrame, held: DataFrame | None = None) -> DataFrame:
         """``doc_id, text, n_lines, n_dropped`` of each row of ``docs``, which are in the index.
