@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from homespell.operators.scale import (
     MASS_TOLERANCE,
+    Carried,
     join_on,
     order_groups,
 )
@@ -46,7 +47,7 @@ def cumulative_mass(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     """Adds ``upto`` and ``start``: normalized mass up to and before each atom."""
     ranked = (
         order_groups(df, keys, order)
-        .running_sum("p", "_upto").totals("p", "_total").result()
+        .carry(_upto=Carried("p"), _total=Carried("p", over="all")).result()
     )
     scale = _scale_of(F.col("_total"))
     return ranked.withColumns({
@@ -91,8 +92,8 @@ def compress_distribution(df: DataFrame, keys: Sequence[str], max_points: int,
     atoms = positive_mass(df).withColumn("_one", F.lit(1).cast("bigint"))
     ranked = (
         order_groups(atoms, keys, ["profit", *tie_break])
-        .running_sum("p", "_upto").running_sum("_one", "_rank")
-        .totals("p", "_total").totals("_one", "_atoms").result()
+        .carry(_upto=Carried("p"), _rank=Carried("_one"),
+               _total=Carried("p", over="all"), _atoms=Carried("_one", over="all")).result()
     )
     scale = _scale_of(F.col("_total"))
     upto, start = F.col("_upto") / scale, (F.col("_upto") - F.col("p")) / scale

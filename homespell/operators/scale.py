@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -35,6 +37,37 @@ def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
     return attached.select(*kept, *[F.col("_row")[name].alias(name) for name in row.columns])
 
 
+@dataclass(frozen=True)
+class Carried:
+    """A fold of ``value`` along the order of a key.
+
+    ``fold`` is sum, product, xor or last (the last non-null). ``over`` says which rows of the key it
+    takes: ``upto`` a row, ``before`` it, ``onward`` from it, or ``all`` of them (not for last).
+    """
+
+    value: str
+    fold: str = "sum"
+    over: str = "upto"
+
+
+_FOLDS = {"sum": F.sum, "product": F.product, "xor": F.bit_xor}
+_FRAMES = {
+    "upto": (Window.unboundedPreceding, 0),
+    "before": (Window.unboundedPreceding, -1),
+    "onward": (Window.unboundedPreceding, 0),
+    "all": (Window.unboundedPreceding, Window.unboundedFollowing),
+}
+
+
+def _joined(fold: str, parts: Sequence[Column]) -> Column:
+    """Folds of several row sets as one; sets without a value are null and pass."""
+    out = parts[0]
+    for part in parts[1:]:
+        both = {"sum": out + part, "product": out * part, "xor": out.bitwiseXOR(part)}[fold]
+        out = F.coalesce(both, out, part)
+    return out
+
+
 @dataclass(frozen=True)
 class OrderedGroups:
     """Rows in a total order within each key, ready for running computations.
@@ -47,54 +80,51 @@ class OrderedGroups:
     keys: tuple[str, ...]
     order: tuple[str, ...]
 
-    def _window(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys, _CHUNK).orderBy(*self.order)
-
-    def _carry(self, summary: Column, combine) -> DataFrame:
-        """One row per (key, chunk) that continues a key from an earlier chunk.
+    def carry(self, **outs: Carried) -> OrderedGroups:
+        """Add a column for each fold, all in one aggregate, one pass over the rows and one join.
 
-        A range partition can start with at most one unfinished key, so the result has fewer
-        rows than there are partitions and is safe to broadcast.
+        Rows are folded within their range; keys that go over a range's end, of which a range has two at
+        most, get what their other ranges hold from a table with fewer than twice as many rows as there are
+        ranges, which is safe to broadcast.
         """
-        before = (
-            Window.partitionBy(*self.keys)
-            .orderBy(_CHUNK)
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        return (
-            self.frame.groupBy(*self.keys, _CHUNK)
-            .agg(summary.alias("_summary"))
-            .withColumn("_carried", combine("_summary").over(before))
-            .filter(F.col("_carried").isNotNull())
-            .drop("_summary")
-        )
-
-    def _attach(self, frame: DataFrame, carry: DataFrame) -> DataFrame:
-        return join_on(frame, F.broadcast(carry), [*self.keys, _CHUNK])
+        # A frame that ends with its partition is worked out anew for each row, so what follows is read backwards.
+        within, ranges = Window.partitionBy(*self.keys, _CHUNK), Window.partitionBy(*self.keys)
+        rows, backwards = within.orderBy(*self.order), within.orderBy(*[F.desc_nulls_last(name) for name in self.order])
+        sides = {"before": ranges.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1),
+                 "after": ranges.orderBy(F.desc(_CHUNK)).rowsBetween(Window.unboundedPreceding, -1)}
+        own, summaries, others, merged = {}, [], {}, {}
+        for out, it in outs.items():
+            window = (backwards if it.over == "onward" else rows).rowsBetween(*_FRAMES[it.over])
+            if it.fold == "last":
+                own[out] = F.last(it.value, ignorenulls=True).over(window)
+                position = F.when(F.col(it.value).isNotNull(), F.struct(*self.order))
+                summaries.append(F.max_by(it.value, position).alias(f"_sum_{out}"))
+                others[f"_before_{out}"] = F.last(f"_sum_{out}", ignorenulls=True).over(sides["before"])
+                merged[out] = F.coalesce(out, f"_before_{out}")
+                continue
+            fold = _FOLDS[it.fold]
+            own[out] = fold(it.value).over(window)
+            summaries.append(fold(it.value).alias(f"_sum_{out}"))
+            needed = {"upto": ["before"], "before": ["before"], "onward": ["after"], "all": ["before", "after"]}[it.over]
+            others |= {f"_{side}_{out}": fold(F.col(f"_sum_{out}")).over(sides[side]) for side in needed}
+            merged[out] = _joined(it.fold, [F.col(out), *[F.col(f"_{side}_{out}") for side in needed]])
+        known = reduce(or_, [F.col(name).isNotNull() for name in others])
+        carried = (self.frame.groupBy(*self.keys, _CHUNK).agg(*summaries).withColumns(others)
+                   .filter(known).select(*self.keys, _CHUNK, *others))
+        attached = join_on(self.frame.withColumns(own), F.broadcast(carried), [*self.keys, _CHUNK])
+        return replace(self, frame=attached.withColumns(merged).drop(*others))
 
     def previous(self, value: str, out: str) -> OrderedGroups:
         """Last non-null ``value`` strictly before each row."""
-        window = self._window().rowsBetween(Window.unboundedPreceding, -1)
-        frame = self.frame.withColumn(out, F.last(value, ignorenulls=True).over(window))
-        position = F.when(F.col(value).isNotNull(), F.struct(*self.order))
-        carry = self._carry(F.max_by(value, position), lambda name: F.last(name, ignorenulls=True))
-        frame = self._attach(frame, carry).withColumn(out, F.coalesce(out, "_carried"))
-        return replace(self, frame=frame.drop("_carried"))
+        return self.carry(**{out: Carried(value, "last", "before")})
 
     def running_sum(self, value: str, out: str) -> OrderedGroups:
         """Sum of ``value`` up to and including each row."""
-        window = self._window().rowsBetween(Window.unboundedPreceding, 0)
-        frame = self.frame.withColumn(out, F.sum(value).over(window))
-        frame = self._attach(frame, self._carry(F.sum(value), F.sum))
-        carried = F.coalesce(F.col("_carried"), F.lit(0))
-        return replace(self, frame=frame.withColumn(out, F.col(out) + carried).drop("_carried"))
+        return self.carry(**{out: Carried(value)})
 
     def totals(self, value: str, out: str) -> OrderedGroups:
         """Sum of ``value`` over each whole key."""
-        sums = self.frame.groupBy(*self.keys).agg(F.sum(value).alias(out))
-        if not self.keys:
-            return replace(self, frame=attach_row(self.frame, sums))
-        return replace(self, frame=join_on(self.frame, sums, self.keys))
+        return self.carry(**{out: Carried(value, over="all")})
 
     def result(self) -> DataFrame:
         return self.frame.drop(_CHUNK)
@@ -118,8 +148,7 @@ def exact_percentiles(
     counts = present.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n"))
     ranked = (
         order_groups(counts, keys, ["_value"])
-        .running_sum("_n", "_upto")
-        .totals("_n", "_total")
+        .carry(_upto=Carried("_n"), _total=Carried("_n", over="all"))
         .result()
     )
     picks, outputs = [], []
@@ -155,8 +184,7 @@ def weighted_quantiles(
     )
     ranked = (
         order_groups(merged, keys, ["_value"])
-        .running_sum("_w", "_upto")
-        .totals("_w", "_total")
+        .carry(_upto=Carried("_w"), _total=Carried("_w", over="all"))
         .result()
     )
     share = F.col("_upto") / F.col("_total") + MASS_TOLERANCE

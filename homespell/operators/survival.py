@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from homespell.operators.scale import exact_percentiles, join_on, stacked, unstacked
+from homespell.operators.scale import Carried, exact_percentiles, join_on, order_groups, stacked, unstacked
 
 
 def person_period(df: DataFrame, duration: str = "duration_weeks", event: str = "event_observed",
@@ -75,22 +76,16 @@ def km_table(df: DataFrame, keys: Sequence[str], duration: str = "hold_days",
              event: str = "event_observed") -> DataFrame:
     """At-risk count, exits and survival at every distinct duration.
 
-    Rows are first combined per (key, duration), so each window is as long as the duration
-    domain (whole days), not as the group.
+    Rows are first combined per (key, duration); the counts at risk and the product of the steps are then carried
+    over ranges of (key, duration), so a key with many durations is not one task.
     """
     counts = df.groupBy(*keys, F.col(duration).alias("duration")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col(event).cast("int")).alias("exits"),
     )
-    by_key = Window.partitionBy(*keys)
-    at_risk = F.sum("n").over(
-        by_key.orderBy(F.col("duration").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    step = counts.withColumn("at_risk", at_risk)
-    survival = F.product(1 - F.col("exits") / F.col("at_risk")).over(
-        by_key.orderBy("duration").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return step.withColumn("survival", survival)
+    at_risk = order_groups(counts, keys, ["duration"]).carry(at_risk=Carried("n", over="onward"))
+    step = replace(at_risk, frame=at_risk.frame.withColumn("_step", 1 - F.col("exits") / F.col("at_risk")))
+    return step.carry(survival=Carried("_step", "product")).result().drop("_step")
 
 
 def km_estimates(df: DataFrame, keys: Sequence[str], horizons: Sequence[int] = (90, 120),

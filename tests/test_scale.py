@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from homespell.operators import conformal, linkage, metrics, panels, risk, scale
+from homespell.operators import conformal, linkage, metrics, panels, risk, scale, survival
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +45,37 @@ def test_running_values(skewed, keys):
     assert frozen(found) == frozen(expected)
 
 
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_folds_of_one_pass(skewed, keys):
+    """All folds together, by one aggregate over the ranges and one broadcast join."""
+    rows = skewed.withColumns({"f": 1 + F.col("w") / 1e4, "h": F.xxhash64("seq")})
+    found = scale.order_groups(rows, keys, ["v", "seq"]).carry(
+        onward=scale.Carried("w", over="onward"), before=scale.Carried("h", "xor", "before"),
+        grown=scale.Carried("f", "product"), every=scale.Carried("h", "xor", "all"), last=scale.Carried("w", "last", "upto"))
+    plan = found.frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") + plan.count("BroadcastNestedLoopJoin") == 1
+    order = Window.partitionBy(*keys).orderBy("v", "seq")
+    start, end = Window.unboundedPreceding, Window.unboundedFollowing
+    expected = rows.withColumns({
+        "onward": F.sum("w").over(order.rowsBetween(0, end)), "before": F.bit_xor("h").over(order.rowsBetween(start, -1)),
+        "grown": F.product("f").over(order.rowsBetween(start, 0)), "every": F.bit_xor("h").over(order.rowsBetween(start, end)),
+        "last": F.col("w")})
+    assert frozen(found.result()) == frozen(expected)
+
+
+def test_survival_of_one_key_with_a_million_durations(spark):
+    spells = spark.range(1_000_000).select(F.lit("one").alias("k"), F.col("id").alias("hold_days"), (F.col("id") % 2 == 0).alias("event_observed"))
+    table = survival.km_table(spells, ["k"])
+    widest = table.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert widest < 600_000
+    row = table.filter("duration = 500000").first()
+    assert row.at_risk == 500_000
+    # Steps at even days d leave (1 - 1 / (n - d)); their product telescopes up to the odd days.
+    import numpy as np
+    days = np.arange(0, 500_001, 2)
+    assert row.survival == pytest.approx(float(np.exp(np.log1p(-1 / (1_000_000 - days)).sum())), rel=1e-9)
+
+
 def test_percentiles_and_ranks(skewed):
     found = scale.exact_percentiles(skewed, ["k"], "w", {"m": 0.5, "p9": 0.9})
     expected = skewed.groupBy("k").agg(F.percentile("w", F.lit(0.5)).alias("m"), F.percentile("w", F.lit(0.9)).alias("p9"))
