@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homespell.llm import decontamination, line_index, near_dedup, ngram_model, packing, personal_data, preferences, quality_classifier, quality_rules, spelling, token_records, warc
+from homespell.llm import decontamination, line_index, near_dedup, ngram_model, packing, personal_data, preferences, prefix_trie, quality_classifier, quality_rules, spelling, token_records, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -70,9 +74,10 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (
         op1_quality_classifier, op2_best_fit_packing, op3_chat_formatting, op4_quality_rules, op5_elias_fano_lm,
-        op6_benchmark_decontamination, op7_warc, op8_binary_records, op9_pii, op10_minhash_near_dedup, op12_spelling_variants, op13_line_dedup,
+        op6_benchmark_decontamination, op7_warc, op8_binary_records, op9_pii, op10_minhash_near_dedup, op11_conversation_trie, op12_spelling_variants,
+        op13_line_dedup,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": preferences.NEIGHBOUR_SQL, "op12_spelling_variants": spelling.VARIANTS_SQL,
-                               "op13_line_dedup": line_index.LINES_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": preferences.NEIGHBOUR_SQL, "op11_conversation_trie": prefix_trie.TRIE_SQL,
+                               "op12_spelling_variants": spelling.VARIANTS_SQL, "op13_line_dedup": line_index.LINES_SQL}
