@@ -59,6 +59,15 @@ def put_file(uri: str, name: str, attempt: int, chunks) -> None:
     files.move(partial, posixpath.join(folder, name))
 
 
+#: Tasks that read files at most.
+MOST_READERS = 50_000
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """A saved list of files with a task for each; a number given to ``repartition`` is not merged afterwards."""
+    return files.repartition(max(1, min(files.count(), MOST_READERS)))
+
+
 def map_file(uri: str, name: str) -> np.ndarray:
     """A file's bytes, mapped into memory where its folder is a mounted one."""
     files, folder = open_folder(uri)

@@ -17,12 +17,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from homespell.llm import store
 from homespell.llm.text import map_partitions
 from homespell.llm.token_cache import encoder
+from homespell.operators.scale import Carried, order_groups
 
 #: Fixed values of the format: the CRC-32C polynomial (reflected) and the mask of checksums.
 POLYNOMIAL, MASK = 0x82F63B78, 0xA282EAD8
@@ -165,7 +166,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
 
 def read(files: DataFrame, folder: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of each record of the listed files, through their indexes."""
-    listed = files.withColumn("before", F.sum("n_tokens").over(Window.orderBy("range", "part")) - F.col("n_tokens"))
+    ordered = order_groups(files, (), ["range", "part"]).carry(before=Carried("n_tokens", over="before")).result()
+    listed = ordered.withColumn("before", F.coalesce("before", F.lit(0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         access, plain = store.open_folder(folder)
@@ -190,7 +192,7 @@ def read(files: DataFrame, folder: str) -> DataFrame:
                              pa.array([zlib.crc32(ids.tobytes()) for _, ids in rows], pa.int64())],
                             names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return map_partitions(listed.repartition("file").select("file", "records", "before"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_partitions(store.spread(listed.select("file", "records", "before")), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_shuffled(access, plain: str, file: str, order: np.ndarray) -> Iterator[tuple[int | None, np.ndarray]]:

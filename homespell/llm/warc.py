@@ -217,8 +217,7 @@ def read(files: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    spread = files.repartition(F.col("file"))
-    return map_partitions(spread, run, ", ".join(f"{n} {'string' if n in ('payload_digest', 'record_type') else 'long'}" for n in names))
+    return map_partitions(store.spread(files), run, ", ".join(f"{n} {'string' if n in ('payload_digest', 'record_type') else 'long'}" for n in names))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

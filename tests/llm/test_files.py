@@ -54,6 +54,20 @@ def test_records_round_trip(docs, empty_docs):
     assert token_records.round_trip(empty_docs, PATH).count() == 0
 
 
+def test_files_are_read_in_parallel(spark, docs, monkeypatch):
+    """As many tasks as files, and no window over all of them."""
+    monkeypatch.setattr(token_records, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    folder = store.fresh_path(spark, "records")
+    files = token_records.write(docs, folder, PATH)
+    read = token_records.read(files, folder)
+    assert files.count() > 4 and read.rdd.getNumPartitions() == files.count()
+    pages = docs.selectExpr("doc_id as page_id", "'u' as url", "text as html", "1 as digest", "2 as salt", "3 as payload")
+    archives = warc.write(pages, folder + "-pages")
+    assert archives.count() > 2 and warc.read(archives, folder + "-pages").rdd.getNumPartitions() == archives.count()
+    assert warc.round_trip(pages).count() == docs.count()
+
+
 def test_shuffled_reads(spark, docs, monkeypatch):
     folder = store.fresh_path(spark, "records")
     files = token_records.write(docs, folder, PATH).orderBy("range", "part").collect()
