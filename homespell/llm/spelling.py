@@ -25,6 +25,7 @@ from collections import Counter
 from collections.abc import Iterator
 from os.path import commonprefix
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -40,6 +41,8 @@ SLIP = 31
 FORM_RATIO = 10
 #: Depth from which nodes without a branch are left out, so that very long words take no level a letter.
 DEEP = 32
+#: 64-bit columns of an edge that hold bits for what the words beyond end in; a power of two.
+PARTS = 4
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 300_000
 _RUN = re.compile(f"[a-zÀ-ÿ]{{{LEAST_CHARS},}}")
@@ -120,7 +123,7 @@ class _Edges:
                 if own is None:
                     own = self.shallow[depth] = [_hash(word[:depth + 1].encode()), word[depth + 1], _hash(word[:depth + 2].encode()), depth + 1, 0, 0, end]
                 own[4] += 1
-                own[5] |= 1 << (end & 63)
+                own[5] |= 1 << (end & (64 * PARTS - 1))
                 own[6] = end
 
     def close(self, word: str, shared: int) -> None:
@@ -153,19 +156,20 @@ class _Edges:
         """The edge that leaves the node of the word's first ``letters``; the next node has ``least``."""
         node = _hash(word[:letters].encode())
         if words > 1:
-            self.rows.append((letters - 1, node, word[letters], _hash(word[:least].encode()), least - 1, words, -1, 0))
+            self.rows.append((letters - 1, node, word[letters], _hash(word[:least].encode()), least - 1, words, 2**(64 * PARTS) - 1, 0))
         else:
             self.rows.append((letters - 1, node, word[letters:letters + 1], 0, 0, 1, 0, _hash(word[letters + 1:].encode())))
 
     def batch(self) -> pa.RecordBatch:
-        columns = [list(x) for x in zip(*self.rows)]
-        columns[6] = [x - 2**64 if x >= 2**63 else x for x in columns[6]]
+        *columns, bits, end = [list(x) for x in zip(*self.rows)]
         self.rows.clear()
-        types = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names=_EDGE)
+        types = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64()]
+        parts = [np.array([x >> 64 * k & 2**64 - 1 for x in bits], np.uint64).view(np.int64) for k in range(PARTS)]
+        return pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(columns, types)), *map(pa.array, parts), pa.array(end, pa.int64())],
+                                          names=["depth", "node", "letter", "child", "next", "words", *_ENDS, "end"])
 
 
-_EDGE = ["depth", "node", "letter", "child", "next", "words", "ends", "end"]
+_ENDS = [f"ends_{k}" for k in range(PARTS)]
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,44 +195,49 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def trie_edges(words: DataFrame) -> DataFrame:
-    """``depth, node, letter, child, next, words, ends, end`` of both tries: the child's depth is ``next``, and ``words`` counts
+    """``depth, node, letter, child, next, words, ends_k, end`` of both tries: the child's depth is ``next``, and ``words`` counts
     the words beyond. Words that share ``DEEP`` letters come to one task, which sees all nodes below these."""
     both = words.select(F.concat(F.lit("f"), "word").alias("text")).unionByName(words.select(F.concat(F.lit("r"), F.reverse("word")).alias("text")))
     made = map_partitions(both.repartitionByRange(F.substring("text", 1, DEEP)).sortWithinPartitions("text"), _edges,
-                          "depth int, node long, letter string, child long, next int, words long, ends long, end long")
-    merged = made.groupBy("depth", "node", "letter", "child", "next").agg(F.sum("words").alias("words"), F.bit_or("ends").alias("ends"), F.max("end").alias("end"))
+                          f"depth int, node long, letter string, child long, next int, words long, {', '.join(f'{name} long' for name in _ENDS)}, end long")
+    merged = made.groupBy("depth", "node", "letter", "child", "next").agg(
+        F.sum("words").alias("words"), *[F.bit_or(name).alias(name) for name in _ENDS], F.max("end").alias("end"))
     # One level is read at a time.
     return store.save(merged.sortWithinPartitions("depth"), "trie-edges")
 
 
 def _started(words: DataFrame, depth: int) -> DataFrame:
     """States of the words whose search starts at ``depth``: at half of their letters, or above the deep edges."""
+    near = words.where(F.col("chars") >= 2 * depth - 1)
+    if depth < DEEP - 1:
+        near = near.where(F.col("chars") <= 2 * depth + 1)
 
     def of(side: str, half: str, word: Column) -> DataFrame:
-        rows = words.where(F.least(F.expr(half), F.lit(DEEP - 1)) == depth)
+        rows = near.where(F.least(F.expr(half), F.lit(DEEP - 1)) == depth)
         return rows.select(F.lit(side).alias("side"), word.alias("word"), word.alias("target"), F.lit(depth).alias("position"),
                            F.xxhash64(F.concat(F.lit(side), F.substring(word, 1, depth))).alias("node"), F.lit(0).alias("edits"))
 
-    rows = words.where(F.col("chars") >= 2 * depth - 1)
-    if depth < DEEP - 1:
-        rows = rows.where(F.col("chars") <= 2 * depth + 1)
-    words = rows
     return of("f", "chars div 2", F.col("word")).unionByName(of("r", "chars - chars div 2", F.reverse("word")))
 
 
 def _advanced(states: DataFrame, edges: DataFrame) -> DataFrame:
     """States one edge on; those with ``found`` have reached a word one edit away."""
-    met = states.join(edges.drop("depth"), "node").withColumn("own", F.expr("substr(target, position + 1, 1)"))
+    # What a step leaves to find is hashed once a state and not once an edge; with the edit spent, the target only goes on.
+    rest = lambda skipped: F.expr(f"xxhash64(substr(target, position + {1 + skipped}))")
+    fresh = F.col("edits") == 0
+    here = states.withColumns({"own": F.expr("substr(target, position + 1, 1)"), "rest_0": F.when(fresh, rest(0)), "rest_1": rest(1), "rest_2": F.when(fresh, rest(2))})
+    met = here.join(edges.drop("depth"), "node").where("edits = 0 or letter = own")
 
     def step(name: str, condition: Column, skipped: int | None = None) -> Column:
         """``skipped``: letters of the target that the step passes; what is left must lie beyond the edge."""
         if skipped is not None:
-            rest = f"xxhash64(substr(target, position + {1 + skipped}))"
-            several = F.expr(f"(shiftrightunsigned(ends, cast({rest} & 63 as int)) & 1) = 1")
-            condition = condition & F.when(F.col("words") == 1, F.col("end") == F.expr(rest)).otherwise(several)
+            left_over = f"rest_{skipped}"
+            part = "case " + " ".join(f"when (({left_over} >> 6) & {PARTS - 1}) = {k} then {own}" for k, own in enumerate(_ENDS)) + " end"
+            several = F.expr(f"(shiftrightunsigned({part}, cast(({left_over} & 63) as int)) & 1) = 1")
+            condition = condition & F.when(F.col("words") == 1, F.col("end") == F.col(left_over)).otherwise(several)
         return F.when(condition, F.lit(name))
 
-    fresh, letter, goes_on = F.col("edits") == 0, F.col("letter"), F.col("letter") != ""
+    letter, goes_on = F.col("letter"), F.col("letter") != ""
     same, left = letter == F.col("own"), F.length("target") - F.col("position")
     following = F.expr("substr(target, position + 2, 1)")
     steps = F.array_compact(F.array(
@@ -241,9 +250,9 @@ def _advanced(states: DataFrame, edges: DataFrame) -> DataFrame:
         step("shorten", fresh & ~goes_on & (left == 1))))
     taken = met.withColumn("step", F.explode(steps))
     head, name = F.expr("substr(target, 1, position)"), F.col("step")
-    rest = lambda skipped: F.expr(f"substr(target, position + {1 + skipped})")
-    target = (F.when(name == "replace", F.concat(head, "letter", rest(1))).when(name == "insert", F.concat(head, "letter", rest(0)))
-              .when(name == "delete", F.concat(head, rest(1))).when(name == "shorten", head).otherwise(F.col("target")))
+    ending = lambda skipped: F.expr(f"substr(target, position + {1 + skipped})")
+    target = (F.when(name == "replace", F.concat(head, "letter", ending(1))).when(name == "insert", F.concat(head, "letter", ending(0)))
+              .when(name == "delete", F.concat(head, ending(1))).when(name == "shorten", head).otherwise(F.col("target")))
     found = name.isin("end", "shorten") | ((name != "match") & (F.col("words") == 1))
     gone = taken.select("side", "word", target.alias("target"), F.col("next").alias("position"), F.col("child").alias("node"),
                         F.when(name == "match", 0).otherwise(1).alias("edits"), found.alias("found"), (F.col("next") > F.col("position") + 1).alias("_far"))

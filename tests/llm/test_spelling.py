@@ -2,7 +2,6 @@ import random
 import zlib
 from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
 from homespell.llm import queries, spelling, store
@@ -54,39 +53,26 @@ def stored(spark, words):
     return store.save(df.select("word", "n", F.length("word").alias("chars")), "words")
 
 
-@pytest.mark.parametrize("letters, size, parts", [("ab", 13, 1), ("abcdé", 9, 5)])
-def test_neighbours_of_dense_words(spark, letters, size, parts):
-    r = random.Random(size)
-    words = {"".join(r.choices(letters, k=r.randint(7, size))): r.randint(2, 400) for _ in range(250)}
-    for word in list(words)[:60]:
+def test_neighbours(spark):
+    """Dense words, words whose beginnings and ends agree, and long words that part late or not at all."""
+    r = random.Random(2)
+    words = {"".join(r.choices(letters, k=r.randint(7, size))): r.randint(2, 400) for letters, size in [("ab", 13), ("abcdé", 9), ("ÿa", 14)] for _ in range(150)}
+    for word in list(words)[::7]:
         at = r.randrange(len(word))
-        for other in (word[:at] + word[at + 1:], word[:at] + r.choice(letters) + word[at:], word[:at] + r.choice(letters) + word[at + 1:]):
+        for other in (word[:at] + word[at + 1:], word[:at] + r.choice("abé") + word[at:], word[:at] + r.choice("ab") + word[at + 1:]):
             if len(other) >= 7:
                 words.setdefault(other, r.randint(2, 50))
-    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    long = "variant" * 30
+    words |= dict.fromkeys(["aaaaaaa", "aaaaaaaa", "aaaaaaaaa", "baaaaaaa", "aaaaaaab", "abaaaaaa", long, long[1:], long[:-1], long[:100] + long[101:], long[:100] + "x" + long[101:]], 2)
+    made = ["".join(r.choices("ab", k=r.randint(1, 6))) for _ in range(25)]
+    words |= dict.fromkeys([own for x in made for y in made[:4] for own in ("k" * 33 + x + "m" * 20 + y, "n" * 70 + x, x + "o" * 40, x + "p" * 31)], 3)
     rows = spelling.neighbours(stored(spark, words)).collect()
-    spark.conf.set("spark.sql.shuffle.partitions", 8)
     found = [(r.word, r.near) for r in rows]
     assert len(found) == len(set(found))
     assert set(found) == {(a, b) for a in words for b in words if one_edit(a, b)}
     assert all(r.near_n == words[r.near] for r in rows)
 
 
-def test_words_whose_beginnings_and_ends_agree(spark):
-    long = "variant" * 30
-    words = {w: 2 for w in ("aaaaaaa", "aaaaaaaa", "aaaaaaaaa", "baaaaaaa", "aaaaaaab", "abaaaaaa", long, long[1:], long[:-1], long[:100] + long[101:], long[:100] + "x" + long[101:])}
-    found = {(r.word, r.near) for r in spelling.neighbours(stored(spark, words)).collect()}
-    assert found == {(a, b) for a in words for b in words if one_edit(a, b)}
-
-
-def test_long_words_that_part_late(spark):
-    r = random.Random(2)
-    made = ["".join(r.choices("ab", k=r.randint(1, 6))) for _ in range(40)]
-    words = {side: 2 for x in made for y in made[:4] for side in ("k" * 33 + x + "m" * 20 + y, "n" * 70 + x, x + "o" * 40, x + "p" * 31)}
-    found = {(r.word, r.near) for r in spelling.neighbours(stored(spark, words)).collect()}
-    assert found == {(a, b) for a in words for b in words if one_edit(a, b)}
-
-
 def test_op12_spelling_variants_against_plain_version(spark):
     r = random.Random(9)
     base = ["variant", "spelling", "neighbour", "frontier", "Éclairée", "terminals", "automaton"]
