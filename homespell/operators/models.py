@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
@@ -17,7 +19,7 @@ from homespell.functions import contracts as C
 from homespell.functions import pricing as P
 from homespell.operators import conformal, metrics, panels, splits, survival
 from homespell.operators.scale import exact_percentiles, stacked
-from homespell.session import materialize, scratch_path, shared_dir
+from homespell.session import materialize, scratch_path, shared_dir, ship
 
 MISSING = "__missing__"
 
@@ -74,31 +76,39 @@ class Features:
         return out.drop(*drop)
 
 
-def fit_features(df: DataFrame, spec: FeatureSpec, out: str = "features") -> Features:
-    """Median and population scaling for numerics, most frequent value and indicators for the rest.
+def fit_statistics(df: DataFrame, spec: FeatureSpec, count: str | None = None) -> Features:
+    """Median and population scaling for numerics, most frequent and frequent values for the rest, without an encoder.
 
-    Statistics are combined aggregates; only one row per feature and the category vocabulary
-    reach the driver.
+    Statistics are combined aggregates; only one row per feature reaches the driver. ``count``: column that says how many
+    rows a row stands for.
     """
-    medians, centers, modes, frequent, vocabulary = {}, {}, {}, {}, {}
-    numeric = df.select(*[F.col(c).cast("double").alias(c) for c in spec.numeric])
+    many = F.lit(1) if count is None else F.col(count)
+    medians, centers, modes, frequent = {}, {}, {}, {}
+    numeric = df.select(*[F.col(c).cast("double").alias(c) for c in spec.numeric], many.alias("_many"))
     if spec.numeric:
-        middle = exact_percentiles(stacked(numeric, [], {c: c for c in spec.numeric}), ["measure"], "value", {"m": 0.5})
+        values = stacked(numeric, [], {c: c for c in spec.numeric}, "_many")
+        middle = exact_percentiles(values, ["measure"], "value", {"m": 0.5}, "_many")
         medians = {c: 0.0 for c in spec.numeric} | {r["measure"]: r["m"] for r in middle.collect()}
     if spec.numeric and spec.scale:
         filled = numeric.fillna(medians)
-        stats = filled.agg(*[F.avg(c).alias(f"a_{c}") for c in spec.numeric],
-                           *[F.stddev_pop(c).alias(f"s_{c}") for c in spec.numeric]).first()
-        centers = {c: (stats[f"a_{c}"], stats[f"s_{c}"] or 1.0) for c in spec.numeric}
+        mean = filled.agg(*[(F.sum(F.col(c) * F.col("_many")) / F.sum("_many")).alias(c) for c in spec.numeric]).first()
+        spread = filled.agg(*[F.sqrt(F.sum((F.col(c) - mean[c]) ** 2 * F.col("_many")) / F.sum("_many")).alias(c) for c in spec.numeric]).first()
+        centers = {c: (mean[c], spread[c] or 1.0) for c in spec.numeric}
     else:
         centers = {c: (0.0, 1.0) for c in spec.numeric}
     for name in spec.categorical:
-        counts = df.filter(F.col(name).isNotNull()).groupBy(F.col(name).cast("string").alias("v")).count()
+        counts = df.filter(F.col(name).isNotNull()).groupBy(F.col(name).cast("string").alias("v")).agg(F.sum(many).alias("count"))
         top = counts.orderBy(F.col("count").desc(), "v").first()
         modes[name] = top["v"] if top else MISSING
         if spec.minimum_count > 1:
             frequent[name] = materialize(counts.filter(F.col("count") >= spec.minimum_count).select("v"))
-    draft = Features(spec, medians, centers, modes, frequent, None, ())
+    return Features(spec, medians, centers, modes, frequent, None, ())
+
+
+def fit_features(df: DataFrame, spec: FeatureSpec, out: str = "features") -> Features:
+    """``fit_statistics`` with one-hot indicators; the category vocabulary reaches the driver."""
+    draft = fit_statistics(df, spec)
+    medians, centers, modes, frequent, vocabulary = draft.medians, draft.centers, draft.modes, draft.frequent, {}
     prepared = draft._prepared(df)
     stages, parts, names = [], [f"_n_{c}" for c in spec.numeric], list(spec.numeric)
     for name in spec.categorical:
@@ -182,32 +192,162 @@ def fit_acceptance(offers: DataFrame, spec: FeatureSpec, label: str = "accepted"
     return fit_logit(offers, label, spec, regularization)
 
 
-def _with_period(df: DataFrame) -> DataFrame:
-    return df.withColumn("period_label", F.format_string("period_%03d", "period"))
+@dataclass(frozen=True)
+class HazardModel(LogitModel):
+    """Discrete-time hazard: a logit that is linear in the covariates, with an effect per period."""
+
+    def transform(self, df: DataFrame, out: str = "hazard") -> DataFrame:
+        """Hazard of rows with a ``period``; unseen periods and categories have no effect."""
+        effect = dict(zip(self.features.names, self.coefficients, strict=True))
+        score = F.lit(self.intercept)
+        for name in self.features.spec.numeric:
+            score = score + effect[name] * F.col(f"_n_{name}")
+        for name in (*self.features.spec.categorical, "period"):
+            levels = {level: effect.get(self._named(name, level)) for level in self.features.vocabulary[name]}
+            known = [F.lit(x) for level, value in levels.items() if value for x in (level, value)]
+            if known:
+                own = F.col("period").cast("int") if name == "period" else F.col(f"_c_{name}")
+                score = score + F.coalesce(F.try_element_at(F.create_map(*known), own), F.lit(0.0))
+        prepared = self.features._prepared(df).withColumn(out, 1 / (1 + F.exp(-score)))
+        return prepared.drop(*[c for c in prepared.columns if c.startswith(("_n_", "_c_"))])
+
+    @staticmethod
+    def _named(name: str, level) -> str:
+        return f"period_label_period_{level:03d}" if name == "period" else f"{name}_{level}"
+
+
+def spell_cells(df: DataFrame, spec: FeatureSpec, max_periods: int, duration: str, event: str) -> DataFrame:
+    """Spells of equal covariates, last period at risk and outcome as one row with their number ``spells``.
+
+    Durations above ``max_periods`` end there without an event; ``rows`` is the number of unit-periods.
+    """
+    if max_periods < 1:
+        raise ValueError("max_periods must be positive")
+    length = F.col(duration).cast("int")
+    last, seen = F.least(length, F.lit(max_periods)), F.col(event).cast("boolean") & (length <= max_periods)
+    cells = (df.filter(length >= 1).groupBy(*spec.numeric, *spec.categorical, last.alias("last"), F.coalesce(seen, F.lit(False)).alias("exit"))
+             .agg(F.count(F.lit(1)).alias("spells")))
+    return materialize(cells.withColumn("rows", F.col("spells") * F.col("last")))
+
+
+def _newton_terms(cells: DataFrame, columns: Sequence[str], levels: dict[str, dict[str, int]], size: int,
+                  periods: int, point: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss, gradient and Hessian of the unpenalized hazard logit, summed over the cells where they lie.
+
+    ``point`` holds intercept, covariate effects and period effects. A cell's periods are looked at in place, so no unit
+    becomes several rows; (1 + effects)^2 sums leave a task.
+    """
+    width = 1 + size + periods
+
+    def run(batches):
+        sums = np.zeros(1 + width + width * width)
+        gradient, hessian = sums[1:1 + width], sums[1 + width:].reshape(width, width)
+        for batch in batches:
+            last = batch.column("last").to_numpy()
+            # Cells at risk in a period come first.
+            order = np.argsort(-last, kind="stable")
+            last, exits = last[order], batch.column("exit").to_numpy(zero_copy_only=False)[order]
+            many = batch.column("spells").to_numpy()[order].astype(float)
+            x = np.zeros((len(last), 1 + size))
+            x[:, 0] = 1
+            for at, name in enumerate(columns):
+                x[:, 1 + at] = batch.column(name).to_numpy(zero_copy_only=False)[order]
+            for name, codes in levels.items():
+                code = np.array([codes.get(v, 0) for v in batch.column(name).to_pylist()], np.int64)[order]
+                rows = np.flatnonzero(code)
+                x[rows, code[rows]] = 1
+            base, rest, weight = x @ point[:1 + size], np.zeros(len(last)), np.zeros(len(last))
+            for period in range(1, int(last.max(initial=0)) + 1):
+                live = int(np.searchsorted(-last, -period, side="right"))
+                score = base[:live] + point[size + period]
+                chance = 1 / (1 + np.exp(-score))
+                expected, curve = many[:live] * chance, many[:live] * chance * (1 - chance)
+                ended = exits[:live] & (last[:live] == period)
+                sums[0] += (many[:live] * np.logaddexp(0, score)).sum() - (many[:live] * score)[ended].sum()
+                expected[ended] -= many[:live][ended]
+                rest[:live] += expected
+                weight[:live] += curve
+                gradient[size + period] += expected.sum()
+                hessian[size + period, size + period] += curve.sum()
+                hessian[size + period, :1 + size] += curve @ x[:live]
+            gradient[:1 + size] += rest @ x
+            hessian[:1 + size, :1 + size] += (x.T * weight) @ x
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at])], names=["at", "value"])
+
+    ship(cells.sparkSession)
+    found = cells.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+    total = np.zeros(1 + width + width * width)
+    for row in found:
+        total[row["at"]] = row["value"]
+    hessian = total[1 + width:].reshape(width, width)
+    hessian[:1 + size, 1 + size:] = hessian[1 + size:, :1 + size].T
+    return total[0], total[1:1 + width], hessian
 
 
 def fit_hazard(df: DataFrame, spec: FeatureSpec, max_periods: int, duration: str, event: str,
-               regularization: float = 1.0) -> LogitModel:
-    """Discrete-time hazard logit with an indicator per period."""
-    rows = _with_period(survival.person_period(df, duration, event, max_periods))
-    full = FeatureSpec(spec.numeric, (*spec.categorical, "period_label"), spec.drop_first,
-                       spec.scale, spec.minimum_count)
-    return fit_logit(rows, "event", full, regularization, C.EXIT_OUTCOMES)
+               regularization: float = 1.0) -> HazardModel:
+    """Discrete-time hazard logit with an indicator per period, by Newton steps over ``spell_cells``.
+
+    Each step is one pass that sums gradient and Hessian; the ridge penalty leaves out the intercept. All
+    covariates' categories and periods are columns of the Hessian, so their number must suit a dense matrix.
+    """
+    if regularization <= 0:
+        raise ValueError("regularization must be positive")
+    C.guard_features((*spec.numeric, *spec.categorical), C.EXIT_OUTCOMES)
+    cells = spell_cells(df, spec, max_periods, duration, event)
+    size = cells.agg(F.sum("rows").alias("n"), F.sum(F.when(F.col("exit"), F.col("spells"))).alias("ones"), F.max("last").alias("last")).first()
+    if not size["n"] or not 0 < (size["ones"] or 0) < size["n"]:
+        raise ValueError("the outcome must contain both classes")
+    draft = fit_statistics(cells, spec, "rows")
+    prepared = materialize(draft._prepared(cells).select(*[f"_n_{c}" for c in spec.numeric], *[f"_c_{c}" for c in spec.categorical], "last", "exit", "spells"))
+    vocabulary, names, levels = {}, list(spec.numeric), {}
+    for name in spec.categorical:
+        labels = sorted(r[0] for r in prepared.select(f"_c_{name}").distinct().collect())
+        vocabulary[name] = tuple(labels)
+        kept = labels[1:] if spec.drop_first else labels
+        levels[f"_c_{name}"] = {label: 1 + len(names) + at for at, label in enumerate(kept)}
+        names += [f"{name}_{label}" for label in kept]
+    periods, width = size["last"], len(names)
+    vocabulary["period"] = tuple(range(1, periods + 1))
+    ridge = np.full(1 + width + periods, float(regularization))
+    ridge[0] = 0.0
+    free = np.ones(1 + width + periods, bool)
+    if spec.drop_first:
+        free[1 + width] = False
+
+    point, step, best = np.zeros(1 + width + periods), np.zeros(1 + width + periods), np.inf
+    for _ in range(100):
+        loss, gradient, hessian = _newton_terms(prepared, [f"_n_{c}" for c in spec.numeric], levels, width, periods, point + step)
+        loss += 0.5 * ridge @ (point + step) ** 2
+        if loss > best + 1e-9 * abs(best):
+            step /= 2
+            continue
+        point, best = point + step, loss
+        gradient, hessian = gradient + ridge * point, hessian + np.diag(ridge)
+        step = np.zeros_like(point)
+        step[free] = -np.linalg.solve(hessian[np.ix_(free, free)], gradient[free])
+        if np.abs(step).max() < 1e-9:
+            break
+    names += [HazardModel._named("period", k) for k in vocabulary["period"]]
+    kept = [at for at in range(len(names)) if free[1 + at]]
+    features = replace(draft, names=tuple(names[at] for at in kept), vocabulary=vocabulary)
+    return HazardModel(features, tuple(float(point[1 + at]) for at in kept), float(point[0]), None)
 
 
 def fit_operator_hazard(df: DataFrame, spec: FeatureSpec, max_weeks: int = 156,
-                        regularization: float = 1.0) -> LogitModel:
+                        regularization: float = 1.0) -> HazardModel:
     """Hazard logit with operator indicators, each categorical against its first level."""
     full = FeatureSpec(spec.numeric, (*spec.categorical, "operator"), True)
     return fit_hazard(df, full, max_weeks, "duration_weeks", "event_observed", regularization)
 
 
-def score_hazard(model: LogitModel, rows: DataFrame) -> DataFrame:
+def score_hazard(model: HazardModel, rows: DataFrame) -> DataFrame:
     """Hazard of rows that already have a ``period``."""
-    return model.transform(_with_period(rows), "hazard").drop("period_label")
+    return model.transform(rows, "hazard")
 
 
-def score_states(model: LogitModel, lattice: DataFrame, homes: DataFrame, lead: str,
+def score_states(model: HazardModel, lattice: DataFrame, homes: DataFrame, lead: str,
                  reference: str = "prelisting_reference", feature: str = "list_price_premium",
                  support=P.LIST_PREMIUM_SUPPORT) -> DataFrame:
     """Hazard of every (lead, week, price) state of a lattice, in one pass."""
@@ -217,7 +357,7 @@ def score_states(model: LogitModel, lattice: DataFrame, homes: DataFrame, lead:
     return score_hazard(model, states)
 
 
-def hazard_terms(model: LogitModel, homes: DataFrame, weeks: int, *groups: str,
+def hazard_terms(model: HazardModel, homes: DataFrame, weeks: int, *groups: str,
                  feature: str = "list_price_premium") -> DataFrame:
     """Terms of a fitted hazard that is linear in the premium: ``hazard_score`` (log odds of week one at
     premium zero), ``premium_effect`` per unit and ``week_effects`` against week one, joined by ``groups``."""

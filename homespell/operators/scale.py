@@ -142,10 +142,15 @@ def exact_percentiles(
     keys: Sequence[str],
     value: str,
     fractions: Mapping[str, float],
+    count: str | None = None,
 ) -> DataFrame:
-    """Interpolated percentiles per key; nulls are ignored, keys without values are absent."""
-    present = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_value"))
-    counts = present.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n"))
+    """Interpolated percentiles per key; nulls are ignored, keys without values are absent.
+
+    ``count``: column that says how many rows a row stands for.
+    """
+    many = F.lit(1) if count is None else F.col(count)
+    present = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_value"), many.cast("bigint").alias("_n"))
+    counts = present.groupBy(*keys, "_value").agg(F.sum("_n").alias("_n"))
     ranked = (
         order_groups(counts, keys, ["_value"])
         .carry(_upto=Carried("_n"), _total=Carried("_n", over="all"))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from homespell.operators import models as M
+from homespell.operators import survival
 
 
 def _newton(x, y, penalty):
@@ -56,6 +57,37 @@ def test_operator_reference_level_is_dropped(spark):
     assert effects[0].hazard_odds_ratio == 1.0
 
 
+@pytest.mark.parametrize("drop_first", [False, True])
+def test_hazard_on_cells_is_the_logit_of_unit_periods(spark, drop_first):
+    """Grouped Newton steps against plain ones over expanded rows; missing values and long spells included."""
+    rng = np.random.default_rng(6)
+    data = [(i, [None, "b", "a", "c"][rng.integers(0, 4)], None if i % 17 == 0 else float(rng.integers(0, 5)) / 4, int(rng.integers(0, 15)), bool(rng.random() < .7))
+            for i in range(900)]
+    spells = spark.createDataFrame(data, "unit int, grp string, x double, weeks int, exit boolean")
+    model = M.fit_hazard(spells, M.FeatureSpec(("x",), ("grp",), drop_first), 9, "weeks", "exit", 1.5)
+    rows = survival.person_period(spells, "weeks", "exit", 9).toPandas()
+    x = rows.x.fillna(rows.x.median()).to_numpy()
+    mode = rows.grp.value_counts().sort_index().idxmax()
+    grp = rows.grp.fillna(mode)
+    columns = [(x - x.mean()) / x.std()] + [(grp == g) * 1.0 for g in "abc"[drop_first:]] + [(rows.period == t) * 1.0 for t in range(1 + drop_first, 10)]
+    expected = _newton(np.column_stack(columns), rows.event.to_numpy(), 1.5)
+    assert (model.intercept, *model.coefficients) == pytest.approx(tuple(expected), abs=1e-6)
+    scored = M.score_hazard(model, survival.person_period(spells, "weeks", "exit", 9)).toPandas().sort_values(["unit", "period"])
+    z = np.column_stack([np.ones(len(x)), *columns]) @ expected
+    plain = rows.assign(p=1 / (1 + np.exp(-z))).sort_values(["unit", "period"])
+    assert scored.hazard.to_numpy() == pytest.approx(plain.p.to_numpy(), abs=1e-7)
+
+
+def test_hazard_expands_no_unit(spark, monkeypatch):
+    spells = spark.range(2_000).select((F.col("id") % 3).cast("string").alias("grp"), (F.col("id") % 150 + 1).cast("int").alias("weeks"),
+                                       (F.col("id") % 2 == 0).alias("exit"), F.lit(1.0).alias("x"))
+    cells = M.spell_cells(spells, M.FeatureSpec(("x",), ("grp",)), 156, "weeks", "exit")
+    assert cells.count() <= 300 and cells.agg(F.sum("rows")).first()[0] == spells.agg(F.sum("weeks")).first()[0]
+    monkeypatch.setattr(F, "explode", None)
+    model = M.fit_hazard(spells, M.FeatureSpec(("x",), ("grp",)), 156, "weeks", "exit")
+    assert len(model.coefficients) == 1 + 3 + 150
+
+
 def test_linear_conformal_covers(spark):
     homes = spark.range(500).select(
         "id", (F.col("id") % 37 / 10).alias("x"),
