@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from homespell.functions import contracts as C
 from homespell.functions import pricing as P
 from homespell.functions.pricing import ACTIONS
+from homespell.operators.metrics import zscores
 
 ATOMS = "array<struct<profit:double,p:double>>"
 TIE = 1e-9
@@ -469,3 +470,17 @@ def consequential_interval(lower: Column, prediction: Column, reference: Column)
     """Whether the lower stress point binds initial proceeds while the prediction does not."""
     cap = 0.995 * (1.04 * reference)
     return (lower < cap) & (cap < prediction)
+
+
+def sparse_support_score(homes: DataFrame, training: DataFrame, *, submarket: str = "submarket", size: str = "square_feet") -> DataFrame:
+    """Adds ``sparse_score``: high for homes of few training rows in their submarket, of unusual size and with a wide interval.
+
+    -ln(1 + training rows) + 0.35 |z(ln size)| + 0.5 z(interval width as a share of the prediction). ``homes`` carry
+    lower, prediction and upper. Equal widths that differ in their last bits have z zero.
+    """
+    support = training.groupBy(F.col(submarket).alias("_where")).agg(F.count(F.lit(1)).alias("_support"))
+    rated = homes.join(support, F.col(submarket) == F.col("_where"), "left").withColumns({
+        "_size": F.ln(size), "_width": F.round((F.col("upper") - F.col("lower")) / F.col("prediction"), 9)})
+    score = -F.log1p(F.coalesce("_support", F.lit(0))) + 0.35 * F.abs("_size_z") + 0.5 * F.col("_width_z")
+    return zscores(rated, ["_size", "_width"]).withColumn("sparse_score", score).drop(
+        "_where", "_support", "_size", "_width", "_size_z", "_width_z")

@@ -164,7 +164,7 @@ def grouped_fraction(group: Column | str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / float(1 << 32)
 
 
-def grouped_split(df: DataFrame, group: str, fraction: float, seed: int = 0) -> DataFrame:
+def grouped_split(df: DataFrame, group: Column | str, fraction: float, seed: int = 0) -> DataFrame:
     """Random calibration flag by group, so that no group crosses."""
     return df.withColumn("is_calibration", grouped_fraction(group, seed) < fraction)
 

@@ -300,19 +300,55 @@ def _(spark, sf):
     return D.request_gate(_requests(spark, sf), _optimized).withColumn("policy", F.to_json("policy"))
 
 
+#: Leads with their nation as the submarket, a floor area and a reference below or above their value; orders are the sales of the
+#: training market, at a price around the lead's value.
+_FITTED_HOMES = f"""{B.LEADS}, homes AS (SELECT property_id, value, balance, c_nationkey AS submarket,
+ CAST(900 + property_id * 37 % 2401 AS DOUBLE) AS square_feet, value * (CAST(0.9 AS DOUBLE) + property_id % 29 / 100::DOUBLE) AS reference
+ FROM leads JOIN customer ON c_custkey = property_id),
+sales AS (SELECT o_orderkey AS sale_id, submarket, ln(value) AS x, ln(value * (CAST(0.85 AS DOUBLE) + o_orderkey % 41 / 100::DOUBLE)) AS y,
+ CAST('0x' || substr(md5('0:' || o_orderkey), 1, 8) AS BIGINT) / 4294967296::DOUBLE < 0.2::DOUBLE AS held FROM orders JOIN homes ON o_custkey = property_id),
+line AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM sales WHERE NOT held),
+ranked AS (SELECT abs(y - a - b * x) AS r, row_number() OVER (ORDER BY abs(y - a - b * x)) AS rk, count(*) OVER () AS n FROM sales, line WHERE held),
+radius AS (SELECT min(r) FILTER (rk = least(n, ceil((n + 1) * 0.9::DOUBLE) + 1)) AS w FROM ranked),
+fitted AS (SELECT homes.*, exp(a + b * ln(value)) AS prediction, exp(a + b * ln(value) - w) AS lower, exp(a + b * ln(value) + w) AS upper FROM homes, line, radius),
+support AS (SELECT submarket, count(*) AS n FROM sales WHERE NOT held GROUP BY 1)"""
+
+
+def _fitted_homes(spark, sf):
+    """Leads with their fitted intervals, and the training sales."""
+    leads, customer = B.leads(spark, sf), B.read(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("submarket"))
+    key = F.col("property_id")
+    homes = leads.join(customer, F.col("c_custkey") == key).drop("c_custkey").withColumns({
+        "square_feet": (900 + key * 37 % 2401).cast("double"), "reference": F.col("value") * (0.9 + key % 29 / 100), "log_value": F.ln("value")})
+    orders = B.read(spark, sf, "orders").select(F.col("o_orderkey").alias("sale_id"), "o_custkey")
+    sales = orders.join(homes, F.col("o_custkey") == key).select(
+        "sale_id", "submarket", "log_value", (F.col("value") * (0.85 + F.col("sale_id") % 41 / 100)).alias("price"))
+    model = M.fit_linear_conformal(sales, "price", M.FeatureSpec(("log_value",)), row_key="sale_id")
+    training = M.splits.grouped_split(sales, F.col("sale_id").cast("string"), 0.2, 0).filter("NOT is_calibration")
+    return model.transform(homes), training
+
+
 @query("g2_profile_argmax", "profile s, property_id i",
-       f"""WITH {B.LEADS}, z AS (SELECT property_id, (balance - avg(balance) OVER ()) / stddev_pop(balance) OVER () AS bz,
-       (value - avg(value) OVER ()) / stddev_pop(value) OVER () AS vz, property_id % 4 AS k FROM leads),
-       a AS (SELECT property_id FROM z ORDER BY bz - 0.25 * vz DESC, property_id LIMIT 1),
-       b AS (SELECT property_id FROM z WHERE property_id NOT IN (FROM a) ORDER BY -bz + 0.35 * vz DESC, property_id LIMIT 1),
-       c AS (SELECT property_id FROM z WHERE property_id NOT IN (FROM a) AND property_id NOT IN (FROM b) AND k > 0
-        ORDER BY abs(vz) - 0.5 * bz DESC, property_id LIMIT 1)
+       f"""WITH {_FITTED_HOMES}, z AS (SELECT property_id, (balance - avg(balance) OVER ()) / stddev_pop(balance) OVER () AS bz,
+       (value - avg(value) OVER ()) / stddev_pop(value) OVER () AS vz,
+       abs((ln(square_feet) - avg(ln(square_feet)) OVER ()) / stddev_pop(ln(square_feet)) OVER ()) AS distance,
+       round((upper - lower) / prediction, 9) AS width, coalesce(n, 0) AS support,
+       lower < 0.995::DOUBLE * (1.04::DOUBLE * reference) AND 0.995::DOUBLE * (1.04::DOUBLE * reference) < prediction AS binding
+       FROM fitted LEFT JOIN support USING (submarket)),
+       scored AS (SELECT *, -ln(1 + support) + 0.35::DOUBLE * distance + 0.5::DOUBLE * CASE WHEN stddev_pop(width) OVER () = 0 THEN 0
+        ELSE (width - avg(width) OVER ()) / stddev_pop(width) OVER () END AS sparse FROM z),
+       a AS (SELECT property_id FROM scored ORDER BY bz - 0.25 * vz DESC, property_id LIMIT 1),
+       b AS (SELECT property_id FROM scored WHERE property_id NOT IN (FROM a) ORDER BY -bz + 0.35 * vz DESC, property_id LIMIT 1),
+       c AS (SELECT property_id FROM scored WHERE property_id NOT IN (FROM a) AND property_id NOT IN (FROM b) AND binding
+        ORDER BY sparse DESC, property_id LIMIT 1)
        SELECT 'healthy' AS profile, property_id FROM a UNION ALL SELECT 'stale', property_id FROM b
        UNION ALL SELECT 'sparse', property_id FROM c""")
 def _(spark, sf):
-    rows = metrics.zscores(B.leads(spark, sf), ["balance", "value"])
+    """The third pick is the lead whose fitted uncertainty matters most: its lower end binds the first proceeds, its prediction does not."""
+    homes, training = _fitted_homes(spark, sf)
+    rows = metrics.zscores(D.sparse_support_score(homes, training), ["balance", "value"])
     bz, vz = F.col("balance_z"), F.col("value_z")
     return D.sequential_picks(rows, "property_id", [
         ("healthy", bz - 0.25 * vz, None), ("stale", -bz + 0.35 * vz, None),
-        ("sparse", F.abs(vz) - 0.5 * bz, F.col("property_id") % 4 > 0),
+        ("sparse", F.col("sparse_score"), D.consequential_interval(F.col("lower"), F.col("prediction"), F.col("reference"))),
     ])

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +53,21 @@ def test_gate_over_the_program_returns_its_policy(requests):
         assert row.sale_by_120_days == pytest.approx(1 - math.prod(1 - d.sale_probability for d in own), abs=1e-6)
         # The calendar of k5 is another policy.
         assert [d.action for d in own] != ["hold", "hold"] + ["cut_2_5_pct", "hold"] * 7 + ["cut_2_5_pct"]
+
+
+def test_sparse_pick_follows_support_size_and_width(spark):
+    """Few training rows, unusual size and a wide interval win, and only where the interval matters."""
+    homes = spark.createDataFrame(
+        [(4, "rare", 1500.0, 90.0, 105.0, 121.0, 100.0), (8, "rare", 6000.0, 90.0, 105.0, 121.0, 100.0), (3, "common", 1500.0, 90.0, 105.0, 121.0, 100.0),
+         (5, "rare", 9000.0, 90.0, 100.0, 121.0, 100.0), (6, "rare", 9000.0, 104.0, 105.0, 121.0, 100.0), (7, "none", 1500.0, 90.0, 105.0, 300.0, 90.0)],
+        "property_id int, submarket string, square_feet double, lower double, prediction double, upper double, reference double")
+    training = spark.createDataFrame([("rare",)] * 3 + [("common",)] * 50, "submarket string")
+    scored = D.sparse_support_score(homes, training)
+    score = {r.property_id: r.sparse_score for r in scored.collect()}
+    width = np.array([31 / 105, 31 / 105, 31 / 105, 31 / 100, 17 / 105, 210 / 105])
+    size = np.log([1500.0, 6000.0, 1500.0, 9000.0, 9000.0, 1500.0])
+    expected = -np.log1p([3, 3, 50, 3, 3, 0]) + 0.35 * abs((size - size.mean()) / size.std()) + 0.5 * (width - width.mean()) / width.std()
+    assert [score[k] for k in (4, 8, 3, 5, 6, 7)] == pytest.approx(list(expected), abs=1e-6)
+    binding = D.consequential_interval(F.col("lower"), F.col("prediction"), F.col("reference"))
+    picks = D.sequential_picks(scored, "property_id", [("sparse", F.col("sparse_score"), binding), ("next", F.col("sparse_score"), binding)]).collect()
+    assert {r.profile: r.property_id for r in picks} == {"sparse": 7, "next": 8}
