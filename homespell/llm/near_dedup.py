@@ -36,6 +36,11 @@ BATCH = 32
 MISS = 1e-5
 #: Similarity in hundredths.
 THRESHOLD = 75
+#: Parts that a band's rows are dealt to.
+SALT = 8
+#: Bits of the filter that keeps texts outside all shared bands from being shuffled: 2 MB at every size. Where it fills up,
+#: more texts go on to the exact join.
+FILTER_BITS, BUCKET_BITS = 1 << 24, 1 << 15
 #: Members of a band that one task compares with as many others at a time.
 BLOCK = 256
 
@@ -193,6 +198,23 @@ def _block_links(threshold: int):
     return run
 
 
+def _with_band(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows (band, class) with the columns of ``facts``, which has one row a band: a band's rows are dealt to ``SALT`` parts."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("class"), F.lit(SALT)).cast("int"))
+    repeated = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return salted.join(repeated, ["band", "_salt"]).drop("_salt")
+
+
+def _likely(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows whose class is among ``classes``, and some others that share a bit with one; bits merge in any order."""
+    place = F.pmod(F.xxhash64("class"), F.lit(FILTER_BITS))
+    bits = classes.groupBy((place / BUCKET_BITS).cast("int").alias("_bucket")).agg(F.bitmap_construct_agg(place % BUCKET_BITS).alias("_bits"))
+    at = place % BUCKET_BITS
+    byte = F.conv(F.hex(F.substr("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    known = rows.withColumn("_bucket", (place / BUCKET_BITS).cast("int")).join(F.broadcast(bits), "_bucket")
+    return known.where(F.pmod(F.floor(byte / F.pow(F.lit(2.0), at % 8)), F.lit(2)) == 1).select(*rows.columns)
+
+
 def _split_bands(members: DataFrame) -> DataFrame:
     """Rows of the bands that hold several components, dealt into bounded parts.
 
@@ -208,7 +230,7 @@ def _split_bands(members: DataFrame) -> DataFrame:
              .where("components > 1")
              .select("band", "core", F.ceil(F.col("core_n") / BLOCK).cast("int").alias("core_blocks"),
                      F.ceil((F.col("band_n") - F.col("core_n")) / BLOCK).cast("int").alias("fringe_blocks")))
-    placed = (members.join(shape, "band")
+    placed = (_with_band(members, store.save(shape, "shapes"))
               .withColumn("fringe", F.col("component") != F.col("core"))
               .withColumn("block", F.pmod(F.xxhash64("class"), F.when(F.col("fringe"), F.col("fringe_blocks")).otherwise(F.col("core_blocks"))).cast("int")))
     fringe_parts = F.sequence(F.lit(0), F.col("fringe_blocks") - 1)
@@ -273,11 +295,12 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     shared = (bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("least"), F.bit_xor("print").alias("print"))
               .where("n > 1")
               .groupBy("n", "least", "print").agg(F.min(F.struct(F.pmod("band", F.lit(BANDS)), "band")).alias("first")))
-    members = store.save(bands.drop("print").join(shared.select("first.band", "n", "least"), "band"), "members")
+    members = store.save(_with_band(bands.drop("print"), store.save(shared.select("first.band", "n", "least"), "bands")), "members")
 
     reps = docs.select(F.col("doc_id").cast("long").alias("class"), F.col("text").cast("string").alias("text"))
     # Rows that repeat an id give the sets of all their texts, so the digest is taken from the set.
-    sets = store.save(map_batches(reps.join(members.select("class").distinct(), "class").select("text"), _element_lists, "digest binary, elements array<bigint>")
+    wanted = store.save(members.select("class").distinct(), "wanted")
+    sets = store.save(map_batches(_likely(reps, wanted).join(wanted, "class").select("text"), _element_lists, "digest binary, elements array<bigint>")
                       .where("digest is not null").groupBy("digest").agg(F.first("elements").alias("elements")), "sets")
 
     side = lambda s: classes.select(*[F.col(c).alias(f"{c}_{s}") for c in ("class", "digest", "signature")])

@@ -103,3 +103,13 @@ def test_bands_of_ids_with_several_texts_do_not_cancel(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "_bands", planted)
     found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {x.doc_id: x.component_id for x in found} == components(rows) == {3: 3, 5: 3, 7: 3}
+
+
+def test_bit_filter_keeps_every_wanted_row(spark):
+    rows = spark.range(200_000).selectExpr("id * 31 - 999 as class", "cast(id as string) as text")
+    wanted = rows.where("class % 97 = 0").select("class")
+    likely = near_dedup._likely(rows, wanted)
+    assert likely.join(wanted, "class").count() == wanted.count()
+    # 2,000 of 16 million bits are set, so hardly any other row passes.
+    assert likely.count() < wanted.count() * 1.1
+    assert near_dedup._likely(rows, wanted.limit(0)).count() == 0
