@@ -42,6 +42,12 @@ class Writer:
         self.put(ones.astype(np.int64)[:-1] if len(ones) > 1 else ones.astype(np.int64))
         self.put(_pack(values & np.uint64((1 << low_bits) - 1), low_bits))
 
+    def put_packed(self, values: np.ndarray) -> None:
+        """``values``: unsigned, each in as many bits as the largest needs."""
+        width = int(values.max(initial=0)).bit_length()
+        self.put(np.array([width], np.int64))
+        self.put(_pack(values.astype(np.uint64), width))
+
     def chunks(self) -> list[bytes]:
         head = np.array([len(self.arrays), *(x.nbytes for x in self.arrays)], "<i8").tobytes()
         padded = [x.tobytes() + b"\0" * (-x.nbytes % 8) for x in self.arrays]
@@ -63,6 +69,9 @@ class Reader:
         self.next += 1
         return out
 
+    def get_packed(self) -> "Packed":
+        return Packed(int(self.get("<i8")[0]), self.get("<u8"))
+
     def get_sequence(self) -> "Sequence":
         shape = self.get("<i8")
         return Sequence(*shape.tolist(), self.get("u1"), self.get("<i8"), self.get("<u8"))
@@ -79,23 +88,33 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
     return words
 
 
+class Packed:
+    """Values of ``width`` bits each."""
+
+    def __init__(self, width: int, words: np.ndarray):
+        self.width, self.words = width, words
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        if not self.width:
+            return np.zeros(len(at), np.uint64)
+        start = at.astype(np.int64) * self.width
+        word, shift = start >> 6, (start & 63).astype(np.uint64)
+        value = self.words[word] >> shift
+        # A shift by 64 is undefined, so the next word is moved in two steps.
+        value |= (self.words[word + 1] << (np.uint64(63) - shift)) << np.uint64(1)
+        return value & np.uint64((1 << self.width) - 1)
+
+
 class Sequence:
     def __init__(self, n: int, low_bits: int, length: int, high: np.ndarray, ones: np.ndarray, low: np.ndarray):
         self.n, self.low_bits, self.length = n, low_bits, length
-        self.high, self.ones, self.low = high, ones, low
+        self.high, self.ones, self.packed = high, ones, Packed(low_bits, low)
         #: Zeros before each 64-bit word.
         self.zeros = np.arange(len(ones), dtype=np.int64) * 64 - ones
         self.top = length - n - 1
 
     def _low(self, at: np.ndarray) -> np.ndarray:
-        if not self.low_bits:
-            return np.zeros(len(at), np.uint64)
-        start = at.astype(np.int64) * self.low_bits
-        word, shift = start >> 6, (start & 63).astype(np.uint64)
-        value = self.low[word] >> shift
-        # A shift by 64 is undefined, so the next word is moved in two steps.
-        value |= (self.low[word + 1] << (np.uint64(63) - shift)) << np.uint64(1)
-        return value & np.uint64((1 << self.low_bits) - 1)
+        return self.packed.get(at)
 
     def _select(self, rank: np.ndarray, before: np.ndarray, flip: int) -> np.ndarray:
         """Position of the set (or, flipped, unset) bit of each rank."""
@@ -136,12 +155,15 @@ class Sequence:
         start[inner] = self._select(high[inner] - 1, self.zeros, 255) + 1 - high[inner]
         end = self._select(high, self.zeros, 255) - high
         wanted = values[rows] & np.uint64((1 << self.low_bits) - 1)
-        live = np.flatnonzero(start < end)
+        # The low parts of a bucket are sorted: halve what is left of it.
+        top, live = end.copy(), np.flatnonzero(start < end)
         while len(live):
-            low = self._low(start[live])
-            equal = low == wanted[live]
-            out[rows[live[equal]]] = start[live[equal]]
-            live = live[low < wanted[live]]
-            start[live] += 1
-            live = live[start[live] < end[live]]
+            middle = (start[live] + top[live]) >> 1
+            below = self._low(middle) < wanted[live]
+            start[live] = np.where(below, middle + 1, start[live])
+            top[live] = np.where(below, top[live], middle)
+            live = live[start[live] < top[live]]
+        inside = np.flatnonzero(start < end)
+        hit = inside[self._low(start[inside]) == wanted[inside]]
+        out[rows[hit]] = start[hit]
         return out

@@ -1,4 +1,5 @@
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -130,3 +131,39 @@ def test_pairs_without_triples(spark):
     assert len(found) == 3
     for row in found:
         assert math.isclose(row.score, math.log10(0.6 + 0.4 * 3.1 / 3.2), rel_tol=1e-9)
+
+
+def test_a_node_with_half_of_all_children_is_found_at_once():
+    own = np.concatenate([np.arange(500_000, dtype=np.uint64) << np.uint64(40), np.uint64(250_000 << 40) + np.arange(1, 500_001, dtype=np.uint64)])
+    own.sort()
+    writer = Writer()
+    writer.put_sequence(own)
+    sequence = Reader(np.frombuffer(b"".join(writer.chunks()), np.uint8)).get_sequence()
+    asked = np.random.default_rng(1).integers(0, len(own), 200_000)
+    start = time.perf_counter()
+    assert (sequence.find(own[asked]) == asked).all()
+    assert time.perf_counter() - start < 5
+    assert (sequence.find(own[asked] + np.uint64(1 << 39)) == -1).all()
+
+
+def test_codes_are_off_by_a_cell_at_most():
+    random = np.random.default_rng(5)
+    values = np.concatenate([1 / random.integers(1, 10**6, 50_000), np.ones(1000)])
+    writer = Writer()
+    ngram_model.Codes.put(writer, values)
+    codes = ngram_model.Codes(Reader(np.frombuffer(b"".join(writer.chunks()), np.uint8)))
+    assert codes.codes.width <= 12
+    cell = math.log(values.max() / values.min()) / ngram_model.CELLS
+    assert np.abs(np.log(codes.get(np.arange(len(values))) / values)).max() <= cell * 1.01
+    few = np.array([0.5, 0.25, 0.5, 0.75])
+    writer = Writer()
+    ngram_model.Codes.put(writer, few)
+    assert ngram_model.Codes(Reader(np.frombuffer(b"".join(writer.chunks()), np.uint8))).get(np.arange(4)).tolist() == few.tolist()
+
+
+def test_blobs_and_wide_slices(monkeypatch):
+    keys = np.sort(np.random.default_rng(2).integers(0, 2**63, 1000, dtype=np.uint64))
+    small = np.arange(1000, dtype="<u4")
+    assert all((a == b).all() for a, b in zip(ngram_model.unpacked(ngram_model.packed([keys, small]), ["<u8", "<u4"]), (keys, small)))
+    (a, b), counts = ngram_model._counted([np.array([2, 1, 2, 2]), np.array([5, 9, 5, 1])], np.array([1, 1, 4, 2]))
+    assert (a.tolist(), b.tolist(), counts.tolist()) == ([1, 2, 2], [9, 1, 5], [1, 2, 5])
