@@ -8,9 +8,10 @@ known and only its letters are followed; states at the end of such a word name a
 
 Two bounds keep the frontier small at every size, and neither loses a pair. There is a trie of the words and one of
 their mirror images, and edits are allowed only behind the first half of a word: an edit in the first half lies in the second
-half of the mirror image. There, few branches are left. And an edge knows how many words lie beyond it and has 64 bits for the
+half of the mirror image. There, few branches are left. And an edge knows how many words lie beyond it and has 256 bits for the
 hashes of what they end in, so a state whose rest is certainly not there ends at once; with one word
-beyond it, the hash itself decides. What is found is then looked up among the words, so hashes decide nothing alone.
+beyond it, the hash itself decides, and with few the bits end the walk. What is found is then looked up among the words, so
+hashes and bits decide nothing alone.
 
 Edges come out of the sorted words: neighbours in that order share all branching prefixes, so each task forms the edges of its
 range, and nodes that lie on a boundary are combined afterwards. Edges of nodes with one word are never asked for and not made.
@@ -41,6 +42,8 @@ SLIP = 31
 FORM_RATIO = 10
 #: Depth from which nodes without a branch are left out, so that very long words take no level a letter.
 DEEP = 32
+#: Words beyond an edge up to which its bits settle a search for now: what they let pass by chance, the words themselves refuse.
+FEW = 16
 #: 64-bit columns of an edge that hold bits for what the words beyond end in; a power of two.
 PARTS = 4
 #: Distinct words that a task counts before it hands them on.
@@ -253,7 +256,7 @@ def _advanced(states: DataFrame, edges: DataFrame) -> DataFrame:
     ending = lambda skipped: F.expr(f"substr(target, position + {1 + skipped})")
     target = (F.when(name == "replace", F.concat(head, "letter", ending(1))).when(name == "insert", F.concat(head, "letter", ending(0)))
               .when(name == "delete", F.concat(head, ending(1))).when(name == "shorten", head).otherwise(F.col("target")))
-    found = name.isin("end", "shorten") | ((name != "match") & (F.col("words") == 1))
+    found = name.isin("end", "shorten") | ((name != "match") & (F.col("words") <= FEW))
     gone = taken.select("side", "word", target.alias("target"), F.col("next").alias("position"), F.col("child").alias("node"),
                         F.when(name == "match", 0).otherwise(1).alias("edits"), found.alias("found"), (F.col("next") > F.col("position") + 1).alias("_far"))
     # An edge of several letters leads on only where the target has all of them.
