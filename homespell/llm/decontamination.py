@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from homespell.llm.text import SHINGLE, map_batches, mix, shingles, texts, word_hashes
+from homespell.llm.text import SHINGLE, map_batches, mix, shingles, texts, without_rows, word_hashes
 
 BITS = 128
 #: Least weighted similarity of a match, in hundredths.
@@ -241,6 +241,4 @@ def passages(docs: DataFrame, benchmark: DataFrame, threshold: int = THRESHOLD)
 
 def without_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` that hold no benchmark item; all columns stay, repeated rows too."""
-    hit = passages(docs, benchmark).select(F.col("doc_id").alias("_doc_id"), F.col("row_key").alias("_row_key")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_row_key"))
-    return docs.join(hit, same, "left_anti")
+    return without_rows(docs, passages(docs, benchmark))

@@ -253,7 +253,11 @@ def mask_spans(text: str, spans: list[Span]) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data in text replaced by its kind, and n_chars (where present) to match."""
+    """``docs`` with personal data in text replaced by its kind, and n_chars (where present) to match.
+
+    Null and empty texts stay as they are, repeated rows each, rows without doc_id too; an empty table gives no rows. Other
+    columns are passed on.
+    """
     tagger = train(docs)
     kind = dict(docs.dtypes)
     trigger = F.coalesce(_text().rlike(TRIGGER), F.lit(False))

@@ -128,3 +128,16 @@ def fold_remainder(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds if isinstance(doc_id, str) else \
         F.crc32(doc_id.cast("string").cast("binary")) % folds
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id and text are not those of a row in ``gone`` (doc_id, and row_key, the hash of the text).
+
+    All columns stay, whatever their names; rows without doc_id or text are compared too.
+    """
+    taken = {name.lower() for name in docs.columns}
+    fresh = lambda name: name if name not in taken else fresh(name + "_")
+    doc_id, row_key = fresh("gone_id"), fresh("gone_key")
+    listed = gone.select(F.col("doc_id").alias(doc_id), F.col("row_key").alias(row_key)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(row_key))
+    return docs.join(listed, same, "left_anti")

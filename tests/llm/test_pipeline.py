@@ -1,5 +1,5 @@
 import corpus_pipeline
-from homespell.llm import decontamination, personal_data
+from homespell.llm import decontamination, personal_data, quality_rules
 from tests.llm.brute import components, rule_counts
 
 
@@ -28,3 +28,17 @@ def test_stages_decide_on_what_is_left(spark, tables):
 def test_run_equals_its_stages(spark, tables):
     rows = corpus_pipeline.run(spark, str(tables)).collect()
     assert rows and all(r.offset + r.length <= 2048 for r in rows)
+
+
+def test_filters_pass_columns_of_any_name(spark, tables, docs, labels, benchmark):
+    own = docs.selectExpr("*", "1 as _doc_id", "2 as _row_key", "3 as gone_id", "4 as GONE_KEY", "5 as row_key")
+    for stage in (lambda df: quality_rules.keep_good(df, labels), lambda df: decontamination.without_passages(df, benchmark)):
+        kept = stage(own)
+        assert kept.columns == own.columns
+        assert sorted(map(str, kept.select(*docs.columns).collect())) == sorted(map(str, stage(docs).collect()))
+
+
+def test_empty_tables(spark, tables, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(str(tables / f"{name}.parquet")).limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
