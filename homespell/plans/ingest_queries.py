@@ -76,12 +76,15 @@ def _(spark, sf):
 
 #: The table's path as a pattern, which a stream takes for a file as well as for a folder.
 _LINEITEM = "{}/lineitem.parque[t]"
+#: Files of a trigger at most; the state is carried from one to the next.
+_FILES = 64
 
 
 @query("a5_stream_sanitize", _TX_COLUMNS, f"WITH {B.TX} SELECT * FROM tx")
 def _(spark, sf):
     output = scratch_path(spark, "stream-safe")
-    source = incremental.file_stream(spark, _LINEITEM.format(sf), _lineitem(spark, sf).schema, "parquet")
+    source = incremental.file_stream(spark, _LINEITEM.format(sf), _lineitem(spark, sf).schema, "parquet",
+                                     files_per_trigger=_FILES)
     incremental.stream_sanitize(source, lambda df: B.sanitize(df).drop("seq"), output,
                                 scratch_path(spark, "stream-checkpoint"))
     return spark.read.parquet(output)
@@ -254,19 +257,32 @@ def _(spark, sf):
     return deeds.normalize_market_b(B.raw_market_b(_lineitem(spark, sf)), B.MARKET_B)
 
 
+def _audit_sql(name: str, source: str, texts: str, named: str = "") -> str:
+    """The privacy audit of one table: ``texts`` are looked into, columns in ``named`` must be empty."""
+    def among(words):
+        return "list_has_any(w, [" + ", ".join(f"'{word}'" for word in words) + "])"
+
+    words = "list_filter(string_split_regex(upper({}), '[^A-Z0-9]+'), lambda t: t <> '')"
+    judge = f"coalesce(list_transform([{words}], lambda w: {among(sinks.PARTY_WORDS)} OR (coalesce(regexp_matches(w[1], '^[0-9]{{{{1,6}}}}$'), FALSE) AND {among(sinks.STREET_WORDS)}))[1], FALSE)"
+    flags = [judge.format(column) for column in texts.split()] + [f"{column} IS NOT NULL" for column in named.split()]
+    some = " + ".join(f"max(f[{at + 1}]::INT)" for at in range(len(flags)))
+    return (f"SELECT '{name}' AS table_name, coalesce({some}, 0) AS unsafe, count(*) FILTER (NOT list_contains(f, TRUE)) AS passed_rows, "
+            f"count(*) FILTER (list_contains(f, TRUE)) AS refused_rows FROM (SELECT [{', '.join(flags)}] AS f FROM {source})")
+
+
+_RAW_TEXTS = "market pin amount l_returnflag vi dor deed kind"
+_SAFE_TEXTS = "parcel_id market property_type_code dor_code instrument_type neighborhood buyer_operator seller_operator"
+
+
 @query("b14_pii_guard", "table_name s, unsafe i, passed_rows i, refused_rows i",
-       f"""WITH {B.RAW} SELECT 'prepared' AS table_name, 0 AS unsafe, count(*) AS passed_rows, 0 AS refused_rows FROM raw
-       UNION ALL SELECT 'raw', 2, 0, count(*) FROM raw""")
+       f"WITH {B.TX} {_audit_sql('prepared', 'tx', _SAFE_TEXTS)} UNION ALL {_audit_sql('raw', 'raw', _RAW_TEXTS, 'grantee grantor')} "
+       f"UNION ALL {_audit_sql('renamed', 'raw', _RAW_TEXTS + ' grantee grantor')}")
 def _(spark, sf):
-    tables = {"prepared": B.transactions(spark, sf), "raw": B.raw_deeds(_lineitem(spark, sf))}
-    rows = F.count(F.lit(1))
-    parts = []
-    for name, df in tables.items():
-        unsafe = len(sinks.unsafe_columns(df.columns))
-        parts.append(df.agg(
-            F.lit(name).alias("table_name"), F.lit(unsafe).alias("unsafe"),
-            (rows if not unsafe else rows * 0).alias("passed_rows"), (rows if unsafe else rows * 0).alias("refused_rows")))
-    return parts[0].unionByName(parts[1])
+    """What the guard finds in the values of the prepared table, the raw one, and the raw one under harmless names."""
+    raw = B.raw_deeds(_lineitem(spark, sf))
+    tables = {"prepared": B.transactions(spark, sf), "raw": raw, "renamed": raw.withColumnsRenamed({"grantor": "first_side", "grantee": "second_side"})}
+    parts = [sinks.privacy_audit(df).select(F.lit(name).alias("table_name"), "*") for name, df in tables.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("b15_calendar_features", "o_orderkey i, sale_year i, sale_quarter i, elapsed f9, log_price f9",
@@ -454,7 +470,8 @@ def _(spark, sf):
 
 def _stream(spark, sf):
     schema = _lineitem(spark, sf).schema
-    return B.sanitize(incremental.file_stream(spark, _LINEITEM.format(sf), schema, "parquet"))
+    return B.sanitize(incremental.file_stream(spark, _LINEITEM.format(sf), schema, "parquet",
+                                              files_per_trigger=_FILES))
 
 
 @query("l1_stream_observation_end", "market s, observation_end d",

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import add, or_
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from homespell.session import scratch_path
 
@@ -24,6 +27,42 @@ def guard_columns(df: DataFrame) -> DataFrame:
     return df
 
 
+# Fixed values of this library: words that only the names of parties hold, and kinds of streets.
+PARTY_WORDS = ("LLC", "INC", "CORP", "LP", "TRUST", "TRUSTEE", "ESTATE", "CHURCH", "BANK")
+STREET_WORDS = ("ST", "STREET", "AVE", "AVENUE", "RD", "ROAD", "DR", "DRIVE", "LN", "LANE", "BLVD", "CT", "COURT", "WAY")
+
+
+def identifying(value: Column) -> Column:
+    """Whether a text reads as a party's name or a street address; null and empty texts do not."""
+    words = F.filter(F.split(F.upper(value), "[^A-Z0-9]+"), lambda word: word != "")
+    among = lambda kinds: F.arrays_overlap(words, F.array(*[F.lit(kind) for kind in kinds]))
+    number = F.coalesce(F.get(words, F.lit(0)).rlike("^[0-9]{1,6}$"), F.lit(False))
+    return F.coalesce(among(PARTY_WORDS) | (number & among(STREET_WORDS)), F.lit(False))
+
+
+def privacy_audit(df: DataFrame) -> DataFrame:
+    """``unsafe, passed_rows, refused_rows`` of a table, in one aggregate over the values of all text columns.
+
+    A row is refused where a text identifies somebody or a column whose name does holds a value; ``unsafe`` counts the columns in
+    which that happens.
+    """
+    named = set(unsafe_columns(df.columns))
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+    flags = {name: F.col(name).isNotNull() if name in named else identifying(F.col(name)) for name in dict.fromkeys([*texts, *named])}
+    any_flag = reduce(or_, flags.values(), F.lit(False))
+    judged = df.select(*[flag.alias(f"_flag_{at}") for at, flag in enumerate(flags.values())], any_flag.alias("_any"))
+    unsafe = reduce(add, [F.coalesce(F.max(F.col(f"_flag_{at}").cast("int")), F.lit(0)) for at in range(len(flags))], F.lit(0))
+    return judged.agg(unsafe.alias("unsafe"), F.count_if(~F.col("_any")).alias("passed_rows"), F.count_if("_any").alias("refused_rows"))
+
+
+def guard_values(df: DataFrame) -> DataFrame:
+    """``df``, unless a row of it identifies somebody."""
+    refused = privacy_audit(df).first()["refused_rows"]
+    if refused:
+        raise ValueError(f"{refused} rows may identify a person")
+    return df
+
+
 def write_safe_table(df: DataFrame, path: str, mode: str = "errorifexists") -> dict[str, int]:
     """Write by market through the job commit protocol; returns the number of rows written."""
     seen = Observation("written")
