@@ -27,6 +27,8 @@ from homespell.operators.scale import Carried, attach_row, order_groups
 
 #: Turns of a block.
 BLOCK = 4
+#: Parts that the cells of a conversation are dealt to.
+PARTS = 32
 #: Conversations whose first turns come from the one whose id ends them: so many ids have one such, and at most so many turns less one.
 SHARE, HEADS = 100, 6
 #: Characters of ids that are hashed at a time.
@@ -184,7 +186,10 @@ def prefix_trie(said: DataFrame, members: DataFrame) -> DataFrame:
         .carry(below=Carried("weight", over="onward"), chain=Carried("weight", over="all")).result(), "nodes")
     # What a member brings to each node above its own: the weights and the leaf of its chain.
     brought = placed.groupBy("conv_id").agg(F.max("chain").alias("chain"), F.max((F.col("n_children") == 0).cast("long")).alias("leaf"))
-    sums = (cells.select("conv_id", *_NODE).join(brought.where("chain > 0 or leaf > 0"), "conv_id")
+    # The cells of a long conversation are dealt to parts.
+    part = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    dealt = cells.select("conv_id", *_NODE, F.pmod("depth", F.lit(PARTS)).cast("int").alias("part"))
+    sums = (dealt.join(brought.where("chain > 0 or leaf > 0").withColumn("part", part), ["conv_id", "part"])
             .groupBy(*_NODE).agg(F.sum("chain").alias("sum"), F.sum("leaf").alias("n_leaves")))
 
     uppers = placed.select(*[F.col(name).alias(f"from_{name}") for name in _NODE], F.col("conv_id").alias("upper")).where("from_depth > 0")
