@@ -76,6 +76,26 @@ def neighbour_preferences(conversations: DataFrame) -> DataFrame:
     return _segments(turns_of(conversations).withColumn("pair_id", F.shiftright("conv_id", 1)).withColumn("side", F.col("conv_id").bitwiseAND(1)))
 
 
+def replaced_preferences(conversations: DataFrame) -> DataFrame:
+    """Segments of a pair for each conversation, named by its id: chosen as it is, rejected with another answer at its end.
+
+    The rejected side has the turns before the conversation's last assistant turn and, as that turn, the last assistant turn of the
+    neighbour (the id that differs in the lowest bit). A conversation without an assistant turn, or whose neighbour has none, is
+    all prompt. Equal answers are common, so then only the chosen side's later turns are completions.
+    """
+    turns = turns_of(conversations)
+    answers = (turns.where(F.col("said.role") == "assistant").groupBy("conv_id")
+               .agg(F.max(F.struct("turn", "said")).alias("last")).select("conv_id", "last.turn", "last.said"))
+    others = answers.select(F.col("conv_id").bitwiseXOR(1).alias("pair_id"), F.col("conv_id").alias("other"), F.col("said").alias("answer"))
+    ends = answers.select(F.col("conv_id").alias("pair_id"), F.col("turn").alias("end")).join(others, "pair_id", "left")
+    chosen = turns.select(F.col("conv_id").alias("pair_id"), F.lit(0).alias("side"), "conv_id", "turn", "said")
+    # Where nothing takes the place of an answer, both sides are the same.
+    known = chosen.join(ends, "pair_id", "left")
+    kept = known.where("other is null or turn < end").select("pair_id", F.lit(1).alias("side"), "conv_id", "turn", "said")
+    taken = ends.where("other is not null").select("pair_id", F.lit(1).alias("side"), F.col("other").alias("conv_id"), F.col("end").alias("turn"), F.col("answer").alias("said"))
+    return _segments(chosen.unionByName(kept).unionByName(taken))
+
+
 #: DuckDB equivalent of ``neighbour_preferences`` over the table ``conversations``.
 NEIGHBOUR_SQL = """
 with said as (
@@ -104,3 +124,38 @@ select pair_id, part, turn, conv_id, own.role as role,
        part <> 'prompt' and own.role = 'assistant' as trained, prompt_turns
 from parts
 """
+
+#: DuckDB equivalent of ``replaced_preferences`` over the table ``conversations``.
+REPLACED_SQL = """
+with said as (
+  select conv_id, coalesce(turn, -9223372036854775808) as turn,
+         min(struct_pack(role := coalesce(role, 'unknown'), text := coalesce(text, ''))) as said
+  from conversations where conv_id is not null group by all
+), answers as (
+  select conv_id, max(turn) as turn, arg_max(said, turn) as said from said where said.role = 'assistant' group by all
+), ends as (
+  select a.conv_id, a.turn as last_turn, o.conv_id as other, o.said as answer from answers a left join answers o on o.conv_id = xor(a.conv_id, 1)
+), rejected as (
+  select s.conv_id as pair_id, s.conv_id, s.turn, s.said from said s left join ends e using (conv_id) where e.other is null or s.turn < e.last_turn
+  union all
+  select conv_id, other, last_turn, answer from ends where other is not null
+), aligned as (
+  select coalesce(c.conv_id, r.pair_id) as pair_id, coalesce(c.turn, r.turn) as turn,
+         c.conv_id as chosen_id, c.said as chosen, r.conv_id as rejected_id, r.said as rejected, coalesce(c.said = r.said, false) as same
+  from said c full join rejected r on r.pair_id = c.conv_id and r.turn = c.turn
+), judged as (
+  select *, coalesce(turn < min(turn) filter (not same) over (partition by pair_id), true) as common from aligned
+), counted as (
+  select *, count(*) filter (common) over (partition by pair_id) as prompt_turns from judged
+), parts as (
+  select pair_id, 'prompt' as part, turn, chosen_id as conv_id, chosen as own, prompt_turns from counted where common
+  union all
+  select pair_id, 'chosen', turn, chosen_id, chosen, prompt_turns from counted where not common and chosen_id is not null
+  union all
+  select pair_id, 'rejected', turn, rejected_id, rejected, prompt_turns from counted where not common and rejected_id is not null
+)
+select pair_id, part, turn, conv_id, own.role as role,
+       '<|' || own.role || '|>' || chr(10) || own.text || '<|end|>' || chr(10) as text,
+       part <> 'prompt' and own.role = 'assistant' as trained, prompt_turns
+from parts
+"""

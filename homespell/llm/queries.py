@@ -24,7 +24,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preferences.neighbour_preferences(table(spark, sf_dir, "conversations"))
+    return preferences.replaced_preferences(table(spark, sf_dir, "conversations"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,5 +79,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": preferences.NEIGHBOUR_SQL, "op11_conversation_trie": prefix_trie.TRIE_SQL,
+ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": preferences.REPLACED_SQL, "op11_conversation_trie": prefix_trie.TRIE_SQL,
                                "op12_spelling_variants": spelling.VARIANTS_SQL, "op13_line_dedup": line_index.LINES_SQL}

@@ -51,3 +51,34 @@ def test_empty_table_and_native_plan(spark):
     assert preferences.neighbour_preferences(conversations.limit(0)).count() == 0
     plan = preferences.neighbour_preferences(conversations)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Window", "CartesianProduct"))
+
+
+def test_replaced_answers_against_plain_version(spark):
+    said = {}
+    for conv, turn, role, text in TURNS:
+        if conv is not None:
+            turn = preferences.NO_TURN if turn is None else turn
+            own = (role or "unknown", text or "")
+            said.setdefault(conv, {})
+            said[conv][turn] = min(said[conv].get(turn, own), own)
+    last = {c: max(n for n, own in turns.items() if own[0] == "assistant") for c, turns in said.items() if any(x[0] == "assistant" for x in turns.values())}
+    expected = set()
+    for c, chosen in said.items():
+        other = c ^ 1
+        rejected = {n: (c, own) for n, own in chosen.items()}
+        if c in last and other in last:
+            rejected = {n: own for n, own in rejected.items() if n < last[c]} | {last[c]: (other, said[other][last[other]])}
+        end = next((n for n in sorted(chosen.keys() | rejected.keys()) if n not in rejected or n not in chosen or chosen[n] != rejected[n][1]), None)
+        prompt = [n for n in chosen if end is None or n < end]
+        rows = [("prompt" if n in prompt else "chosen", n, c, own) for n, own in chosen.items()]
+        rows += [("rejected", n, source, own) for n, (source, own) in rejected.items() if n not in prompt]
+        for part, n, source, (role, text) in rows:
+            expected.add((c, part, n, source, role, f"<|{role}|>\n{text}<|end|>\n", part != "prompt" and role == "assistant", len(prompt)))
+    conversations = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
+    found = preferences.replaced_preferences(conversations.selectExpr("*", "1 as pair_id", "'x' as part", "2 as other"))
+    rows = [tuple(r) for r in found.collect()]
+    assert set(rows) == expected and len(rows) == len(expected)
+    assert {r[1] for r in rows} == {"prompt", "chosen", "rejected"}
+    plan = found._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Arrow", "Window", "CartesianProduct"))
+    assert preferences.replaced_preferences(conversations.limit(0)).count() == 0
