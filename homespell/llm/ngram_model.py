@@ -48,10 +48,12 @@ SMOOTHING = 0.1
 #: Values of a codebook at most: 12 bits.
 CELLS = 4096
 #: Bytes of text that a task works on at a time.
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 10_000_000
 #: Tokens per shard of the trie, and shards of the trie for each of the words.
 SHARD_TOKENS = 3_000_000
 WORDS_SHARE = 8
+#: Tasks that shards are dealt to at most.
+MOST_TASKS = 16_384
 #: Opened shards that a worker keeps.
 OPENED = 64
 #: Fixed value: hash of the end of a text.
@@ -262,7 +264,7 @@ def _training(docs: DataFrame) -> DataFrame:
     return docs.where(F.coalesce(fold_remainder("doc_id", FOLDS) != 0, F.lit(True))).select(F.col("text").cast("string").alias("text"))
 
 
-def _by_shard(dealt: DataFrame, build) -> list:
+def _by_shard(dealt: DataFrame, shards: int, build) -> list:
     """Gather each shard's blobs, from all slices, in one call of ``build(shard, blobs)``, which gives the file's name and two sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +285,8 @@ def _by_shard(dealt: DataFrame, build) -> list:
         if held:
             yield close()
 
-    spread = dealt.repartition("shard").sortWithinPartitions("shard")
+    tasks = min(shards, MOST_TASKS)
+    spread = dealt.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard")
     saved = store.save(map_partitions(spread, run, "shard int, file string, total long, distinct long"), "shards")
     found = saved.collect()
     store.discard(saved)
@@ -328,7 +331,7 @@ def build(docs: DataFrame, least_count: int = LEAST_COUNT) -> tuple[Words, Trie]
         writer.put_packed(counts)
         return _put(folder, f"words-{shard:08d}", writer.chunks()), int(counts.sum()), len(keys)
 
-    found = _by_shard(map_partitions(training, count_words, "shard int, blob binary"), build_words)
+    found = _by_shard(map_partitions(training, count_words, "shard int, blob binary"), word_shards, build_words)
     words = Words(folder, _listed(found, word_shards, "file", None), _listed(found, word_shards, "distinct", 0), sum(row["total"] for row in found))
 
     def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +344,7 @@ def build(docs: DataFrame, least_count: int = LEAST_COUNT) -> tuple[Words, Trie]
         (pairs, thirds), counts = _counted([pairs, thirds], counts.astype(np.int64))
         return _put(folder, f"trie-{shard:08d}", shard_chunks(pairs, thirds, counts, words, least_count)), int(counts.sum()), len(pairs)
 
-    found = _by_shard(map_partitions(training, count_triples, "shard int, blob binary"), build_shard)
+    found = _by_shard(map_partitions(training, count_triples, "shard int, blob binary"), shards, build_shard)
     return words, Trie(folder, _listed(found, shards, "file", None))
 
 
