@@ -16,6 +16,7 @@ EXIT_OUTCOMES = frozenset({
     "resale_date", "resale_price", "gross_spread", "gross_return", "hold_days", "duration_weeks",
     "event_observed",
 })
+# Names of simulated truths, and the fields of a home.
 TRUTH_PREFIXES = ("true_", "truth_")
 HOME_FIELDS = ("parcel_id", "sale_date", "sale_price", "living_area_sqft", "year_built")
 

@@ -84,8 +84,7 @@ def classify_operator(name: Column | str, rules: Sequence[tuple[str, str]] = OPE
             label = F.when(cleaned.rlike(pattern), F.lit(operator)).otherwise(label)
         return label
 
-    # The cheap token test comes first; almost no party passes it. Binding the cleaned name to a
-    # lambda variable keeps it from being recomputed by every rule.
+    # A lambda variable, so that the name is cleaned once and not by each rule.
     cleaned = F.trim(F.regexp_replace(raw, "[^A-Z0-9]+", " "))
     return F.when(
         raw.rlike("|".join(tokens)), F.get(F.transform(F.array(cleaned), label_of), F.lit(0))

@@ -14,12 +14,12 @@ from homespell.sources import deeds, sinks
 MARKET_A, MARKET_B = "market_a", "market_b"
 CUTOFF = "1996-01-01"
 
-# Party names that exercise the operator rules.
+# Invented party names: one or two for each operator rule, and some that only look like an operator's.
 PARTIES = (
-    "OPENDOOR PROPERTY J LLC", "OPEN DOOR PROPERTY TRUST I", "OFFERPAD SPVBORROWER1 LLC",
-    "OFFER PAD LLC", "OFFERPADLLC", "ZILLOW HOMES PROPERTY TRUST", "REDFINNOW BORROWER LLC",
-    "REDFIN NOW BORROWER LLC", "OPEN DOOR COMMUNITY CHURCH", "ZILLOW GROUP INC",
-    "SOME RANDOM HOUSE BUYER LLC", None,
+    "OPENDOOR NORTH 4 LLC", "OPEN DOOR PROPERTY TRUST NINE", "OFFERPAD LAKE HOLDINGS LLC",
+    "OFFER PAD WEST LLC", "OFFERPADINC", "ZILLOW HOMES PINE TRUST", "REDFINNOW TWO LLC",
+    "REDFIN NOW THREE LLC", "OPEN DOOR BAKERY", "ZILLOW STUDIOS INC",
+    "MAPLE LEAF BUYERS LLC", None,
 )
 _PARTY_SQL = "[" + ", ".join("NULL" if p is None else f"'{p}'" for p in PARTIES) + "]"
 

@@ -95,12 +95,13 @@ def _(spark, sf):
     return B.transactions(spark, sf)
 
 
-@query("a7_input_provenance", "source s, sha256 s, bytes i, kept_first_time b")
+@query("a7_input_provenance", "source s, sha256 s, bytes i, kept_first_time b, blocks i, blocks_sha256 s")
 def _(spark, sf):
     known = F.lit("2024-01-01 00:00:00").cast("timestamp")
     prior = deeds.input_provenance(spark, f"{sf}/*.parquet").withColumn("retrieved_at", known)
     again = deeds.input_provenance(spark, f"{sf}/*.parquet", prior)
-    return again.withColumn("kept_first_time", F.col("retrieved_at") == known)
+    blocks = deeds.block_provenance(spark, f"{sf}/*.parquet", 1 << 20)
+    return again.withColumn("kept_first_time", F.col("retrieved_at") == known).join(blocks, "path")
 
 
 @query("a8_prep_manifest", "market s, input_rows i, output_rows i, observation_end d, "

@@ -17,6 +17,8 @@ from homespell.session import ship
 
 #: Bytes of a file that a task holds while it hashes.
 BLOCK_BYTES = 8 << 20
+#: Bytes of a block that has a digest of its own, and tasks that read blocks at most.
+PROVENANCE_BYTES, MOST_READERS = 64 << 20, 10_000
 
 # Source column aliases in order of preference.
 ALIASES_A = {
@@ -222,6 +224,52 @@ def input_provenance(spark: SparkSession, path: str, prior: DataFrame | None = N
     )
 
 
+def _block_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests = []
+        for path, offset, length in zip(*(batch.column(name).to_pylist() for name in ("path", "offset", "length"))):
+            access, plain = _opened(path)
+            digest = hashlib.sha256()
+            with access.open_input_file(plain) as source:
+                source.seek(offset)
+                while length and (part := source.read(min(length, BLOCK_BYTES))):
+                    digest.update(part)
+                    length -= len(part)
+            if length:
+                raise ValueError(f"{path} has become shorter")
+            digests.append(digest.hexdigest())
+        yield batch.append_column("sha256", pa.array(digests, pa.string()))
+
+
+def block_digests(spark: SparkSession, path: str, block_bytes: int = PROVENANCE_BYTES) -> DataFrame:
+    """``path, offset, length, sha256`` of each block of the files; blocks of one file are read by different tasks.
+
+    Spark lists no empty files, so these have no block.
+    """
+    listed = spark.read.format("binaryFile").load(path)
+    first = listed.select("path").first()
+    blocks = listed.withColumn("offset", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(block_bytes).cast("long")))) \
+        .withColumn("length", F.least(F.lit(block_bytes), F.col("length") - F.col("offset")))
+    if first is None or _tasks_can_open(first["path"]):
+        ship(spark)
+        rows = blocks.select("path", "offset", "length")
+        # A number, so that rows as small as these are not merged into one task.
+        spread = rows.repartition(max(1, min(rows.count(), MOST_READERS)))
+        return spread.mapInArrow(_block_digests, "path string, offset long, length long, sha256 string")
+    part = F.substr("content", (F.col("offset") + 1).cast("int"), F.col("length").cast("int"))
+    return blocks.select("path", "offset", "length", F.sha2(part, 256).alias("sha256"))
+
+
+def block_provenance(spark: SparkSession, path: str, block_bytes: int = PROVENANCE_BYTES) -> DataFrame:
+    """``path, blocks, blocks_sha256`` per file: the SHA-256 of its blocks' digests (lower-case hex) in order.
+
+    It tells a file as well as a plain digest does, and a file of any size takes as long as its blocks, shared among all tasks.
+    """
+    digests = F.transform(F.array_sort(F.collect_list(F.struct("offset", "sha256"))), lambda x: x["sha256"])
+    return block_digests(spark, path, block_bytes).groupBy("path").agg(
+        F.count(F.lit(1)).alias("blocks"), F.sha2(F.array_join(digests, "").cast("binary"), 256).alias("blocks_sha256"))
+
+
 def latest_snapshot(files: DataFrame, path: str = "path") -> DataFrame:
     """Newest release among names that carry ``MM_DD_YYYY``; undated names come last."""
     part = [F.regexp_extract(path, r"(\d{2})_(\d{2})_(\d{4})", i) for i in (1, 2, 3)]

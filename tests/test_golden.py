@@ -19,12 +19,12 @@ def rows(df, *order):
 
 def test_operator_names(spark):
     names = {
-        "OPENDOOR PROPERTY J LLC": "opendoor", "OPEN DOOR PROPERTY TRUST I": "opendoor",
-        "OFFERPAD SPVBORROWER1 LLC": "offerpad", "OFFER PAD LLC": "offerpad",
-        "OFFERPADLLC": "offerpad", "ZILLOW HOMES PROPERTY TRUST": "zillow_offers",
-        "REDFINNOW BORROWER LLC": "redfinnow", "REDFIN NOW BORROWER LLC": "redfinnow",
-        "OPEN DOOR COMMUNITY CHURCH": None, "ZILLOW GROUP INC": None,
-        "SOME RANDOM HOUSE BUYER LLC": None, "OFFER-PAD LLC": None,
+        "OPENDOOR NORTH 4 LLC": "opendoor", "OPEN DOOR PROPERTY TRUST NINE": "opendoor",
+        "OFFERPAD SPVLAKE LLC": "offerpad", "OFFER PAD WEST LLC": "offerpad",
+        "OFFERPADINC": "offerpad", "ZILLOW HOMES PINE TRUST": "zillow_offers",
+        "REDFINNOW TWO LLC": "redfinnow", "REDFIN NOW THREE LLC": "redfinnow",
+        "OPEN DOOR BAKERY": None, "ZILLOW STUDIOS INC": None,
+        "MAPLE LEAF BUYERS LLC": None, "OFFER-PAD EAST LLC": None,
     }
     df = spark.createDataFrame([(n,) for n in names] + [(None,)], "name string")
     found = dict(rows(df.select("name", S.classify_operator("name"))))
@@ -44,7 +44,7 @@ def test_market_a_row(spark):
     raw = spark.createDataFrame([dict(
         PIN="A-01-29-18", S_DATE="2024-03-15", S_AMT="350,000", QU="Q", VI="I", DOR_CODE="01",
         S_TYPE="WD", NBHC="102001.00", SUB="SUNNY ACRES", GRANTOR="JANE DOE",
-        GRANTEE="OPENDOOR PROPERTY J LLC")])
+        GRANTEE="OPENDOOR NORTH 4 LLC")])
     out = deeds.normalize_market_a(raw)
     assert out.columns == TRANSACTIONS.fieldNames() and len(out.columns) == 23
     row = out.first()

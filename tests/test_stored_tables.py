@@ -28,6 +28,24 @@ def test_where_only_spark_opens_the_files(spark, tmp_path, monkeypatch):
     assert deeds.input_provenance(spark, str(tmp_path)).first().sha256 == hashlib.sha256(b"1").hexdigest()
 
 
+@pytest.mark.parametrize("opens", [True, False])
+def test_digests_of_blocks(spark, tmp_path, monkeypatch, opens):
+    """A file is known by the digests of its blocks, which different tasks read."""
+    content = {"long": bytes(range(256)) * 50, "even": b"x" * 3000, "empty": b"", "short": b"1"}
+    for name, own in content.items():
+        (tmp_path / name).write_bytes(own)
+    monkeypatch.setattr(deeds, "_tasks_can_open", lambda path: opens)
+    found = {r.path.rsplit("/", 1)[1]: r for r in deeds.block_provenance(spark, str(tmp_path), 1000).collect()}
+    assert "empty" not in found
+    for name, own in content.items() - {("empty", b"")}:
+        parts = [own[at:at + 1000] for at in range(0, max(len(own), 1), 1000)]
+        digest = hashlib.sha256("".join(hashlib.sha256(x).hexdigest() for x in parts).encode()).hexdigest()
+        assert (found[name].blocks, found[name].blocks_sha256) == (len(parts), digest)
+    if opens:
+        blocks = deeds.block_digests(spark, str(tmp_path), 1000)
+        assert blocks.rdd.getNumPartitions() == blocks.count() == 17
+
+
 @pytest.mark.parametrize("files", [1, 3])
 def test_streams_read_tables_stored_as_folders(spark, tmp_path, files):
     lineitem = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
