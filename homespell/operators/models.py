@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from homespell.functions import contracts as C
 from homespell.functions import pricing as P
 from homespell.operators import conformal, metrics, panels, splits, survival
-from homespell.operators.scale import exact_percentiles, stacked
+from homespell.operators.scale import Carried, exact_percentiles, order_groups, stacked
 from homespell.session import materialize, scratch_path, shared_dir, ship
 
 MISSING = "__missing__"
@@ -41,16 +41,38 @@ class FeatureSpec:
 
 @dataclass(frozen=True)
 class Features:
-    """Fitted preparation: imputation and scaling as plain expressions, one-hot by Spark ML."""
+    """Fitted preparation: imputation and scaling as plain expressions, one-hot by codes that are joined on.
+
+    ``labels`` holds the code of each category (name, label, code), ranked where it lies; ``sizes`` how many a feature
+    has. The labels themselves come to the driver only where somebody asks for ``names`` or ``vocabulary``, as a table of
+    coefficients does.
+    """
 
     spec: FeatureSpec
     medians: dict[str, float]
     centers: dict[str, tuple[float, float]]
     modes: dict[str, str]
     frequent: dict[str, DataFrame]
-    encoder: PipelineModel | None
-    names: tuple[str, ...]
-    vocabulary: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    sizes: dict[str, int] = field(default_factory=dict)
+    labels: DataFrame | None = None
+    encoder: OneHotEncoderModel | None = None
+    out: str = "features"
+    given_names: tuple[str, ...] | None = None
+    given_vocabulary: dict[str, tuple] | None = None
+
+    @functools.cached_property
+    def vocabulary(self) -> dict[str, tuple]:
+        if self.given_vocabulary is not None:
+            return self.given_vocabulary
+        rows = [] if self.labels is None else self.labels.orderBy("name", "code").collect()
+        return {name: tuple(r["label"] for r in rows if r["name"] == name) for name in self.spec.categorical}
+
+    @functools.cached_property
+    def names(self) -> tuple[str, ...]:
+        if self.given_names is not None:
+            return self.given_names
+        first = int(self.spec.drop_first)
+        return (*self.spec.numeric, *[f"{name}_{label}" for name in self.spec.categorical for label in self.vocabulary[name][first:]])
 
     def _prepared(self, df: DataFrame) -> DataFrame:
         added = {}
@@ -70,11 +92,31 @@ class Features:
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = self._prepared(df)
+        coded = self._coded()
+        for name in coded:
+            own = self.labels.filter(F.col("name") == name).select(F.col("label").alias("_label"), F.col("code").alias("_code"))
+            # What is unseen, and a dropped first category, gets the code past the last, which the encoder leaves out.
+            code = F.col("_code") - int(self.spec.drop_first)
+            out = (out.join(own, F.col(f"_c_{name}") == F.col("_label"), "left")
+                   .withColumn(f"_i_{name}", F.when(code >= 0, code).otherwise(coded[name]).cast("double")).drop("_label", "_code"))
         if self.encoder is not None:
             out = self.encoder.transform(out)
-        drop = [c for c in out.columns if c.startswith(("_n_", "_c_", "_i_", "_o_", "_v_"))]
+        parts = [f"_n_{c}" for c in self.spec.numeric] + [f"_o_{c}" for c in coded]
+        out = VectorAssembler(inputCols=parts, outputCol=self.out).transform(out)
+        drop = [c for c in out.columns if c.startswith(("_n_", "_c_", "_i_", "_o_"))]
         return out.drop(*drop)
 
+    def _coded(self) -> dict[str, int]:
+        """Features with indicators and the number of these."""
+        sizes = {name: size - int(self.spec.drop_first) for name, size in self.sizes.items()}
+        return {name: size for name, size in sizes.items() if size > 0}
+
+
+def _stacked_categories(df: DataFrame, names: dict[str, str], *also: str) -> DataFrame:
+    """``name, v`` and the columns of ``also``, a row for each row and column of ``names``, by its name."""
+    rows = F.array(*[F.struct(F.lit(name).alias("name"), F.col(column).cast("string").alias("v")) for name, column in names.items()])
+    return df.select(*also, F.inline(rows))
+
 
 def fit_statistics(df: DataFrame, spec: FeatureSpec, count: str | None = None) -> Features:
     """Median and population scaling for numerics, most frequent and frequent values for the rest, without an encoder.
@@ -96,40 +138,34 @@ def fit_statistics(df: DataFrame, spec: FeatureSpec, count: str | None = None) -
         centers = {c: (mean[c], spread[c] or 1.0) for c in spec.numeric}
     else:
         centers = {c: (0.0, 1.0) for c in spec.numeric}
-    for name in spec.categorical:
-        counts = df.filter(F.col(name).isNotNull()).groupBy(F.col(name).cast("string").alias("v")).agg(F.sum(many).alias("count"))
-        top = counts.orderBy(F.col("count").desc(), "v").first()
-        modes[name] = top["v"] if top else MISSING
+    if spec.categorical:
+        held = df.withColumn("_many", many)
+        counts = materialize(_stacked_categories(held, {c: c for c in spec.categorical}, "_many").filter(F.col("v").isNotNull())
+                             .groupBy("name", "v").agg(F.sum("_many").alias("count")))
+        tops = counts.groupBy("name").agg(F.min_by("v", F.struct(-F.col("count"), "v")).alias("v")).collect()
+        modes = {c: MISSING for c in spec.categorical} | {r["name"]: r["v"] for r in tops}
         if spec.minimum_count > 1:
-            frequent[name] = materialize(counts.filter(F.col("count") >= spec.minimum_count).select("v"))
-    return Features(spec, medians, centers, modes, frequent, None, ())
+            frequent = {c: counts.filter((F.col("name") == c) & (F.col("count") >= spec.minimum_count)).select("v") for c in spec.categorical}
+    return Features(spec, medians, centers, modes, frequent)
 
 
 def fit_features(df: DataFrame, spec: FeatureSpec, out: str = "features") -> Features:
-    """``fit_statistics`` with one-hot indicators; the category vocabulary reaches the driver."""
-    draft = fit_statistics(df, spec)
-    medians, centers, modes, frequent, vocabulary = draft.medians, draft.centers, draft.modes, draft.frequent, {}
-    prepared = draft._prepared(df)
-    stages, parts, names = [], [f"_n_{c}" for c in spec.numeric], list(spec.numeric)
-    for name in spec.categorical:
-        indexer = StringIndexer(inputCol=f"_c_{name}", outputCol=f"_i_{name}",
-                                stringOrderType="alphabetAsc", handleInvalid="keep").fit(prepared)
-        labels = indexer.labels
-        vocabulary[name] = tuple(labels)
-        # With "keep" the dropped last slot is the one of unseen values, which become all zeros.
-        stages += [indexer, OneHotEncoder(inputCol=f"_i_{name}", outputCol=f"_o_{name}")]
-        part = f"_o_{name}"
-        if spec.drop_first and len(labels) > 1:
-            stages.append(VectorSlicer(inputCol=part, outputCol=f"_v_{name}",
-                                       indices=list(range(1, len(labels)))))
-            part, labels = f"_v_{name}", labels[1:]
-        elif spec.drop_first:
-            continue
-        parts.append(part)
-        names += [f"{name}_{label}" for label in labels]
-    stages.append(VectorAssembler(inputCols=parts, outputCol=out))
-    return Features(spec, medians, centers, modes, frequent, Pipeline(stages=stages).fit(prepared),
-                    tuple(names), vocabulary)
+    """``fit_statistics`` with one-hot indicators; categories are ranked where they lie, in one scan for all features."""
+    draft = replace(fit_statistics(df, spec), out=out)
+    if not spec.categorical:
+        return draft
+    seen = _stacked_categories(draft._prepared(df), {c: f"_c_{c}" for c in spec.categorical}).distinct().withColumn("_one", F.lit(1).cast("bigint"))
+    ranked = order_groups(seen.withColumnRenamed("v", "label"), ["name"], ["label"]).carry(code=Carried("_one")).result()
+    labels = materialize(ranked.select("name", "label", (F.col("code") - 1).alias("code")))
+    sizes = {r["name"]: r["n"] for r in labels.groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()}
+    fitted = replace(draft, labels=labels, sizes={c: sizes[c] for c in spec.categorical if c in sizes})
+    coded = fitted._coded()
+    if not coded:
+        return fitted
+    # The encoder takes its sizes from one row that holds the last code of each feature.
+    last = df.sparkSession.createDataFrame([tuple(float(size - 1) for size in coded.values())], ", ".join(f"`_i_{c}` double" for c in coded))
+    encoder = OneHotEncoder(inputCols=[f"_i_{c}" for c in coded], outputCols=[f"_o_{c}" for c in coded], handleInvalid="keep")
+    return replace(fitted, encoder=encoder.fit(last))
 
 
 @dataclass(frozen=True)
@@ -331,7 +367,7 @@ def fit_hazard(df: DataFrame, spec: FeatureSpec, max_periods: int, duration: str
             break
     names += [HazardModel._named("period", k) for k in vocabulary["period"]]
     kept = [at for at in range(len(names)) if free[1 + at]]
-    features = replace(draft, names=tuple(names[at] for at in kept), vocabulary=vocabulary)
+    features = replace(draft, given_names=tuple(names[at] for at in kept), given_vocabulary=vocabulary)
     return HazardModel(features, tuple(float(point[1 + at]) for at in kept), float(point[0]), None)
 
 

@@ -108,6 +108,23 @@ def test_many_frequent_categories(spark):
     assert fitted.transform(rows).count() == 40_010
 
 
+def test_categories_stay_where_they_are(spark, monkeypatch):
+    """200,000 categories of one feature next to a small one; no label reaches the driver before a name is asked for."""
+    rows = spark.range(400_000).select((F.col("id") % 200_000).cast("string").alias("wide"), (F.col("id") % 3).cast("string").alias("small"), F.lit(1.0).alias("x"))
+    collected = []
+    plain = type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda df: collected.append(out := plain(df)) or out)
+    fitted = M.fit_features(rows, M.FeatureSpec(("x",), ("wide", "small"), True))
+    assert max(map(len, collected)) <= 2
+    some = fitted.transform(rows.filter("wide in ('0', '5', '199999') and small = '2'"))
+    first = some.select("features").first().features
+    assert first.size == 1 + 199_999 + 2 and len(first.indices) <= 3
+    monkeypatch.undo()
+    assert len(fitted.names) == first.size and fitted.names[-1] == "small_2" and fitted.vocabulary["wide"][0] == "0"
+    unseen = fitted.transform(spark.createDataFrame([("none", "0", 1.0)], "wide string, small string, x double")).first().features
+    assert list(unseen.indices) in ([], [0]) and unseen.size == first.size
+
+
 def test_rescored_sales_are_those_of_the_primary_study(spark, monkeypatch):
     """The officially qualified rows carry the primary study's predictions, the seasoned ones their own."""
     panel = spark.createDataFrame([(float(i), 0.01 * i) for i in range(20)], "prediction double, years_since_prior_sale double")
