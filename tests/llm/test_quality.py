@@ -1,9 +1,11 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from homespell.llm import quality_classifier, quality_rules
+from tests.llm import brute
 from tests.llm.brute import rule_counts
 
 
@@ -86,3 +88,56 @@ def test_classifier_ignores_held_out_labels(docs, labels):
     turned = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")).cast("int"))
     assert rows == quality_classifier.classify(docs, turned).orderBy("doc_id", "score").collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
+
+
+def test_op1_quality_classifier_traits_against_plain_counts(odd_texts):
+    for text in odd_texts:
+        found = dict(zip(quality_classifier.TRAITS, quality_classifier.traits_of(None if text is None else text.encode()).tolist()))
+        words = brute.words(text)
+        if not words:
+            assert not any(found.values())
+            continue
+        n, chars = len(words), sum(map(len, words))
+        sizes = [len(w.encode()) for w in words]
+        lines = [x for x in text.split("\n") if brute.words(x)]
+        covered = brute.rule_counts(text)[4]
+        seen = {w: words.count(w) for w in set(words)} if n < 3000 else {w: sum(x == w for x in words) for w in set(words)}
+        share = np.unique(list(text.encode()), return_counts=True)[1] / len(text.encode())
+        count = lambda some: sum(c in some for c in text)
+        expected = {
+            "log_chars": np.log1p(chars), "log_words": np.log1p(n), "word_length": chars / n, "word_length_spread": np.std(sizes),
+            "long_words": sum(x > 15 for x in sizes) / n, "distinct_words": len(seen) / n, "commonest_word": max(seen.values()) / n,
+            "repeated_windows": covered / n, "symbols": count("#*$%&|<>") / chars, "upper": count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / chars,
+            "digits": count("0123456789") / chars, "spaces": (len(text.encode()) - sum(sizes)) / n, "other_bytes": sum(ord(c) > 127 for c in text) / chars,
+            "stops": count(".") / chars, "commas": count(",;:") / chars, "exclamations": count("!?") / chars, "bars": count("|") / chars,
+            "hyphens": count("-_") / chars, "quotes": count("\"'") / chars, "brackets": count("()[]{}") / chars, "log_lines": np.log1p(len(lines)),
+            "line_words": n / len(lines), "repeated_lines": 1 - len(set(lines)) / len(lines), "byte_entropy": -(share * np.log2(share)).sum()}
+        assert found == pytest.approx(expected, rel=1e-5, abs=1e-6)
+
+
+def test_op1_quality_classifier_trees_against_plain_splitting():
+    """The first cut has the highest gain of all, each leaf the step of its rows, and the flat walk is the nested one."""
+    random = np.random.default_rng(8)
+    rows = random.integers(0, 9, (400, 3)).astype(float)
+    labels = ((rows[:, 1] > 4) ^ (random.random(400) < 0.1)).astype(float)
+    trees = quality_classifier.BoostedTrees(rows, labels, rounds=3, depth=2)
+    share = (labels.sum() + 1) / (len(labels) + 2)
+    gradient, hessian = share - labels, np.full(400, share * (1 - share))
+    worth = lambda some: gradient[some].sum() ** 2 / (hessian[some].sum() + quality_classifier.PENALTY)
+    gains = {(t, c): worth(rows[:, t] <= c) + worth(rows[:, t] > c) - worth(np.ones(400, bool)) for t in range(3) for c in range(8)
+             if min(hessian[rows[:, t] <= c].sum(), hessian[rows[:, t] > c].sum()) >= quality_classifier.LEAST_HESSIAN}
+    best = max(gains, key=gains.get)
+    root = trees.roots[0]
+    assert trees.trait[root] == best[0] and ((rows[:, best[0]] <= trees.cut[root]) == (rows[:, best[0]] <= best[1])).all()
+
+    def walk(row, node):
+        while trees.child[node] >= 0:
+            node = trees.child[node] + (row[trees.trait[node]] > trees.cut[node])
+        return node
+
+    leaves = np.array([walk(row, root) for row in rows])
+    for leaf in set(leaves.tolist()):
+        own = leaves == leaf
+        assert trees.value[leaf] == pytest.approx(-quality_classifier.RATE * gradient[own].sum() / (hessian[own].sum() + quality_classifier.PENALTY))
+    plain = [1 / (1 + np.exp(-(trees.prior + sum(trees.value[walk(row, r)] for r in trees.roots)))) for row in rows]
+    assert trees.score(rows) == pytest.approx(plain)
