@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -74,10 +75,14 @@ def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 def spread(df: DataFrame) -> DataFrame:
     """Use every core on input that cannot be split, such as one gzip file or one row group.
 
-    Input that already has at least as many splits as the cluster has cores is left alone.
+    Input that already has at least as many splits as the cluster has cores is left alone, and its predicates reach the
+    scan. Others would be worked out before the rows are spread, all by the task of the one split; they are not moved past an
+    observation of the rows.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores).observe(f"spread-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
 
 
 def non_object_lines(spark: SparkSession, path: str) -> DataFrame:
