@@ -21,7 +21,7 @@ from homespell.llm.text_stats import byte_counts, duplicate_lines, repeated_word
 
 #: Least words, and greatest share (in hundredths) of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 20, 30
-#: Labelled rows that the forest and its cut are fitted on at most, those of the lowest hash.
+#: Labelled rows that the forest's trees draw theirs from at most, those of the lowest hash.
 SAMPLE_ROWS = 20_000
 TREES, SUBSAMPLE, SEED = 100, 256, 7
 #: Trees of the trial forests that choose the traits.
@@ -127,38 +127,73 @@ def calibrated_cut(good: np.ndarray, bad: np.ndarray, false_rejects: float = FAL
     return float((cut + above.min()) / 2) if len(above) else np.inf
 
 
-def calibrate(rows: np.ndarray, good: np.ndarray) -> tuple[IsolationForest, float]:
-    """Forest over all labelled rows, and its cut. ``good`` marks the rows of good quality."""
-
-    def attempt(traits: list[int], trees: int) -> tuple[int, IsolationForest, float]:
-        forest = IsolationForest(rows, traits, trees)
-        score = forest.score(rows)
-        cut = calibrated_cut(score[good], score[~good])
-        return int((score[~good] > cut).sum()), forest, cut
-
+def _chosen(rows: np.ndarray, judged) -> tuple[IsolationForest, float]:
+    """Forest on the traits that find most bad rows, and its cut; ``judged`` gives found rows and cut of each of some forests."""
     chosen: list[int] = []
     found = 0
     while len(chosen) < rows.shape[1]:
         rest = [trait for trait in range(rows.shape[1]) if trait not in chosen]
-        trials = {trait: attempt([*chosen, trait], TRIAL_TREES)[0] for trait in rest}
-        best = max(rest, key=trials.__getitem__)
-        if trials[best] <= found:
+        trials = dict(zip(rest, judged([IsolationForest(rows, [*chosen, trait], TRIAL_TREES) for trait in rest])))
+        best = max(rest, key=lambda trait: trials[trait][0])
+        if trials[best][0] <= found:
             break
         chosen.append(best)
-        found = trials[best]
-    return attempt(chosen or list(range(rows.shape[1])), TREES)[1:]
+        found = trials[best][0]
+    forest = IsolationForest(rows, chosen or list(range(rows.shape[1])), TREES)
+    return forest, judged([forest])[0][1]
+
+
+def calibrate(rows: np.ndarray, good: np.ndarray) -> tuple[IsolationForest, float]:
+    """Forest over all labelled rows, and its cut. ``good`` marks the rows of good quality."""
+
+    def judged(forests: list[IsolationForest]) -> list[tuple[int, float]]:
+        scores = [forest.score(rows) for forest in forests]
+        cuts = [calibrated_cut(score[good], score[~good]) for score in scores]
+        return [(int((score[~good] > cut).sum()), cut) for score, cut in zip(scores, cuts)]
+
+    return _chosen(rows, judged)
+
+
+def _judged(labelled: DataFrame, n_good: int):
+    """``calibrate``'s judgement of forests over a table of labelled rows, which stay where they lie."""
+    names = [f"score_{at}" for at in range(len(STATISTICS))]
+
+    def judged(forests: list[IsolationForest]) -> list[tuple[int, float]]:
+        def scores(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = _traits(np.stack([batch.column(name).to_numpy() for name in STATISTICS], axis=1))
+            return pa.RecordBatch.from_arrays([batch.column("good"), *(pa.array(forest.score(rows)) for forest in forests)],
+                                              names=["good", *names[:len(forests)]])
+
+        scored = store.save(map_batches(labelled, scores, "good boolean, " + ", ".join(f"{name} double" for name in names[:len(forests)])), "scores")
+        found = []
+        for name in names[:len(forests)]:
+            # The rejected good rows and the next one: a share of FALSE_REJECTS, of which the least is the cut.
+            cut = scored.where("good").select(name).orderBy(F.desc(name)).limit(1 + int(FALSE_REJECTS * n_good)).agg(F.min(name)).first()[0]
+            above = scored.where(~F.col("good") & (F.col(name) > cut)).agg(F.count(F.lit(1)).alias("n"), F.min(name).alias("least")).first()
+            cut = (cut + above["least"]) / 2 if above["n"] else np.inf
+            found.append((scored.where(~F.col("good") & (F.col(name) > cut)).count() if above["n"] else 0, float(cut)))
+        store.discard(scored)
+        return found
+
+    return judged
 
 
 def fit(statistics: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[IsolationForest | None, float]:
-    """Forest and cut from at most ``sample_rows`` labelled rows that pass the base rule."""
+    """Forest and cut from the labelled rows that pass the base rule.
+
+    A tree grows on ``SUBSAMPLE`` rows, as the method has it, which all trees draw from the ``sample_rows`` rows of the lowest
+    hash. The traits and the cut are chosen by the scores of all labelled rows.
+    """
     quality = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    labelled = store.save(statistics.where(~_base_failed()).join(quality, "doc_id"), "labelled")
-    sample = lowest(labelled, sample_rows, F.xxhash64("doc_id"), "doc_id", "row_key").select("quality", *STATISTICS).toPandas()
-    store.discard(labelled)
-    good = (sample.quality == 1).to_numpy()
-    if not good.any():
+    labelled = store.save(statistics.where(~_base_failed()).join(quality, "doc_id").withColumn("good", F.col("quality") == 1), "labelled")
+    n_good = labelled.where("good").count()
+    if not n_good:
+        store.discard(labelled)
         return None, np.inf
-    return calibrate(_traits(sample[list(STATISTICS)].to_numpy()), good)
+    sample = lowest(labelled, sample_rows, F.xxhash64("doc_id"), "doc_id", "row_key").select(*STATISTICS).toPandas()
+    model = _chosen(_traits(sample[list(STATISTICS)].to_numpy()), _judged(labelled.select("good", *STATISTICS), n_good))
+    store.discard(labelled)
+    return model
 
 
 def _base_failed() -> F.Column:
