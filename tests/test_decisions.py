@@ -137,3 +137,23 @@ def test_nearest_of_many_templates(spark):
     templates = F.array(*[F.struct(F.lit(1000.0 * k).alias("template_reference"), F.lit(f"t{k}").alias("name")) for k in range(1, 151)])
     found = spark.range(1).select(D.nearest_template(F.lit(149_000.0), templates)["name"]).first()[0]
     assert found == "t149"
+
+
+def test_outcomes_before_the_offers_give_the_same_policy(spark):
+    config, cuts = D.PricingConfig(6), D.scheduled_cuts(6)
+    leads = _lead(spark, risk_aversion=0.4).withColumns({
+        "offers": F.array(F.lit(70.0), F.lit(85.0), F.lit(70.0)), "midpoint": F.lit(0.9), "slope": F.lit(28.0),
+        "intercept": F.lit(0.0), "urgency": F.lit(0.1)})
+    models = []
+
+    def model(price, week, scenario):
+        models.append(1)
+        return D.elasticity_model(price, week, scenario)
+
+    ahead = D.policy_outcomes(leads, cuts, config, model=model)
+    assert ahead.select(F.size("_sales")).first()[0] == 14
+    wanted = [r.asDict(recursive=True) for r in D.evaluate_policy(D.explode_offers(leads), cuts, config).orderBy("offer").collect()]
+    made = D.evaluate_policy(D.explode_offers(ahead), cuts, config, model=model).orderBy("offer").collect()
+    assert [r.asDict(recursive=True) for r in made] == wanted and [r["offer"] for r in wanted] == [70.0, 85.0]
+    # The demand model was asked for once, with the leads and not with their offers.
+    assert len(models) == 1
