@@ -32,6 +32,8 @@ THRESHOLD = 75
 MISS = 1e-6
 #: Words of benchmark items that one pass over the documents holds; a larger benchmark takes several.
 BLOCK_WORDS = 2_000_000
+#: Windows that are fingerprinted at a time, and shingles that these may span.
+WINDOWS, SPANNED = 4096, 8192
 _FILTER_BITS = 20
 _SCHEMA = "doc_id long, row_key long, item_id long, start_word long, n_words long, similarity double"
 
@@ -74,10 +76,19 @@ def weights(hashes: np.ndarray) -> np.ndarray:
 
 
 def _votes(elements: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weight with the sign of each bit of each shingle's 128-bit hash."""
+    """Weight (at most ``SHINGLE``) with the sign of each bit of each shingle's 128-bit hash."""
     wide = np.stack([mix(elements), mix(elements ^ np.uint64(0xA5A5A5A5A5A5A5A5))], axis=1)
-    bits = np.unpackbits(wide.view(np.uint8).reshape(len(elements), 16), axis=1).astype(np.int64)
-    return (2 * bits - 1) * weight[:, None]
+    bits = np.unpackbits(wide.view(np.uint8).reshape(len(elements), 16), axis=1).astype(np.int8)
+    return (2 * bits - 1) * weight[:, None].astype(np.int8)
+
+
+def _batches(starts: np.ndarray) -> Iterator[np.ndarray]:
+    """Ascending ``starts`` in runs of at most ``WINDOWS``, whose first and last lie less than ``SPANNED`` apart."""
+    first = 0
+    while first < len(starts):
+        last = min(first + WINDOWS, int(np.searchsorted(starts, starts[first] + SPANNED)))
+        yield starts[first:last]
+        first = last
 
 
 def fingerprints(elements: np.ndarray, weight: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -186,8 +197,7 @@ class ItemIndex:
         own = elements[low:high]
         weight = weights(words[low:high + group - 1]) if n >= group and group == SHINGLE else np.array(
             [len(np.unique(words[k:k + min(group, n)])) for k in range(low, high)])
-        for first in range(0, len(starts), 4096):
-            some = starts[first:first + 4096]
+        for some in _batches(starts):
             near, far = int(some[0]) - low, int(some[-1]) - low + span
             bits = fingerprints(own[near:far], weight[near:far], some - int(some[0]), span)
             for window, item in self.candidates(bits, size):

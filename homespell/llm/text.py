@@ -7,6 +7,7 @@ exactly those six characters and ``bytes.lower`` lowers A-Z alone.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Callable, Iterator
 
@@ -96,8 +97,31 @@ def map_batches(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBa
 
 def map_partitions(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """A step that sees the batches of a partition one after another."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(task, schema)
+
+
+@functools.lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    """The C library's call that returns free memory, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return None
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system: the worker lives on, next to those of later stages and the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
 
 
 def ragged(arrays: list[np.ndarray], dtype: type) -> pa.ListArray:

@@ -1,3 +1,5 @@
+import tracemalloc
+
 from pyspark.sql import functions as F
 
 from homespell.llm import decontamination
@@ -69,3 +71,17 @@ def test_columns_and_empty_tables(docs, empty_docs, benchmark):
 def test_radius_covers_the_threshold_and_blocks_cover_the_bits():
     assert decontamination.BLOCKS[-1] == decontamination.BITS and len(decontamination.BLOCKS) == decontamination.RADIUS + 2
     assert decontamination.radius(threshold=0.9) < decontamination.RADIUS
+
+
+def test_windows_far_apart_are_fingerprinted_apart():
+    passage = " ".join(f"word{k}" for k in range(50))
+    edited = passage.replace("word25", "other")
+    text = f"{edited} {' '.join(f'w{k}' for k in range(60_000))} {passage}".encode()
+    index = decontamination.ItemIndex([(7, passage.encode())])
+    index.matches(text, 75)  # the worker's word cache is filled
+    tracemalloc.start()
+    found = index.matches(text, 75)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(7, 60_050, 50, 1.0)]
+    assert most < 60e6

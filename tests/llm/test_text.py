@@ -73,3 +73,30 @@ def test_lowest_rows_with_and_without_ties(spark):
     assert text.lowest(rows, 4000, F.xxhash64("few"), "id").count() == 4000
     assert text.lowest(rows.limit(0), 5, F.xxhash64("id"), "id").count() == 0
     assert text.lowest(rows, 9000, F.xxhash64("id"), "id").count() == 5000
+
+
+def test_tasks_give_freed_memory_back(spark, monkeypatch):
+    import re
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    def held():
+        return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+    def run(batches):
+        for batch in batches:
+            many = [bytes(2000) for _ in range(150_000)]
+            cache.extend(many[::1000])
+            yield batch
+            del many
+
+    before, cache = [], []
+    monkeypatch.setattr(text, "ship", lambda session: None)
+    frame = type("Frame", (), {"sparkSession": spark, "mapInArrow": lambda self, task, schema: task})()
+    batch = pa.RecordBatch.from_pydict({"id": [1]})
+    task = text.map_partitions(frame, run, "id long")
+    start = held()
+    for _ in task(iter([batch])):
+        before.append(held() - start)
+    assert held() - start < 60 < before[0]
