@@ -110,3 +110,49 @@ def test_events_are_ordered_without_copies_of_their_columns(spark, monkeypatch):
     plan = spells._jdf.queryExecution().optimizedPlan().toString()
     main = [line for line in plan.splitlines() if "Aggregate" in line]
     assert all("_chunk" in line for line in main)
+
+
+def test_copies_of_a_deed_are_told_over_the_ends_of_ranges(spark):
+    """A deed with copies in every range, among deeds of its day and price that differ in the seller only, null and empty among them."""
+    draw, rows = random.Random(5), []
+    for seq in range(2000):
+        seller = draw.choice([None, "", "y", "z"])
+        rows.append(("hot" if draw.random() < 0.9 else "p", "m", DAY, 20_000.0, "x", seller, seq, f"a{seq}"))
+    rows.append(("hot", "m", DAY + datetime.timedelta(9), 30_000.0, None, "x", 2000, "resale"))
+    table = spark.createDataFrame(rows, "parcel_id string, market string, sale_date date, sale_price double, "
+                                  "buyer_operator string, seller_operator string, seq int, subdivision string")
+    found = linkage.link_episodes(table).filter("operator = 'x'").select("parcel_id", "linkage_status", "subdivision").collect()
+    first = {}
+    for row in rows[:-1]:
+        first.setdefault((row[0], row[5]), row)
+    last = max((row for row in first.values() if row[0] == "hot"), key=lambda row: row[6])
+    status = lambda row: "completed" if row is last else "repeat_acquisition_before_exit"
+    hot = sorted((row[0], status(row), row[7]) for row in first.values() if row[0] == "hot")
+    assert sorted(tuple(r) for r in found if r.parcel_id == "hot") == hot
+    assert len([r for r in found if r.parcel_id == "p"]) == 4
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(at).getName() for at in range(files.size()) if files.apply(at).getName().startswith("shuffle_")}
+
+
+def test_nothing_is_left_on_disk_of_what_an_order_was_dealt_by(spark):
+    spark._jvm.System.gc()
+    rows = spark.range(20_000).select((F.col("id") % 100).cast("string").alias("k"), "id")
+    before = shuffle_files(spark)
+    scale.order_groups(rows.repartition(4, "k"), ["k"], ["id"])
+    assert not shuffle_files(spark) - before
+
+
+def test_stored_sales_are_deleted_once_their_events_are_ordered(spark, tmp_path):
+    from pathlib import Path
+
+    from homespell.plans import bindings
+    from homespell.session import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("prepared-*"))
+    spells = bindings.episodes(spark, "/root/testdata/sf0.001")
+    assert not set(folder.glob("prepared-*")) - before
+    assert spells.count()
