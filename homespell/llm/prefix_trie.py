@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from homespell.llm import store
 from homespell.llm.text import map_partitions
 from homespell.operators.scale import Carried, attach_row, order_groups
+from homespell.session import shuffles_dropped
 
 #: Turns of a block.
 BLOCK = 4
@@ -37,6 +38,17 @@ _NODE = ["depth", "x", "y"]
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input. Its file is many times smaller than its rows in the driver's memory, so Spark would take it
+    for a short table and collect it there."""
+    return df.hint("merge")
+
+
+def _saved(df: DataFrame, name: str) -> DataFrame:
+    with shuffles_dropped(df.sparkSession):
+        return store.save(df, name)
+
+
 def turns(conversations: DataFrame) -> DataFrame:
     """``conv_id, position, digest, chars`` of each turn, counted from 1 in the order of turn (null first).
 
@@ -48,7 +60,7 @@ def turns(conversations: DataFrame) -> DataFrame:
         F.md5(F.concat(F.length(role).cast("string"), F.lit(":"), role, text).cast("binary")).alias("digest"),
         F.length(text).cast("long").alias("chars"), F.lit(1).cast("long").alias("one"))
     numbered = order_groups(rows, ["conv_id"], ["turn", "digest"]).carry(position=Carried("one")).result()
-    return store.save(numbered.select("conv_id", "position", "digest", "chars"), "turns")
+    return _saved(numbered.select("conv_id", "position", "digest", "chars"), "turns")
 
 
 def with_shared_heads(said: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -59,10 +71,10 @@ def with_shared_heads(said: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = sizes.select("conv_id", heads.alias("heads"), (F.col("conv_id") - F.col("conv_id") % SHARE).alias("base"))
     # A base has at most 5 rows here and 199 conversations that take them.
     first = said.where(F.col("position") < HEADS).select(F.col("conv_id").alias("base"), "position", "digest", "chars")
-    shared = named.join(first, "base").where("position <= heads").select("conv_id", "position", "digest", "chars")
+    shared = _large(named).join(_large(first), "base").where("position <= heads").select("conv_id", "position", "digest", "chars")
     known = sizes.select(F.col("conv_id").alias("base"), "size")
-    short = (named.join(known, "base", "left").select("conv_id", (F.col("heads") - F.coalesce("size", F.lit(0))).alias("missing")).where("missing > 0"))
-    own = (said.where(F.col("position") > heads).join(short, "conv_id", "left")
+    short = (_large(named).join(_large(known), "base", "left").select("conv_id", (F.col("heads") - F.coalesce("size", F.lit(0))).alias("missing")).where("missing > 0"))
+    own = (said.where(F.col("position") > heads).join(_large(short), "conv_id", "left")
            .select("conv_id", (F.col("position") - F.coalesce("missing", F.lit(0))).alias("position"), "digest", "chars"))
     return shared.unionByName(own), sizes.select("conv_id")
 
@@ -77,7 +89,7 @@ def _blocks(said: DataFrame) -> DataFrame:
     last = own.withColumns(dict(zip(("own_x", "own_y"), _fold("block", F.element_at("parts", -1)))))
     ordered = order_groups(last, ["conv_id"], ["block"]).carry(x=Carried("own_x", "xor", "before"), y=Carried("own_y", "xor", "before"))
     nothing = F.lit(0).cast("long")
-    return store.save(ordered.result().select("conv_id", "block", F.coalesce("x", nothing).alias("x"), F.coalesce("y", nothing).alias("y"), "parts", "chars"), "blocks")
+    return _saved(ordered.result().select("conv_id", "block", F.coalesce("x", nothing).alias("x"), F.coalesce("y", nothing).alias("y"), "parts", "chars"), "blocks")
 
 
 def _fold(block: str, part: Column) -> tuple[Column, Column]:
@@ -95,7 +107,7 @@ def _cells(blocks: DataFrame, members: DataFrame) -> DataFrame:
     later = blocks.where("block > 0")
     parted = (later.groupBy("block", "x", "y").agg(F.min(content).alias("least"), F.max(content).alias("most"))
               .where("least <> most").select("block", "x", "y", F.lit(True).alias("parted")))
-    known = (later.join(parted, ["block", "x", "y"], "left").select(*blocks.columns, F.coalesce("parted", F.lit(False)).alias("parted"))
+    known = (later.join(_large(parted), ["block", "x", "y"], "left").select(*blocks.columns, F.coalesce("parted", F.lit(False)).alias("parted"))
              .unionByName(blocks.where("block = 0").withColumn("parted", F.lit(True))))
     first = (F.col("block") * BLOCK).alias("from_depth")
 
@@ -115,7 +127,7 @@ def _cells(blocks: DataFrame, members: DataFrame) -> DataFrame:
     nothing = F.lit(0).cast("long")
     root = members.select("conv_id", *[nothing.alias(name) for name in _NODE], F.lit(-1).cast("long").alias("from_depth"),
                           nothing.alias("from_x"), nothing.alias("from_y"), nothing.alias("chars"))
-    return store.save(whole.unionByName(refined).unionByName(root), "cells")
+    return _saved(whole.unionByName(refined).unionByName(root), "cells")
 
 
 def _joined_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,33 +189,35 @@ def prefix_trie(said: DataFrame, members: DataFrame) -> DataFrame:
     cells = _cells(blocks, members)
     same = [F.min(name).alias(name) for name in ("from_depth", "from_x", "from_y", "chars")]
     grouped = cells.groupBy(*_NODE).agg(F.count(F.lit(1)).alias("n_convs"), F.min("conv_id").alias("conv_id"), *same)
-    nodes = store.save(grouped.withColumn("weight", (F.col("n_convs") - 1) * F.col("chars")), "nodes")
+    nodes = _saved(grouped.withColumn("weight", (F.col("n_convs") - 1) * F.col("chars")), "nodes")
 
     children = (nodes.where("from_depth >= 0").groupBy(*[F.col(f"from_{name}").alias(name) for name in _NODE])
                 .agg(F.count(F.lit(1)).alias("n_children")))
-    placed = store.save(
-        order_groups(nodes.join(children, _NODE, "left").fillna(0, ["n_children"]), ["conv_id"], ["depth"])
+    placed = _saved(
+        order_groups(nodes.join(_large(children), _NODE, "left").fillna(0, ["n_children"]), ["conv_id"], ["depth"])
         .carry(below=Carried("weight", over="onward"), chain=Carried("weight", over="all")).result(), "nodes")
     # What a member brings to each node above its own: the weights and the leaf of its chain.
     brought = placed.groupBy("conv_id").agg(F.max("chain").alias("chain"), F.max((F.col("n_children") == 0).cast("long")).alias("leaf"))
     # The cells of a long conversation are dealt to parts.
     part = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
     dealt = cells.select("conv_id", *_NODE, F.pmod("depth", F.lit(PARTS)).cast("int").alias("part"))
-    sums = (dealt.join(brought.where("chain > 0 or leaf > 0").withColumn("part", part), ["conv_id", "part"])
+    sums = (dealt.join(_large(brought.where("chain > 0 or leaf > 0").withColumn("part", part)), ["conv_id", "part"])
             .groupBy(*_NODE).agg(F.sum("chain").alias("sum"), F.sum("leaf").alias("n_leaves")))
 
     uppers = placed.select(*[F.col(name).alias(f"from_{name}") for name in _NODE], F.col("conv_id").alias("upper")).where("from_depth > 0")
-    rows = (placed.join(sums, _NODE).join(_ends(cells), _NODE, "left").join(uppers, ["from_depth", "from_x", "from_y"], "left"))
+    rows = (_large(placed).join(_large(sums), _NODE).join(_large(_ends(cells)), _NODE, "left")
+            .join(_large(uppers), ["from_depth", "from_x", "from_y"], "left"))
     # Very many nodes can hang below the root, whose smallest member is one value.
     rows = attach_row(rows, members.agg(F.min("conv_id").alias("least")))
     parent = F.when(F.col("from_depth") == 0, F.col("least")).otherwise(F.col("upper"))
-    shaped = rows.select("conv_id", "depth", "from_depth", parent.alias("parent"), "n_convs", "n_children", "n_leaves", "chars",
-                         (F.col("sum") - F.col("chain") + F.col("below")).alias("saved"), F.coalesce("ends_sha256", F.lit(_EMPTY)).alias("ends_sha256"))
+    # Both kinds of cells are read off it.
+    shaped = _saved(rows.select("conv_id", "depth", "from_depth", parent.alias("parent"), "n_convs", "n_children", "n_leaves", "chars",
+                         (F.col("sum") - F.col("chain") + F.col("below")).alias("saved"), F.coalesce("ends_sha256", F.lit(_EMPTY)).alias("ends_sha256")), "shaped")
     single = shaped.where("depth <= from_depth + 1").select(
         "conv_id", "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256")
     # The turns of whole blocks, of which those above the last have one child and no ends.
     several = (shaped.where("depth > from_depth + 1").drop("chars").withColumn("block", F.expr(f"from_depth div {BLOCK}"))
-               .join(blocks.select("conv_id", "block", "chars"), ["conv_id", "block"]).select("*", F.posexplode("chars").alias("at", "own")))
+               .join(_large(blocks.select("conv_id", "block", "chars")), ["conv_id", "block"]).select("*", F.posexplode("chars").alias("at", "own")))
     before = F.aggregate(F.slice("chars", F.lit(1), F.col("at")), F.lit(0).cast("long"), lambda a, b: a + b)
     last = F.col("at") == F.size("chars") - 1
     inner = several.select(

@@ -101,3 +101,11 @@ def test_blocks_that_go_on_alike_are_one_cell(spark):
 
 def test_empty_table(spark, odd_rows):
     assert prefix_trie.rebuilt_trie(conversations(spark, odd_rows).limit(0)).count() == 0
+
+
+def test_no_side_of_a_join_is_collected_by_the_driver(spark):
+    """Small files can hold many rows, so that a join planned by their bytes would broadcast them."""
+    rows = [(c, t, "user", f"text {c % 7} {t}") for c in range(40) for t in range(9)]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    plan = prefix_trie.rebuilt_trie(table)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Broadcast" not in plan
